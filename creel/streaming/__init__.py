@@ -1,0 +1,6 @@
+"""No operator of this domain is a stream operator: every input is a bounded file.
+
+The row-wise helpers of :mod:`creel.functions` and the filters of
+:mod:`creel.operators.prepare` hold no state and accept a streaming DataFrame as
+they are.
+"""
