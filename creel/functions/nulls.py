@@ -42,21 +42,17 @@ def n_distinct(c: str | Column) -> Column:
     return F.count_distinct(c) + F.coalesce(F.max(F.when(c.isNull(), 1).otherwise(0)), F.lit(0))
 
 
-def n_distinct_if(flag: str | Column, c: str | Column) -> Column:
-    """Distinct values on the rows where ``flag`` holds.
-
-    A row whose flag is missing contributes one "missing" value, as indexing by
-    a missing logical does.
-    """
+def n_distinct_where(flag: str | Column, c: str | Column) -> Column:
+    """Distinct values on the rows where ``flag`` is true, a missing value counting as one."""
     flag, c = _col(flag), _col(c)
-    return n_distinct_where(flag, c) + F.coalesce(
-        F.max(F.when(flag.isNull() | (flag & c.isNull()), 1).otherwise(0)), F.lit(0)
-    )
+    return F.count_distinct(F.when(flag, c)) + F.coalesce(F.max(F.when(flag & c.isNull(), 1)), F.lit(0))
 
 
-def n_distinct_where(flag: str | Column, c: str | Column) -> Column:
-    """Distinct non-missing values on the rows where ``flag`` is true."""
-    return F.count_distinct(F.when(_col(flag), _col(c)))
+def n_distinct_if(flag: str | Column, c: str | Column) -> Column:
+    """As ``n_distinct_where``, but a row whose flag is missing also counts as one missing value."""
+    flag, c = _col(flag), _col(c)
+    unknown = flag.isNull() | (flag & c.isNull())
+    return F.count_distinct(F.when(flag, c)) + F.coalesce(F.max(F.when(unknown, 1)), F.lit(0))
 
 
 def row_mean(*cols: str | Column, ignore_missing: bool = False) -> Column:

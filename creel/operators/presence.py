@@ -32,7 +32,7 @@ def species_ever_present(df: DataFrame, species: str, count: str) -> DataFrame:
 
 def presences(df: DataFrame, species: str, count: str, status: str = "statut", *, distinct: bool = True) -> DataFrame:
     """Positive records labelled present."""
-    rows = df.where((F.col(count) > 0) & F.col(species).isNotNull())
+    rows = df.where(F.col(count) > 0)
     return (rows.distinct() if distinct else rows).withColumn(status, F.lit(STATUS_LEVELS[2]))
 
 
@@ -139,15 +139,12 @@ def basin_card(
     One conditional aggregation replaces four aggregations joined back.
     """
     is_sp = F.col(species) == code
+    caught = is_sp & (F.col(count) > 0)
     facts = df.groupBy(basin).agg(
         sum_or_zero(count).alias("n_indiv"),
         F.when(F.max(is_sp), sum_or_zero(F.when(is_sp, F.col(count)))).alias("n_indiv_sp"),
         n_distinct(station).alias("n_stations"),
-        F.when(
-            F.max(is_sp & (F.col(count) > 0)),
-            n_distinct(F.when(is_sp & (F.col(count) > 0), F.col(station)))
-            - _missing_outside(is_sp & (F.col(count) > 0), F.col(station)),
-        ).alias("n_stations_presence"),
+        F.when(F.max(caught), n_distinct_where(caught, station)).alias("n_stations_presence"),
     )
     out = basins.join(facts, basin, "left")
     zero = F.lit(0)
@@ -170,13 +167,6 @@ def basin_card(
     )
 
 
-def _missing_outside(flag: Column, value: Column) -> Column:
-    """1 if the only missing values of ``when(flag, value)`` come from rows outside the flag."""
-    masked_any = F.coalesce(F.max(F.when(F.coalesce(flag, F.lit(False)) & value.isNotNull(), 0).otherwise(1)), F.lit(0))
-    missing_in = F.coalesce(F.max(F.when(F.coalesce(flag, F.lit(False)) & value.isNull(), 1).otherwise(0)), F.lit(0))
-    return F.when((masked_any == 1) & (missing_in == 0), 1).otherwise(0)
-
-
 def station_card(
     df: DataFrame,
     stations: DataFrame,
@@ -196,7 +186,7 @@ def station_card(
     """
     is_sp = F.col(species) == code
     aggs = [
-        F.when(F.max(is_sp), n_distinct_where(is_sp, F.col(when))).alias("n_peches_sp_presente"),
+        F.when(F.max(is_sp), n_distinct_where(is_sp, when)).alias("n_peches_sp_presente"),
         sum_or_zero(count).alias("n_indiv_captures"),
         F.sum(F.when(is_sp & (F.col(count) > 0), F.col(count))).alias("n_indiv_captures_sp"),
     ]
