@@ -17,7 +17,11 @@ def shared_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``; a local folder stands in
     only where that is not set.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/creel-{uuid4().hex}"
 
 
@@ -47,7 +51,8 @@ def latest_snapshot(spark: SparkSession, folder: str, pattern: str, by: str = "n
     if by not in ("name", "modified"):
         raise ValueError(f"unknown order {by!r}")
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    entry = F.regexp_extract(F.col("path"), re.escape(folder.rstrip("/")) + r"/+([^/]+)", 1)
+    inside = re.escape(re.sub(r"^[a-z0-9]+:/+", "/", folder).rstrip("/"))
+    entry = F.regexp_extract(F.col("path"), inside + r"/+([^/]+)", 1)
     rows = listing.select(entry.alias("entry"), "modificationTime").where(
         (F.col("entry") != "") & F.col("entry").rlike(pattern)
     )
