@@ -26,7 +26,7 @@ def indices(
     """Richness, Shannon, Simpson and Pielou per site.
 
     Works on sums only: with ``N = Σn``, ``H = ln N - Σ n ln n / N`` and
-    ``D = 1 - Σ n² / N²``, so there is no pivot and both aggregations combine on
+    ``D = (N² - Σ n²) / N²``, so there is no pivot and both aggregations combine on
     the map side. Pielou is missing for a site with one species. Counts that are
     zero or missing do not contribute; a site without individuals is left out.
 
@@ -47,7 +47,8 @@ def indices(
     ).where(F.col("richesse") > 0)
     single = F.col("richesse") == 1
     h = F.when(single, 0.0).otherwise(F.ln("__N") - F.col("__nlogn") / F.col("__N"))
-    d = F.when(single, 0.0).otherwise(1 - F.col("__nn") / (F.col("__N") * F.col("__N")))
+    nn = F.col("__N") * F.col("__N")
+    d = F.when(single, 0.0).otherwise((nn - F.col("__nn")) / nn)
     full = F.lit(True)
     if holes == "missing":
         if vocabulary is None:
