@@ -513,37 +513,54 @@ def pca_loadings(df: DataFrame, variables: Sequence[str]) -> DataFrame:
 
 
 def asymptote(
-    df: DataFrame, x: str, y: str, *, low: float = -8.0, high: float = 3.0, steps: int = 40, rounds: int = 4
+    df: DataFrame, x: str, y: str, *, low: float = -8.0, high: float = 3.0, steps: int = 16, rounds: int = 9
 ) -> Row:
     """Least squares of ``y = Asym + (R0 - Asym) exp(-exp(lrc) x)``.
 
     Given ``lrc`` the curve is linear in ``exp(-exp(lrc) x)``, so each round fits a
-    grid of ``lrc`` in one aggregation and the next round narrows the grid around
-    the best. Only the summary of each grid reaches the driver. ``low`` and
+    grid of ``lrc`` by aggregation and the next round narrows the grid around the
+    best. The rows are first reduced to one per distinct x, and that table is what
+    the rounds read; only a summary per grid value reaches the driver. ``low`` and
     ``high`` bound ``lrc`` for x scaled to unit mean.
     """
     rows = df.select(F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).dropna()
-    scale = rows.agg(F.avg(F.abs("__x"))).first()[0]
-    if not scale:
-        raise ValueError("x has no spread to fit")
-    u, v = F.col("__x") / F.lit(scale), F.col("__y")
-    best: tuple[float, float, float, float] | None = None
-    for _ in range(rounds):
-        grid = np.linspace(low, high, steps)
-        cells = []
-        for g in grid:
-            e = F.exp(-F.exp(F.lit(float(g))) * u)
-            cells.append(F.struct(F.covar_pop(e, v), F.var_pop(e), F.avg(e)))
-        one = rows.agg(F.var_pop(v).alias("vy"), F.avg(v).alias("my"), F.count(v).alias("n"), F.array(*cells).alias("g")).first()
-        for g, (cxy, vx, mx) in zip(grid, one["g"]):
-            if vx and vx > 1e-14:
-                slope = cxy / vx
-                rss = one["n"] * (one["vy"] - cxy * slope)
-                if best is None or rss < best[0]:
-                    best = (rss, float(g), slope, one["my"] - slope * mx)
-        if best is None:
-            raise ValueError("no curve fits: x is constant")
-        half = (grid[1] - grid[0]) * 1.5
-        low, high = best[1] - half, best[1] + half
+    by_x = rows.groupBy("__x").agg(
+        F.count(F.lit(1)).alias("__n"), F.avg("__y").alias("__m"), F.var_pop("__y").alias("__v")
+    ).persist()
+    try:
+        w = F.col("__n")
+        total, scale, mean = by_x.agg(
+            F.sum(w), F.sum(w * F.abs("__x")) / F.sum(w), F.sum(w * F.col("__m")) / F.sum(w)
+        ).first()
+        if not scale:
+            raise ValueError("x has no spread to fit")
+        u, v = F.col("__x") / F.lit(scale), F.col("__m") - F.lit(mean)
+        best: tuple[float, float, float, float] | None = None
+        for _ in range(rounds):
+            grid = np.linspace(low, high, steps)
+            k = F.exp("__g")
+            # the exponential, less its value at the mean of x
+            e = F.exp(-k) * F.expm1(-k * (u - 1))
+            cells = by_x.withColumn("__g", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
+            sums = cells.withColumn("__e", e).groupBy("__g").agg(
+                F.sum(w * F.col("__e")),
+                F.sum(w * F.col("__e") * F.col("__e")),
+                F.sum(w * F.col("__e") * v),
+                F.sum(w * (v * v + F.col("__v"))),
+            )
+            for g, se, see, sev, svv in sums.collect():
+                vx = see - se * se / total
+                if vx > 1e-14 * total:
+                    slope = sev / vx
+                    rss = svv - sev * slope
+                    if best is None or rss < best[0]:
+                        at_zero = mean - slope * se / total - slope * float(np.exp(-np.exp(g)))
+                        best = (rss, g, slope, at_zero)
+            if best is None:
+                raise ValueError("no curve fits: x is constant")
+            half = (grid[1] - grid[0]) * 1.5
+            low, high = best[1] - half, best[1] + half
+    finally:
+        by_x.unpersist()
     rss, g, slope, asym = best
     return Row(Asym=float(asym), R0=float(asym + slope), lrc=float(g - np.log(scale)), rss=float(rss))

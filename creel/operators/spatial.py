@@ -137,15 +137,26 @@ LAMBERT_93 = ConicProjection(
 )
 
 
-def conic_to_lonlat(x: Column, y: Column, p: ConicProjection = LAMBERT_93, rounds: int = 6) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees; the latitude iteration is unrolled."""
+def conic_to_lonlat(x: Column, y: Column, p: ConicProjection = LAMBERT_93) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees.
+
+    The latitude is the usual series in the conformal latitude (to e⁸, below a
+    tenth of a millimetre), so the expression stays small; unrolled iterations
+    would double it each time.
+    """
     dx, dy = x - F.lit(p.xs), F.lit(p.ys) - y
     lon = F.lit(p.lon0) + F.atan(dx / dy) / F.lit(p.n)
-    iso = -F.ln(F.sqrt(dx * dx + dy * dy) / F.lit(p.c)) / F.lit(p.n)
-    lat = F.lit(2.0) * F.atan(F.exp(iso)) - F.lit(pi / 2)
-    for _ in range(rounds):
-        es = F.lit(p.e) * F.sin(lat)
-        lat = F.lit(2.0) * F.atan(F.pow((1 + es) / (1 - es), F.lit(p.e / 2)) * F.exp(iso)) - F.lit(pi / 2)
+    conformal = F.lit(pi / 2) - F.lit(2.0) * F.atan(F.pow(F.sqrt(dx * dx + dy * dy) / F.lit(p.c), F.lit(1 / p.n)))
+    e2 = p.e * p.e
+    series = [
+        e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360,
+        7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520,
+        7 * e2**3 / 120 + 81 * e2**4 / 1120,
+        4279 * e2**4 / 161280,
+    ]
+    lat = conformal
+    for k, a in enumerate(series, 1):
+        lat = lat + F.lit(a) * F.sin(conformal * (2.0 * k))
     return F.degrees(lon), F.degrees(lat)
 
 
