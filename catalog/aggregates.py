@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from catalog import query
@@ -204,10 +202,8 @@ def _rate_sql(name: str, keys: str) -> str:
     ),
 )
 def agg_occurrence_rate(spark, sf):
-    d = captures(spark, sf)
     units = {"peche": ["code_station", "date_peche"], "station": ["code_station"], "bassin": ["code_exutoire"]}
-    parts = [PR.occurrence_rate(d, keys, "code_espece", "Brand#12").select(F.lit(u).alias("unite"), "*") for u, keys in units.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return PR.occurrence_rates(captures(spark, sf), units, "code_espece", "Brand#12")
 
 
 @query(

@@ -72,8 +72,9 @@ def pa_status(spark, sf):
     return operations(spark, sf, basin=False).select("ope_id", PR.protocol_status(flag).alias("statut"))
 
 
-_POINT = f"""{ZERO}, k AS (SELECT code_espece FROM z GROUP BY 1 HAVING sum(effectif) > 0),
-  zk AS (SELECT * FROM z WHERE code_espece IN (SELECT code_espece FROM k)),
+_POINT = f"""{ZERO}, zm AS (SELECT ope_id, code_station, annee, type_peche, code_espece, sum(effectif) AS effectif FROM z GROUP BY ALL),
+  k AS (SELECT code_espece FROM zm GROUP BY 1 HAVING sum(effectif) > 0),
+  zk AS (SELECT * FROM zm WHERE code_espece IN (SELECT code_espece FROM k)),
   {_ABSENT.format(src='zk', vocab='k')},
   pt AS (
     SELECT DISTINCT ope_id, code_station, annee, type_peche, code_espece, effectif, 'Présent' AS statut FROM zk WHERE effectif > 0
@@ -85,11 +86,10 @@ _POINT = f"""{ZERO}, k AS (SELECT code_espece FROM z GROUP BY 1 HAVING sum(effec
   ptr AS (SELECT *, CAST(CASE statut WHEN 'Présent' THEN 3 WHEN 'Absent' THEN 2 ELSE 1 END AS INTEGER) AS rang FROM pt)"""
 
 
-def point_rows(spark, sf, names=None):
-    return PR.point_table(
-        zeroed(spark, sf).select("ope_id", *_ATTRS, "code_espece", "effectif"),
-        "ope_id", "code_espece", "effectif", "type_peche", INVENTORY, _ATTRS, names, "esp_nom_commun" if names is not None else None,
-    )
+def present_species(spark, sf):
+    """Species with a positive total; the operations are not needed to tell."""
+    zero = (F.col("code_espece") == "Brand#9") | (F.col("effectif") == 7)
+    return PR.species_ever_present(lots(spark, sf).withColumn("effectif", F.when(zero, 0.0).otherwise(F.col("effectif"))), "code_espece", "effectif")
 
 
 @query(
@@ -99,7 +99,10 @@ def point_rows(spark, sf, names=None):
 )
 def pa_point_table(spark, sf):
     names = vocabulary(spark, sf).withColumn("esp_nom_commun", F.concat(F.lit("Poisson "), F.lower("code_espece")))
-    return point_rows(spark, sf, names)
+    return PR.point_table(
+        zeroed(spark, sf), "ope_id", "code_espece", "effectif", "type_peche", INVENTORY, _ATTRS,
+        present_species(spark, sf), names, "esp_nom_commun",
+    )
 
 
 _LABEL = "CASE max(rang) WHEN 3 THEN 'Présent' WHEN 2 THEN 'Absent' ELSE 'Non détecté' END"
@@ -111,10 +114,9 @@ _LABEL = "CASE max(rang) WHEN 3 THEN 'Présent' WHEN 2 THEN 'Absent' ELSE 'Non d
                   FROM ptr JOIN customer ON code_station = c_custkey GROUP BY 1, 2, 3""",
 )
 def pa_basin_status(spark, sf):
-    places = table(spark, sf, "customer").select(F.col("c_custkey").alias("code_station"), F.col("c_nationkey").alias("code_exutoire"))
-    # the highest status of a station first: the basin join then moves one row per station, species and year
-    per_point = PR.highest_status(point_rows(spark, sf), ["code_station", "code_espece", "annee"])
-    return PR.highest_status(per_point.join(places, "code_station"), ["code_exutoire", "code_espece", "annee"])
+    d = zeroed(spark, sf, basin=True)
+    full = S.pattern_flag("type_peche", INVENTORY)
+    return PR.status_by(d, ["code_exutoire", "annee"], "code_espece", "effectif", full, present_species(spark, sf))
 
 
 @query(
@@ -124,7 +126,9 @@ def pa_basin_status(spark, sf):
 )
 def pa_status_map(spark, sf):
     places = table(spark, sf, "customer").select(F.col("c_custkey").alias("code_station"))
-    return PR.status_map(places, point_rows(spark, sf), "code_station", "code_espece", "Brand#12")
+    full = S.pattern_flag("type_peche", INVENTORY)
+    facts = PR.status_by(zeroed(spark, sf), ["code_station"], "code_espece", "effectif", full, present_species(spark, sf))
+    return PR.status_map(places, facts, "code_station", "code_espece", "Brand#12")
 
 
 def _pct(a: str, b: str) -> str:

@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from creel.functions.nulls import mean_strict, n_distinct, ratio, sum_or_zero, sum_strict
+from creel.functions.nulls import mean_strict, n_distinct, n_distinct_where, ratio, sum_or_zero, sum_strict
 from creel.operators.grouping import latest_one, latest_with_ties, with_group_values
 from creel.operators.prepare import complete_rows, lookup
+from creel.sources.tables import materialise
 
 INDICES = ["richesse", "shannon", "simpson", "pielou"]
 
@@ -73,8 +74,12 @@ def indices_presence(df: DataFrame, site: str | Sequence[str], species: str) ->
 
 
 def latest_per_point(ope_indices: DataFrame, bridge: DataFrame, op: str, point: str, when: str, **skew: int) -> DataFrame:
-    """Indices of the latest operation of each point, ties kept."""
-    dated = ope_indices.join(bridge.select(op, point, when).distinct(), op)
+    """Indices of the latest operation of each point, ties kept.
+
+    The indices are read twice (to find the date, to keep the rows), so they are
+    written out once instead of being computed twice.
+    """
+    dated = materialise(ope_indices.join(bridge.select(op, point, when).distinct(), op))
     return latest_with_ties(dated, [point], when, strict_dates=True, **skew)
 
 
@@ -125,24 +130,28 @@ def local_and_regional(
     full_inventory: Column,
     present: Column,
     min_points: int = 4,
-    **skew: int,
 ) -> DataFrame:
     """Mean local richness against regional richness.
 
     Basins need more than ``min_points`` inventoried points; each point counts
     with its latest year only.
     """
-    inventoried = df.where(full_inventory)
-    points = inventoried.groupBy(basin).agg(n_distinct(point).alias("n_inventaire"))
-    enough = points.where(F.col("n_inventaire") > min_points)
-    rows = inventoried.where(present).join(enough.select(basin), basin, "left_semi")
-    rows = latest_with_ties(rows, [point, basin], year, **skew)
-    # one row per (basin, point, species) carries both richness levels
-    pairs = rows.select(basin, point, species).distinct()
-    regional = pairs.groupBy(basin).agg(n_distinct(species).alias("richesse_regionale"))
-    local = pairs.groupBy(basin, point).agg(F.count(F.lit(1)).alias("__local"))
-    local = local.groupBy(basin).agg(F.avg("__local").alias("richesse_loc_moy"))
-    return regional.join(local, basin, "left")
+    # latest year of each species at each point; a species counts where that is the point's latest
+    last = F.max(F.when(present, F.col(year)))
+    per_species = df.where(full_inventory).groupBy(basin, point, species).agg(last.alias("__y"))
+    held = F.collect_list(F.when(F.col("__y").isNotNull(), F.struct(F.col("__y").alias("y"), F.col(species).alias("sp"))))
+    # an array of species of one point is bounded by the vocabulary
+    per_point = per_species.groupBy(basin, point).agg(held.alias("__held"))
+    per_point = per_point.withColumn("__y", F.array_max("__held")["y"])
+    kept = F.filter("__held", lambda e: e["y"] == F.col("__y"))
+    rows = per_point.select(basin, point, F.explode_outer(kept).alias("__e"))
+    found = F.col("__e").isNotNull()
+    out = rows.groupBy(basin).agg(
+        n_distinct(point).alias("__points"),
+        n_distinct_where(found, F.col("__e.sp")).alias("richesse_regionale"),
+        F.try_divide(F.count_if(found), n_distinct_where(found, point)).alias("richesse_loc_moy"),
+    )
+    return out.where((F.col("__points") > min_points) & (F.col("richesse_regionale") > 0)).drop("__points")
 
 
 def operation_richness(

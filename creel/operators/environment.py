@@ -102,16 +102,15 @@ def exact_quantiles(
             "__cnt": F.count(F.lit(1)),
             "__min": F.min("__x"),
             "__max": F.max("__x"),
-            "__lo": F.percentile_approx("__x", low, accuracy),
-            "__hi": F.percentile_approx("__x", high, accuracy),
+            "__edges": F.percentile_approx("__x", low + high, accuracy),
         },
         **skew,
     )
     # per probability: null for a row below the bracket, the value inside it, no row above
     slots = []
     for j, p in enumerate(probs):
-        lo = F.when(F.lit(low[j] <= 0), F.col("__min")).otherwise(F.col("__lo")[j])
-        hi = F.when(F.lit(high[j] >= 1), F.col("__max")).otherwise(F.col("__hi")[j])
+        lo = F.when(F.lit(low[j] <= 0), F.col("__min")).otherwise(F.col("__edges")[j])
+        hi = F.when(F.lit(high[j] >= 1), F.col("__max")).otherwise(F.col("__edges")[len(low) + j])
         slots.append(
             F.when(
                 F.col("__x") <= hi,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from creel.functions import scalars as S
 from creel.functions.nulls import n_distinct, n_distinct_where, ratio, sum_or_zero, sum_strict
+from creel.operators.grouping import salted_join
 from creel.operators.prepare import all_places, lookup
 
 # Ordered status labels, lowest first, and the default of a map.
@@ -21,6 +22,8 @@ TREND_LABELS = {
     "Sb": "Stable / baisse",
     "B": "Baisse",
 }
+# a vocabulary up to this size travels as one array (a few MB)
+VOCABULARY_LIMIT = 50_000
 ABSENT_EVERYWHERE = "Espèce absente du périmètre de l'étude"
 
 
@@ -41,6 +44,36 @@ def protocol_status(full_inventory: Column) -> Column:
     return F.when(full_inventory, STATUS_LEVELS[1]).otherwise(STATUS_LEVELS[0])
 
 
+def merge_records(df: DataFrame, op: str, species: str, count: str, op_cols: Sequence[str] = ()) -> DataFrame:
+    """One row per operation and species, counts summed; ``op_cols`` depend on the operation."""
+    attrs = [F.any_value(c).alias(c) for c in op_cols]
+    return df.groupBy(op, species).agg(sum_or_zero(F.col(count).cast("double")).alias(count), *attrs)
+
+
+def expand_missing(
+    held: DataFrame, vocabulary: DataFrame, species: str, seen: str, limit: int = VOCABULARY_LIMIT
+) -> DataFrame:
+    """One row per species of ``vocabulary`` that is not in the array ``seen``.
+
+    The vocabulary travels as one array while it holds at most ``limit`` species.
+    A larger one is cut into hashed blocks that are joined to the rows.
+    """
+    keep = [c for c in held.columns if c != seen]
+    if vocabulary.limit(limit + 1).count() <= limit:
+        everything = vocabulary.agg(F.collect_set(species)).scalar()
+        return held.select(*keep, F.explode(F.array_except(everything, F.col(seen))).alias(species))
+    n_blocks = -(-vocabulary.count() // limit) * 2
+    block = F.pmod(F.xxhash64(species), F.lit(n_blocks)).cast("int")
+    blocks = vocabulary.groupBy(block.alias("__block")).agg(F.collect_set(species).alias("__all"))
+    spread = held.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    joined = salted_join(spread, blocks, ["__block"])
+    return joined.select(*keep, F.explode(F.array_except("__all", seen)).alias(species))
+
+
+def _listed(vocabulary: DataFrame, species: str) -> DataFrame:
+    return vocabulary.select(species).where(F.col(species).isNotNull()).distinct()
+
+
 def absences(
     df: DataFrame,
     op: str,
@@ -49,37 +82,22 @@ def absences(
     vocabulary: DataFrame,
     op_cols: Sequence[str] = (),
     *,
-    vocabulary_limit: int = 50_000,
+    vocabulary_limit: int = VOCABULARY_LIMIT,
 ) -> DataFrame:
-    """Records with count 0: those recorded, and every (operation, species) pair not recorded.
+    """Every (operation, species) pair without individuals, with count 0.
 
-    One aggregation per operation gathers the recorded species (never more than the
-    vocabulary holds); the rest of the vocabulary is then exploded. ``op_cols`` must
-    depend on the operation alone. A vocabulary over ``vocabulary_limit`` species is
-    not put into one array: operations are then expanded against hashed blocks of it.
+    That is a pair recorded with count 0 or not recorded at all; a pair with a
+    missing count is neither present nor absent. Operations that record no species
+    of the vocabulary do not appear. One aggregation per operation gathers the
+    species it holds, never more than the vocabulary; the rest is exploded, so no
+    pair is generated that is not in the result.
     """
-    vocabulary = vocabulary.select(species).where(F.col(species).isNotNull()).distinct()
+    vocabulary = _listed(vocabulary, species)
     known = df.join(vocabulary, species, "left_semi")
-    attrs = [F.any_value(c).alias(c) for c in op_cols]
-    recorded = known.groupBy(op).agg(F.collect_set(species).alias("__seen"), *attrs)
-    size = vocabulary.limit(vocabulary_limit + 1).count()
-    if size <= vocabulary_limit:
-        everything = vocabulary.agg(F.collect_set(species)).scalar()
-        added = recorded.select(
-            op, *op_cols, F.explode(F.array_except(everything, F.col("__seen"))).alias(species)
-        )
-    else:
-        n_blocks = -(-vocabulary.count() // vocabulary_limit) * 2
-        block = F.pmod(F.xxhash64(species), F.lit(n_blocks)).cast("int")
-        blocks = vocabulary.groupBy(block.alias("__block")).agg(F.collect_set(species).alias("__all"))
-        added = (
-            recorded.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-            .join(blocks, "__block")
-            .select(op, *op_cols, F.explode(F.array_except("__all", "__seen")).alias(species))
-        )
-    cols = [op, *op_cols, species]
-    zero = known.where(F.col(count) == 0).select(*cols, F.col(count).cast("double").alias(count))
-    return zero.unionByName(added.select(*cols, F.lit(0.0).alias(count)))
+    held = F.collect_set(F.when(F.col(count).isNull() | (F.col(count) != 0), F.col(species)))
+    per_op = known.groupBy(op).agg(held.alias("__held"), *[F.any_value(c).alias(c) for c in op_cols])
+    out = expand_missing(per_op, vocabulary, species, "__held", vocabulary_limit)
+    return out.select(op, *op_cols, species, F.lit(0.0).alias(count))
 
 
 def point_table(
@@ -90,20 +108,77 @@ def point_table(
     protocol: str,
     inventory_pattern: str,
     op_cols: Sequence[str] = (),
+    vocabulary: DataFrame | None = None,
     names: DataFrame | None = None,
     name_col: str | None = None,
 ) -> DataFrame:
-    """Presences and absences with a status, its rank and the common name."""
-    ever = species_ever_present(df, species, count)
-    cols = [op, *[c for c in op_cols if c != protocol], protocol, species, count, "statut"]
-    present = presences(df.join(ever, species, "left_semi"), species, count)
-    absent = absences(df, op, species, count, ever, [c for c in cols[1:] if c not in (species, count, "statut")])
-    absent = absent.withColumn("statut", protocol_status(S.pattern_flag(protocol, inventory_pattern)))
-    both = present.select(*cols).withColumn(count, F.col(count).cast("double")).unionByName(absent.select(*cols))
-    both = both.withColumn("rang", S.level_rank("statut", STATUS_LEVELS))
+    """Presences and absences of every operation, with status, rank and common name.
+
+    Records of one operation and species are merged first. ``vocabulary`` holds the
+    species with a positive total; it is derived from ``df`` if not given, which
+    reads ``df`` once more.
+    """
+    attrs = list(dict.fromkeys([*op_cols, protocol]))
+    merged = merge_records(df, op, species, count, attrs)
+    if vocabulary is None:
+        vocabulary = species_ever_present(merged, species, count)
+    vocabulary = _listed(vocabulary, species)
+    known = merged.join(vocabulary, species, "left_semi")
+    caught = F.when(F.col(count) > 0, F.struct(F.col(species).alias("sp"), F.col(count).alias("n")))
+    per_op = known.groupBy(op).agg(F.collect_list(caught).alias("__caught"), *[F.any_value(c).alias(c) for c in attrs])
+    absent_rank = F.when(S.pattern_flag(protocol, inventory_pattern), 2).otherwise(1)
+    # one array per operation: its catches, then the rest of the vocabulary
+    everything = vocabulary.agg(F.collect_set(species)).scalar()
+    if vocabulary.limit(VOCABULARY_LIMIT + 1).count() > VOCABULARY_LIMIT:
+        present = per_op.select(op, *attrs, F.inline("__caught")).select(
+            op, *attrs, F.col("sp").alias(species), F.col("n").alias(count), F.lit(3).alias("rang")
+        )
+        held = per_op.select(op, *attrs, F.col("__caught.sp").alias("__held"))
+        absent = expand_missing(held, vocabulary, species, "__held").select(
+            op, *attrs, species, F.lit(0.0).alias(count), absent_rank.alias("rang")
+        )
+        both = present.unionByName(absent)
+    else:
+        present = F.transform("__caught", lambda e: F.struct(e["sp"].alias("sp"), e["n"].alias("n"), F.lit(3).alias("r")))
+        absent = F.transform(
+            "__rest",
+            lambda sp: F.struct(sp.alias("sp"), F.lit(0.0).alias("n"), F.col("__absent").alias("r")),
+        )
+        both = (
+            per_op.withColumns({"__absent": absent_rank, "__rest": F.array_except(everything, F.col("__caught.sp"))})
+            .select(op, *attrs, F.explode(F.concat(present, absent)).alias("__e"))
+            .select(op, *attrs, F.col("__e.sp").alias(species), F.col("__e.n").alias(count), F.col("__e.r").alias("rang"))
+        )
+    both = both.withColumn("statut", S.level_label("rang", STATUS_LEVELS))
     return both if names is None else lookup(both, names, [species], [name_col])
 
 
+def status_by(
+    df: DataFrame,
+    keys: Sequence[str],
+    species: str,
+    count: str,
+    full_inventory: Column,
+    vocabulary: DataFrame,
+) -> DataFrame:
+    """Highest status of each species by key, straight from the captures.
+
+    A species is present where one of the key's operations holds it, otherwise
+    absent if one of them was a full inventory. That is the maximum over the point
+    table without building it: one row per key and species instead of one per
+    operation and species.
+    """
+    vocabulary = _listed(vocabulary, species)
+    known = df.join(vocabulary, species, "left_semi")
+    grouped = known.groupBy(*keys).agg(
+        F.collect_set(F.when(F.col(count) > 0, F.col(species))).alias("__held"),
+        F.max(F.when(full_inventory, 2).otherwise(1)).alias("rang"),
+    )
+    absent = expand_missing(grouped, vocabulary, species, "__held").select(*keys, species, "rang")
+    present = grouped.select(*keys, F.explode("__held").alias(species), F.lit(3).alias("rang"))
+    return present.unionByName(absent).withColumn("statut", S.level_label("rang", STATUS_LEVELS))
+
+
 def highest_status(df: DataFrame, keys: Sequence[str], status: str = "statut", levels: Sequence[str] = STATUS_LEVELS) -> DataFrame:
     """Highest ordered label by key; a missing or unlisted label makes it missing."""
     rank = S.level_rank(status, levels)
@@ -220,13 +295,23 @@ def absent_everywhere(df: DataFrame, species: str, count: str, codes: DataFrame)
     return gone.withColumn("message", F.concat(F.col(species), F.lit(" : " + ABSENT_EVERYWHERE)))
 
 
-def occurrence_rate(df: DataFrame, keys: Sequence[str], species: str, code: str, digits: int = 2) -> DataFrame:
-    """Distinct key combinations recording the species, all combinations, and the share."""
-    per_key = df.groupBy(*keys).agg(
-        F.max(F.when(F.col(species) == code, 1).otherwise(0)).alias("__hit")
+def occurrence_rates(
+    df: DataFrame, units: Mapping[str, Sequence[str]], species: str, code: str, digits: int = 2, unit: str = "unite"
+) -> DataFrame:
+    """For each named unit (a combination of keys): how many hold the species, how many
+    there are, and the share. All units are counted in one pass."""
+    keyed = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(name).alias("u"), F.array(*[F.col(k).cast("string") for k in keys]).alias("k"))
+                for name, keys in units.items()
+            ]
+        )
     )
-    totals = per_key.agg(
-        F.coalesce(F.sum("__hit"), F.lit(0)).cast("bigint").alias("n_presence"), F.count(F.lit(1)).alias("n_total")
+    hit = F.when(F.col(species) == code, 1).otherwise(0).alias("__hit")
+    per_key = df.select(keyed.alias("__x"), hit).groupBy("__x").agg(F.max("__hit").alias("__hit"))
+    totals = per_key.groupBy(F.col("__x.u").alias(unit)).agg(
+        F.sum("__hit").cast("bigint").alias("n_presence"), F.count(F.lit(1)).alias("n_total")
     )
     return totals.withColumn("pourcentage", S.signif_percent_text(ratio("n_presence", "n_total"), digits))
 

@@ -25,6 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/creel-{uuid4().hex}"
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write an intermediate table once to the shared folder and read it back.
+
+    For a table that is expensive and read more than once. Unlike a cache it does
+    not depend on an executor staying alive.
+    """
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
