@@ -109,8 +109,10 @@ def exact_quantiles(
     # per probability: null for a row below the bracket, the value inside it, no row above
     slots = []
     for j, p in enumerate(probs):
-        lo = F.when(F.lit(low[j] <= 0), F.col("__min")).otherwise(F.col("__edges")[j])
-        hi = F.when(F.lit(high[j] >= 1), F.col("__max")).otherwise(F.col("__edges")[len(low) + j])
+        # a group of few rows is its own bracket: ranks are too coarse for the margin there
+        few = F.col("__cnt") * F.lit(margin) < 8
+        lo = F.when(few | F.lit(low[j] <= 0), F.col("__min")).otherwise(F.col("__edges")[j])
+        hi = F.when(few | F.lit(high[j] >= 1), F.col("__max")).otherwise(F.col("__edges")[len(low) + j])
         slots.append(
             F.when(
                 F.col("__x") <= hi,

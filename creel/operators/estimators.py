@@ -90,8 +90,8 @@ def missed_share(n: Column, f: Column, k: Column) -> Column:
     s, t = F.least(f, k).cast("double"), F.greatest(f, k).cast("double")
     x0, y0, x1, y1 = n + 1, n - s + 1, n - t + 1, n - t - s + 1
     log_ratio = (
-        (x1 - 0.5) * F.ln(x1 / y1)
-        - (x0 - 0.5) * F.ln(x0 / y0)
+        (x1 - 0.5) * F.log1p(s / y1)
+        - (x0 - 0.5) * F.log1p(s / y0)
         + s * F.ln(y1 / y0)
         + _stirling_remainder(x1)
         - _stirling_remainder(y1)
