@@ -260,12 +260,13 @@ def _indices_sql(source: str, site: str, extra: str = "") -> str:
       indices AS (SELECT {site}, richesse, shannon, simpson, CASE WHEN richesse > 1 THEN shannon / ln(richesse) END AS pielou FROM ind){extra}"""
 
 
-_OUT = "richesse, round(shannon, 6) AS shannon, round(simpson, 6) AS simpson, round(pielou, 6) AS pielou"
+# Simpson is a ratio of whole numbers, equal in both engines without rounding
+_OUT = "richesse, round(shannon, 6) AS shannon, simpson, round(pielou, 6) AS pielou"
 _BY_OPE = "s AS (SELECT ope_id, code_espece, sum(effectif) AS n FROM cap GROUP BY 1, 2)"
 
 
 def rounded(df, *keys):
-    return df.select(*keys, "richesse", r("shannon"), r("simpson"), r("pielou"))
+    return df.select(*keys, "richesse", r("shannon"), "simpson", r("pielou"))
 
 
 @query("div_indices_site", f"WITH {CAP}, {_BY_OPE}, {_indices_sql('s', 'ope_id')} SELECT ope_id, {_OUT} FROM indices")
@@ -306,14 +307,13 @@ def latest_indices(spark, sf):
 @query(
     "div_latest_per_point",
     f"""WITH {CAP}, {_BY_OPE}, {_indices_sql('s', 'ope_id')}, {_LAST_PT}
-        SELECT ope_id, code_station, name, round(value, 6) AS value FROM (
-          SELECT ope_id, code_station, 'richesse' AS name, CAST(richesse AS DOUBLE) AS value FROM dern
-          UNION ALL SELECT ope_id, code_station, 'shannon', shannon FROM dern
-          UNION ALL SELECT ope_id, code_station, 'simpson', simpson FROM dern
-          UNION ALL SELECT ope_id, code_station, 'pielou', pielou FROM dern)""",
+        SELECT ope_id, code_station, 'richesse' AS name, CAST(richesse AS DOUBLE) AS value FROM dern
+        UNION ALL SELECT ope_id, code_station, 'shannon', round(shannon, 6) FROM dern
+        UNION ALL SELECT ope_id, code_station, 'simpson', simpson FROM dern
+        UNION ALL SELECT ope_id, code_station, 'pielou', round(pielou, 6) FROM dern""",
 )
 def div_latest_per_point(spark, sf):
-    return D.indices_long(latest_indices(spark, sf), ["ope_id", "code_station"]).withColumn("value", F.round("value", 6))
+    return D.indices_long(rounded(latest_indices(spark, sf), "ope_id", "code_station"), ["ope_id", "code_station"])
 
 
 @query(
@@ -346,7 +346,7 @@ def div_model_table(spark, sf):
 def div_filter_positive(spark, sf):
     ind = D.indices(lots(spark, sf), "ope_id", "code_espece", "effectif")
     kept = D.positive_only(ind, ["shannon", "simpson", "pielou"])
-    return kept.select("ope_id", "richesse", r("shannon"), r("simpson"), r("pielou"), r("log_richesse"))
+    return rounded(kept.withColumn("log_richesse", F.round("log_richesse", 6)), "ope_id", "log_richesse")
 
 
 @query(
