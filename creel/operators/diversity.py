@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from creel.functions.nulls import mean_strict, n_distinct, n_distinct_where, ratio, sum_or_zero, sum_strict
-from creel.operators.grouping import latest_one, latest_with_ties, with_group_values
+from creel.operators.grouping import attach_group_values, latest_one, latest_with_ties
 from creel.operators.prepare import complete_rows, lookup
 from creel.sources.tables import materialise
 
@@ -191,7 +191,11 @@ def density_by_basin(
 ) -> DataFrame:
     """Individuals of the basin at its latest year over the basin area, kept on each row."""
     kept = rows.where(~F.col(basin).isin(list(exclude))) if exclude else rows
-    last = latest_with_ties(kept, [basin], year, **skew)
-    out = with_group_values(last, [basin], {"effectif_bassin": sum_strict(count)}, **skew)
+    per_year = kept.groupBy(basin, year).agg(sum_strict(count).alias("__sum"), F.count(F.lit(1)).alias("__n"))
+    per_basin = per_year.groupBy(basin).agg(
+        F.max(year).alias("__latest"), F.max_by("__sum", year).alias("effectif_bassin"), F.sum("__n").alias("__n")
+    )
+    out = attach_group_values(kept, [basin], per_basin, ["__latest", "effectif_bassin"], **skew)
+    out = out.where(F.col(year) == F.col("__latest")).drop("__latest")
     out = out.withColumn("densite_bassin", ratio("effectif_bassin", area))
     return out.withColumns({"log_densite_bassin": F.ln("densite_bassin"), "log_surf": F.ln(area)})

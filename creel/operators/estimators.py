@@ -15,14 +15,25 @@ BLOCK = 4096
 
 
 def incidence(df: DataFrame, pool: str, unit: str, species: str) -> DataFrame:
-    """Per pool and species, the number of units holding it, and the units of the pool.
+    """Per pool: its units ``n``, its species ``s``, and how many species ``m`` are held
+    by exactly ``f`` units, as an array ``levels`` of (f, m).
 
-    Units without any species do not appear in a capture table and do not count.
+    Units without any record do not appear in a capture table and do not count. One
+    pass: every unit also emits one row that stands for the unit itself, so its
+    frequency is the number of units and no second aggregation has to be joined.
     """
-    held = df.select(pool, unit, species).distinct()
-    units = held.groupBy(pool, unit).agg(F.lit(1).alias("__u")).groupBy(pool).agg(F.count(F.lit(1)).alias("n"))
-    freq = held.where(F.col(species).isNotNull()).groupBy(pool, species).agg(F.count(F.lit(1)).alias("f"))
-    return freq.join(units, pool)
+    record = F.when(F.col(species).isNotNull(), F.struct(F.lit(False).alias("u"), F.col(species).alias("sp")))
+    itself = F.struct(F.lit(True).alias("u"), F.lit(None).cast(df.schema[species].dataType).alias("sp"))
+    held = df.select(pool, unit, F.inline(F.array_compact(F.array(record, itself)))).distinct()
+    freq = held.groupBy(pool, "u", "sp").agg(F.count(F.lit(1)).alias("f"))
+    by_level = freq.groupBy(pool, "u", "f").agg(F.count(F.lit(1)).alias("m"))
+    # distinct frequencies of one pool: never more than its species
+    level = F.when(~F.col("u"), F.struct("f", "m"))
+    return by_level.groupBy(pool).agg(
+        F.max(F.when(F.col("u"), F.col("f"))).alias("n"),
+        F.coalesce(F.sum(F.when(~F.col("u"), F.col("m"))), F.lit(0)).alias("s"),
+        F.collect_list(level).alias("levels"),
+    ).where(F.col("s") > 0)
 
 
 def pool_estimates(df: DataFrame, pool: str, unit: str, species: str) -> DataFrame:
@@ -30,21 +41,22 @@ def pool_estimates(df: DataFrame, pool: str, unit: str, species: str) -> DataFra
 
     ``jack2`` is missing for a pool of one unit.
     """
-    freq = incidence(df, pool, unit, species)
-    n, f = F.col("n").cast("double"), F.col("f").cast("double")
-    per_pool = freq.groupBy(pool).agg(
-        F.max("n").alias("n"),
-        F.count(F.lit(1)).alias("richesse_observee"),
-        F.count_if(F.col("f") == 1).cast("double").alias("__a1"),
-        F.count_if(F.col("f") == 2).cast("double").alias("__a2"),
-        F.sum(F.pow(1 - f / n, n)).alias("__b"),
+    n, s = F.col("n").cast("double"), F.col("s")
+
+    def held_by(units: int) -> Column:
+        found = F.filter("levels", lambda e: e["f"] == units)
+        return F.coalesce(F.get(found, F.lit(0))["m"], F.lit(0)).cast("double")
+
+    missed = F.aggregate(
+        "levels", F.lit(0.0), lambda acc, e: acc + e["m"] * F.pow(1 - e["f"].cast("double") / n, n)
     )
-    s, a1, a2 = F.col("richesse_observee"), F.col("__a1"), F.col("__a2")
+    per_pool = incidence(df, pool, unit, species).withColumns({"__a1": held_by(1), "__a2": held_by(2), "__b": missed})
+    a1, a2 = F.col("__a1"), F.col("__a2")
     shrink = (n - 1) / n
     return per_pool.select(
         pool,
         "n",
-        "richesse_observee",
+        F.col("s").alias("richesse_observee"),
         (s + shrink * F.when(a2 > 0, a1 * a1 / F.nullif(2 * a2, F.lit(0.0))).otherwise(a1 * (a1 - 1) / 2)).alias("chao"),
         (s + a1 * shrink).alias("jack1"),
         (s + a1 * (2 * n - 3) / n - F.try_divide(a2 * (n - 2) * (n - 2), n * (n - 1))).alias("jack2"),
@@ -101,20 +113,19 @@ def missed_share(n: Column, f: Column, k: Column) -> Column:
     return F.when(f + k > n, 0.0).otherwise(F.exp(log_ratio))
 
 
-def accumulation(df: DataFrame, site: str, op: str, species: str, *, block: int = BLOCK) -> DataFrame:
-    """Expected richness of 1..n operations of each site (exact, not sampled).
+def accumulation(df: DataFrame, site: str, op: str, species: str, *, min_ops: int = 0, block: int = BLOCK) -> DataFrame:
+    """Expected richness of 1..n operations of each site with more than ``min_ops`` (exact, not sampled).
 
     ``S(k) = Σ m(f) · (1 - C(n-f,k)/C(n,k))`` over the distinct frequencies ``f``,
     held by ``m`` species each. A curve is expanded in blocks of steps, and the
     blocks are spread before the steps are, so one huge site fills many tasks.
     """
-    freq = incidence(df, site, op, species)
-    levels = freq.groupBy(site, "n", "f").agg(F.count(F.lit(1)).alias("m"))
-    blocks = levels.withColumn(
-        "__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / block).cast("bigint")))
-    ).repartition(F.col(site), F.col("__b"))
+    pools = incidence(df, site, op, species).where(F.col("n") > min_ops)
+    last = F.floor((F.col("n") - 1) / block).cast("bigint")
+    blocks = pools.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    levels = blocks.repartition(F.col(site), F.col("__b")).select(site, "n", "__b", F.inline("levels"))
     first = F.col("__b") * block + 1
-    steps = blocks.withColumn("n_opes", F.explode(F.sequence(first, F.least(first + block - 1, F.col("n")))))
+    steps = levels.withColumn("n_opes", F.explode(F.sequence(first, F.least(first + block - 1, F.col("n")))))
     gain = F.col("m") * (1 - missed_share(F.col("n"), F.col("f"), F.col("n_opes")))
     curve = steps.groupBy(site, "__b", "n_opes").agg(F.sum(gain).alias("pt_richesse"))
     return curve.select(site, "n_opes", "pt_richesse")
@@ -131,14 +142,9 @@ def accumulation_well_sampled(
     unknown: str = "Inconnu",
 ) -> DataFrame:
     """Curves of the sites with more than ``min_ops`` operations, with a place label."""
-    held = df.select(site, op, species).distinct()
-    sizes = held.groupBy(site, op).agg(F.lit(1).alias("__u")).groupBy(site).agg(F.count(F.lit(1)).alias("__n"))
-    enough = sizes.where(F.col("__n") > min_ops).select(site)
-    curve = accumulation(held.join(enough, site, "left_semi"), site, op, species)
+    curve = accumulation(df, site, op, species, min_ops=min_ops)
     if labels is None:
         return curve
     named = curve.join(labels.select(site, label).distinct(), site, "left")
     text = F.concat(F.col(site).cast("string"), F.lit(" ("), F.coalesce(F.col(label), F.lit(unknown)), F.lit(")"))
     return named.withColumn(label, text)
-
-

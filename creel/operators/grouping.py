@@ -44,32 +44,40 @@ def hot_keys(
 
 
 def with_group_values(
+    df: DataFrame, keys: Sequence[str], aggs: dict[str, Column], *, share: int = HOT_SHARE, min_rows: int = HOT_MIN_ROWS
+) -> DataFrame:
+    """Add per-group aggregates to every row; missing keys form a group."""
+    groups = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()], F.count(F.lit(1)).alias("__n"))
+    return attach_group_values(df, keys, groups, list(aggs), share=share, min_rows=min_rows)
+
+
+def attach_group_values(
     df: DataFrame,
     keys: Sequence[str],
-    aggs: dict[str, Column],
+    groups: DataFrame,
+    names: Sequence[str],
     *,
     share: int = HOT_SHARE,
     min_rows: int = HOT_MIN_ROWS,
 ) -> DataFrame:
-    """Add per-group aggregates to every row; missing keys form a group.
+    """Add the columns ``names`` of a table with one row per group to every row of ``df``.
 
-    Rows of hot groups take their value from a broadcast of at most ``share``
-    rows and carry a salt, so the remaining join never gathers them in one task.
+    ``groups`` carries its row counts as ``__n``. Rows of hot groups take their value
+    from a broadcast of at most ``share`` rows and carry a salt, so the remaining join
+    never gathers them in one task.
     """
-    names = list(aggs)
+    if not keys:
+        one = groups.agg(F.first(F.struct(*names)).alias("__v")).scalar()
+        return df.withColumn("__v", one).select(*df.columns, *[F.col("__v")[n].alias(n) for n in names])
     kk = {k: f"__k_{i}" for i, k in enumerate(keys)}
-    groups = df.groupBy(*[F.col(k).alias(kk[k]) for k in keys]).agg(
-        F.struct(*[a.alias(n) for n, a in aggs.items()]).alias("__v"), F.count(F.lit(1)).alias("__n")
-    )
+    groups = groups.select(*[F.col(k).alias(a) for k, a in kk.items()], F.struct(*names).alias("__v"), "__n")
     total = groups.agg(F.sum("__n")).scalar()
     is_hot = (F.col("__n") >= min_rows) & (F.col("__n") * share >= total)
     hot = groups.where(is_hot).select(*kk.values(), F.col("__v").alias("__hot"))
     rest = groups.select(*kk.values(), "__v", F.lit(0).alias("__s"))
 
     rows = df.join(F.broadcast(hot), _null_safe(df, hot, list(kk.items())), "left").drop(*kk.values())
-    rows = rows.withColumn(
-        "__salt", F.when(F.col("__hot").isNull(), 0).otherwise(spread_salt(df) + 1)
-    )
+    rows = rows.withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(spread_salt(df) + 1))
     cond = _null_safe(rows, rest, list(kk.items())) & (F.col("__salt") == F.col("__s"))
     out = rows.join(rest, cond, "left")
     value = F.coalesce(F.col("__hot"), F.col("__v"))

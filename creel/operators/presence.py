@@ -10,6 +10,7 @@ from creel.functions import scalars as S
 from creel.functions.nulls import n_distinct, n_distinct_where, ratio, sum_or_zero, sum_strict
 from creel.operators.grouping import salted_join
 from creel.operators.prepare import all_places, lookup
+from creel.sources.tables import materialise
 
 # Ordered status labels, lowest first, and the default of a map.
 STATUS_LEVELS = ["Non détecté", "Absent", "Présent"]
@@ -70,8 +71,27 @@ def expand_missing(
     return joined.select(*keep, F.explode(F.array_except("__all", seen)).alias(species))
 
 
+def expand_vocabulary(rows: DataFrame, vocabulary: DataFrame, species: str, caught: str, count: str) -> DataFrame:
+    """One row per row of ``rows`` and species of the vocabulary.
+
+    ``caught`` is an array of (sp, n); the other species get a missing ``count``.
+    """
+    keep = [c for c in rows.columns if c != caught]
+    if vocabulary.limit(VOCABULARY_LIMIT + 1).count() > VOCABULARY_LIMIT:
+        present = rows.select(*keep, F.inline(caught)).withColumnsRenamed({"sp": species, "n": count})
+        held = rows.select(*keep, F.col(caught)["sp"].alias("__held"))
+        absent = expand_missing(held, vocabulary, species, "__held", VOCABULARY_LIMIT).withColumn(count, F.lit(None).cast("double"))
+        return present.unionByName(absent)
+    everything = vocabulary.agg(F.collect_set(species)).scalar()
+    others = F.transform("__rest", lambda sp: F.struct(sp.alias("sp"), F.lit(None).cast("double").alias("n")))
+    rest = rows.withColumn("__rest", F.array_except(everything, F.col(caught)["sp"]))
+    flat = rest.select(*keep, F.explode(F.concat(F.col(caught), others)).alias("__e"))
+    return flat.select(*keep, F.col("__e.sp").alias(species), F.col("__e.n").alias(count))
+
+
 def _listed(vocabulary: DataFrame, species: str) -> DataFrame:
-    return vocabulary.select(species).where(F.col(species).isNotNull()).distinct()
+    """The species list as a small written table: it is read several times."""
+    return materialise(vocabulary.select(species).where(F.col(species).isNotNull()).distinct())
 
 
 def absences(
@@ -126,30 +146,10 @@ def point_table(
     known = merged.join(vocabulary, species, "left_semi")
     caught = F.when(F.col(count) > 0, F.struct(F.col(species).alias("sp"), F.col(count).alias("n")))
     per_op = known.groupBy(op).agg(F.collect_list(caught).alias("__caught"), *[F.any_value(c).alias(c) for c in attrs])
-    absent_rank = F.when(S.pattern_flag(protocol, inventory_pattern), 2).otherwise(1)
-    # one array per operation: its catches, then the rest of the vocabulary
-    everything = vocabulary.agg(F.collect_set(species)).scalar()
-    if vocabulary.limit(VOCABULARY_LIMIT + 1).count() > VOCABULARY_LIMIT:
-        present = per_op.select(op, *attrs, F.inline("__caught")).select(
-            op, *attrs, F.col("sp").alias(species), F.col("n").alias(count), F.lit(3).alias("rang")
-        )
-        held = per_op.select(op, *attrs, F.col("__caught.sp").alias("__held"))
-        absent = expand_missing(held, vocabulary, species, "__held").select(
-            op, *attrs, species, F.lit(0.0).alias(count), absent_rank.alias("rang")
-        )
-        both = present.unionByName(absent)
-    else:
-        present = F.transform("__caught", lambda e: F.struct(e["sp"].alias("sp"), e["n"].alias("n"), F.lit(3).alias("r")))
-        absent = F.transform(
-            "__rest",
-            lambda sp: F.struct(sp.alias("sp"), F.lit(0.0).alias("n"), F.col("__absent").alias("r")),
-        )
-        both = (
-            per_op.withColumns({"__absent": absent_rank, "__rest": F.array_except(everything, F.col("__caught.sp"))})
-            .select(op, *attrs, F.explode(F.concat(present, absent)).alias("__e"))
-            .select(op, *attrs, F.col("__e.sp").alias(species), F.col("__e.n").alias(count), F.col("__e.r").alias("rang"))
-        )
-    both = both.withColumn("statut", S.level_label("rang", STATUS_LEVELS))
+    both = expand_vocabulary(per_op, vocabulary, species, "__caught", count)
+    inventoried = S.pattern_flag(protocol, inventory_pattern)
+    both = both.withColumn("rang", F.when(F.col(count).isNotNull(), 3).when(inventoried, 2).otherwise(1))
+    both = both.withColumns({count: F.coalesce(count, F.lit(0.0)), "statut": S.level_label("rang", STATUS_LEVELS)})
     return both if names is None else lookup(both, names, [species], [name_col])
 
 
@@ -170,13 +170,13 @@ def status_by(
     """
     vocabulary = _listed(vocabulary, species)
     known = df.join(vocabulary, species, "left_semi")
+    caught = F.when(F.col(count) > 0, F.struct(F.col(species).alias("sp"), F.lit(1.0).alias("n")))
     grouped = known.groupBy(*keys).agg(
-        F.collect_set(F.when(F.col(count) > 0, F.col(species))).alias("__held"),
-        F.max(F.when(full_inventory, 2).otherwise(1)).alias("rang"),
+        F.collect_set(caught).alias("__caught"), F.max(F.when(full_inventory, 2).otherwise(1)).alias("rang")
     )
-    absent = expand_missing(grouped, vocabulary, species, "__held").select(*keys, species, "rang")
-    present = grouped.select(*keys, F.explode("__held").alias(species), F.lit(3).alias("rang"))
-    return present.unionByName(absent).withColumn("statut", S.level_label("rang", STATUS_LEVELS))
+    both = expand_vocabulary(grouped, vocabulary, species, "__caught", "__n")
+    both = both.withColumn("rang", F.when(F.col("__n").isNotNull(), 3).otherwise(F.col("rang"))).drop("__n")
+    return both.withColumn("statut", S.level_label("rang", STATUS_LEVELS))
 
 
 def highest_status(df: DataFrame, keys: Sequence[str], status: str = "statut", levels: Sequence[str] = STATUS_LEVELS) -> DataFrame:

@@ -351,16 +351,14 @@ def model_table(
 ) -> DataFrame:
     """Long table ``(by, response, term_order, term, cell)``: coefficients, then adjusted r²."""
     fits = linear_models(df, responses, predictors, by=by, factors=factors, step=step)
-    keys = [*by, "response"]
-    cells = fits.select(*keys, "term_order", "term", cell_text(F.col("estimate"), F.col("p_value"), digits).alias("cell"))
-    tail = fits.groupBy(*keys).agg(F.max("adj_r2").alias("__r"))
-    tail = tail.select(
-        *keys,
-        F.lit(10_000).alias("term_order"),
-        F.lit("adj.r.squared").alias("term"),
-        S.number_text(F.col("__r"), digits).alias("cell"),
-    )
-    return cells.unionByName(tail)
+
+    def row(order: Column, term: Column, cell: Column) -> Column:
+        return F.struct(order.alias("term_order"), term.alias("term"), cell.alias("cell"))
+
+    coefficient = row(F.col("term_order"), F.col("term"), cell_text(F.col("estimate"), F.col("p_value"), digits))
+    r2 = row(F.lit(10_000), F.lit("adj.r.squared"), S.number_text(F.col("adj_r2"), digits))
+    rows = F.array_compact(F.array(coefficient, F.when(F.col("term") == INTERCEPT, r2)))
+    return fits.select(*by, "response", F.inline(rows))
 
 
 def tag_subsets(df: DataFrame, subsets: Mapping[str, Column], out: str = "subset") -> DataFrame:

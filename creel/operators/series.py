@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from creel.sources.tables import materialise
+
 # the time range is cut into this many blocks, the level range into this many cells
 BLOCKS = 1024
 
@@ -45,7 +47,8 @@ def inverse_level(levels: DataFrame, series: DataFrame, wanted: str, time: str,
     equi-join. New lows are found block by block of the time range, never with
     the whole series in one task.
     """
-    one = series.groupBy(time).agg(F.min(level).alias(level)).where(F.col(level).isNotNull())
+    # read several times below, so written out once
+    one = materialise(series.groupBy(time).agg(F.min(level).alias(level)).where(F.col(level).isNotNull()))
     span = one.agg(F.struct(F.min(time).alias("t0"), F.max(time).alias("t1"))).scalar()
     width = F.greatest((span["t1"] - span["t0"]) / F.lit(BLOCKS), F.lit(1e-300))
     blocked = one.withColumn("__b", F.least(F.floor((F.col(time) - span["t0"]) / width), F.lit(BLOCKS - 1)).cast("int"))
