@@ -32,4 +32,4 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from catalog import aggregates, diversity, expressions, models, places, tables  # noqa: F401
+    from catalog import aggregates, diversity, expressions, flows, models, places, tables  # noqa: F401

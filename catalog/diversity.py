@@ -391,17 +391,18 @@ def div_richness_operation(spark, sf):
 # -- estimators -----------------------------------------------------------------------------
 
 
-def _pool_sql(source: str, pool: str) -> str:
-    return f"""h AS (SELECT DISTINCT {pool}, ope_id, code_espece FROM {source}),
-      f AS (SELECT {pool}, code_espece, count(*)::DOUBLE AS f FROM h GROUP BY 1, 2),
-      u AS (SELECT {pool}, count(DISTINCT ope_id) AS n FROM h GROUP BY 1),
-      a AS (SELECT f.{pool}, n, count(*) AS s, count(*) FILTER (WHERE f = 1)::DOUBLE AS a1, count(*) FILTER (WHERE f = 2)::DOUBLE AS a2,
-                   sum(pow(1 - f / n, n)) AS b FROM f JOIN u ON f.{pool} = u.{pool} GROUP BY 1, 2),
-      pool AS (SELECT {pool}, n, s AS richesse_observee,
+def _pool_sql(source: str, pool: str, tag: str = "") -> str:
+    """CTE ``pool`` + tag: the four estimators per pool; ``tag`` keeps two uses apart."""
+    return f"""h{tag} AS (SELECT DISTINCT {pool}, ope_id, code_espece FROM {source}),
+      f{tag} AS (SELECT {pool}, code_espece, count(*)::DOUBLE AS f FROM h{tag} GROUP BY 1, 2),
+      u{tag} AS (SELECT {pool}, count(DISTINCT ope_id) AS n FROM h{tag} GROUP BY 1),
+      a{tag} AS (SELECT f.{pool}, n, count(*) AS s, count(*) FILTER (WHERE f = 1)::DOUBLE AS a1, count(*) FILTER (WHERE f = 2)::DOUBLE AS a2,
+                   sum(pow(1 - f / n, n)) AS b FROM f{tag} f JOIN u{tag} u ON f.{pool} = u.{pool} GROUP BY 1, 2),
+      pool{tag} AS (SELECT {pool}, n, s AS richesse_observee,
                  s + (n - 1.0e0) / n * CASE WHEN a2 > 0 THEN a1 * a1 / (2 * a2) ELSE a1 * (a1 - 1) / 2 END AS chao,
                  s + a1 * (n - 1.0e0) / n AS jack1,
                  CASE WHEN n > 1 THEN s + a1 * (2.0e0 * n - 3) / n - a2 * (n - 2.0e0) * (n - 2) / (n * (n - 1.0e0)) END AS jack2,
-                 s + b AS boot FROM a)"""
+                 s + b AS boot FROM a{tag})"""
 
 
 @query(

@@ -15,25 +15,26 @@ BLOCK = 4096
 
 
 def incidence(df: DataFrame, pool: str, unit: str, species: str) -> DataFrame:
-    """Per pool: its units ``n``, its species ``s``, and how many species ``m`` are held
-    by exactly ``f`` units, as an array ``levels`` of (f, m).
+    """Per pool: its units ``n``, its species ``__s``, and how many species ``m`` are
+    held by exactly ``f`` units, as an array ``__levels`` of (f, m).
 
     Units without any record do not appear in a capture table and do not count. One
-    pass: every unit also emits one row that stands for the unit itself, so its
-    frequency is the number of units and no second aggregation has to be joined.
+    pass: next to its species every unit emits one row without species, which stands
+    for the unit itself. Its frequency is the number of units, so no second
+    aggregation has to be joined.
     """
-    record = F.when(F.col(species).isNotNull(), F.struct(F.lit(False).alias("u"), F.col(species).alias("sp")))
-    itself = F.struct(F.lit(True).alias("u"), F.lit(None).cast(df.schema[species].dataType).alias("sp"))
-    held = df.select(pool, unit, F.inline(F.array_compact(F.array(record, itself)))).distinct()
-    freq = held.groupBy(pool, "u", "sp").agg(F.count(F.lit(1)).alias("f"))
-    by_level = freq.groupBy(pool, "u", "f").agg(F.count(F.lit(1)).alias("m"))
+    sets = df.groupBy(pool, unit).agg(F.collect_set(species).alias("__sp"))
+    itself = F.array(F.lit(None).cast(df.schema[species].dataType))
+    held = sets.select(pool, F.explode(F.concat("__sp", itself)).alias("__sp"))
+    freq = held.groupBy(pool, "__sp").agg(F.count(F.lit(1)).alias("__f"))
+    by_level = freq.groupBy(pool, F.col("__sp").isNull().alias("__u"), "__f").agg(F.count(F.lit(1)).alias("__m"))
     # distinct frequencies of one pool: never more than its species
-    level = F.when(~F.col("u"), F.struct("f", "m"))
+    level = F.when(~F.col("__u"), F.struct(F.col("__f").alias("f"), F.col("__m").alias("m")))
     return by_level.groupBy(pool).agg(
-        F.max(F.when(F.col("u"), F.col("f"))).alias("n"),
-        F.coalesce(F.sum(F.when(~F.col("u"), F.col("m"))), F.lit(0)).alias("s"),
-        F.collect_list(level).alias("levels"),
-    ).where(F.col("s") > 0)
+        F.max(F.when(F.col("__u"), F.col("__f"))).alias("n"),
+        F.sum(F.when(~F.col("__u"), F.col("__m"))).alias("__s"),
+        F.collect_list(level).alias("__levels"),
+    ).where(F.col("__s") > 0)
 
 
 def pool_estimates(df: DataFrame, pool: str, unit: str, species: str) -> DataFrame:
@@ -41,14 +42,14 @@ def pool_estimates(df: DataFrame, pool: str, unit: str, species: str) -> DataFra
 
     ``jack2`` is missing for a pool of one unit.
     """
-    n, s = F.col("n").cast("double"), F.col("s")
+    n, s = F.col("n").cast("double"), F.col("__s")
 
     def held_by(units: int) -> Column:
-        found = F.filter("levels", lambda e: e["f"] == units)
+        found = F.filter("__levels", lambda e: e["f"] == units)
         return F.coalesce(F.get(found, F.lit(0))["m"], F.lit(0)).cast("double")
 
     missed = F.aggregate(
-        "levels", F.lit(0.0), lambda acc, e: acc + e["m"] * F.pow(1 - e["f"].cast("double") / n, n)
+        "__levels", F.lit(0.0), lambda acc, e: acc + e["m"] * F.pow(1 - e["f"].cast("double") / n, n)
     )
     per_pool = incidence(df, pool, unit, species).withColumns({"__a1": held_by(1), "__a2": held_by(2), "__b": missed})
     a1, a2 = F.col("__a1"), F.col("__a2")
@@ -56,7 +57,7 @@ def pool_estimates(df: DataFrame, pool: str, unit: str, species: str) -> DataFra
     return per_pool.select(
         pool,
         "n",
-        F.col("s").alias("richesse_observee"),
+        F.col("__s").alias("richesse_observee"),
         (s + shrink * F.when(a2 > 0, a1 * a1 / F.nullif(2 * a2, F.lit(0.0))).otherwise(a1 * (a1 - 1) / 2)).alias("chao"),
         (s + a1 * shrink).alias("jack1"),
         (s + a1 * (2 * n - 3) / n - F.try_divide(a2 * (n - 2) * (n - 2), n * (n - 1))).alias("jack2"),
@@ -78,17 +79,15 @@ def mean_estimate(
     return estimates.withColumns({c: S.round_even(c, digits) for c in [*ESTIMATORS, out]})
 
 
-# Stirling remainder of ln Γ at 1..16; beyond, four terms of the series are exact to 1e-15
+# Stirling remainder of ln Γ at 1..200; beyond, two terms of the series are exact to 3e-15
 _REMAINDER = [
-    math.lgamma(m) - ((m - 0.5) * math.log(m) - m + 0.5 * math.log(2 * math.pi)) for m in range(1, 17)
+    math.lgamma(m) - ((m - 0.5) * math.log(m) - m + 0.5 * math.log(2 * math.pi)) for m in range(1, 201)
 ]
 
 
 def _stirling_remainder(x: Column) -> Column:
-    series = F.lit(1.0) / (12 * x) - F.lit(1.0) / (360 * x * x * x) + F.lit(1.0) / (1260 * F.pow(x, F.lit(5.0)))
-    series = series - F.lit(1.0) / (1680 * F.pow(x, F.lit(7.0)))
-    table = F.array(*[F.lit(v) for v in _REMAINDER])
-    return F.when(x <= len(_REMAINDER), F.get(table, x.cast("int") - 1)).otherwise(series)
+    series = (F.lit(1 / 12) - F.lit(1 / 360) / (x * x)) / x
+    return F.coalesce(F.get(F.lit(_REMAINDER), F.least(x, F.lit(201.0)).cast("int") - 1), series)
 
 
 def missed_share(n: Column, f: Column, k: Column) -> Column:
@@ -123,10 +122,14 @@ def accumulation(df: DataFrame, site: str, op: str, species: str, *, min_ops: in
     pools = incidence(df, site, op, species).where(F.col("n") > min_ops)
     last = F.floor((F.col("n") - 1) / block).cast("bigint")
     blocks = pools.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    levels = blocks.repartition(F.col(site), F.col("__b")).select(site, "n", "__b", F.inline("levels"))
+    # a stated number of partitions: the rows are few here but grow by up to ``block`` below,
+    # which adaptive coalescing would not foresee
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = blocks.repartition(parts, F.col(site), F.col("__b"))
+    levels = spread.select(site, "n", "__b", F.explode("__levels").alias("__l"))
     first = F.col("__b") * block + 1
     steps = levels.withColumn("n_opes", F.explode(F.sequence(first, F.least(first + block - 1, F.col("n")))))
-    gain = F.col("m") * (1 - missed_share(F.col("n"), F.col("f"), F.col("n_opes")))
+    gain = F.col("__l.m") * (1 - missed_share(F.col("n"), F.col("__l.f"), F.col("n_opes")))
     curve = steps.groupBy(site, "__b", "n_opes").agg(F.sum(gain).alias("pt_richesse"))
     return curve.select(site, "n_opes", "pt_richesse")
 
