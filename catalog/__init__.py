@@ -10,8 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
+from creel.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -23,7 +27,7 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         if key in QUERIES:
             raise ValueError(f"query {key} is registered twice")
-        QUERIES[key] = f
+        QUERIES[key] = wraps(f)(lambda spark, sf: f(tune(spark), sf))
         if sql is not None:
             ORACLES[key] = sql
         return f

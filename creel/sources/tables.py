@@ -101,8 +101,9 @@ def write_tables(
 ) -> dict[str, str]:
     """Save named result tables as Parquet; returns their paths.
 
-    Partitioned tables are first grouped by the partition column and a salt, so
-    a large year is written by several tasks and small ones give few files.
+    Partitioned tables are rebalanced on the partition columns before they are
+    written: a large year is cut into several files of a fair size, small ones are
+    not scattered over all tasks.
     """
     partition_by = partition_by or {}
     paths = {}
@@ -110,8 +111,7 @@ def write_tables(
         paths[name] = f"{folder.rstrip('/')}/{name}.parquet"
         cols = list(partition_by.get(name, ()))
         if cols:
-            salt = F.pmod(F.xxhash64(F.spark_partition_id(), *df.columns), F.lit(8))
-            df = df.repartition(*cols, salt)
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*cols) if cols else writer).parquet(paths[name])
+            df.hint("rebalance", *cols).write.mode("overwrite").partitionBy(*cols).parquet(paths[name])
+        else:
+            df.write.mode("overwrite").parquet(paths[name])
     return paths
