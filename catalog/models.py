@@ -391,7 +391,26 @@ def lm_trend_test(spark, sf):
     return out.select("code_exutoire", "code_espece", "n", r("slope"), r("p_value"), "significant")
 
 
-@query("nls_asymptote")
+@query(
+    "nls_asymptote",
+    f"""WITH RECURSIVE {CAP}, {LOCREG}, bx AS (SELECT x, count(*)::DOUBLE AS n, avg(y) AS m, var_pop(y) AS v FROM lr GROUP BY 1),
+        t AS (SELECT sum(n) AS tot, sum(n * x) / sum(n) AS sc, sum(n * m) / sum(n) AS mu FROM bx),
+        it AS (SELECT 0 AS i, -8.0::DOUBLE AS lo, 3.0::DOUBLE AS hi, 1e300::DOUBLE AS rss, 0.0::DOUBLE AS g, 0.0::DOUBLE AS slope, 0.0::DOUBLE AS asym
+          UNION ALL
+          SELECT i + 1, bg - 1.5 * (hi - lo) / 15, bg + 1.5 * (hi - lo) / 15, br, bg, bs, ba FROM (
+            SELECT i, lo, hi, CASE WHEN nr < rss THEN nr ELSE rss END AS br, CASE WHEN nr < rss THEN ng ELSE g END AS bg,
+                   CASE WHEN nr < rss THEN ns ELSE slope END AS bs, CASE WHEN nr < rss THEN na ELSE asym END AS ba FROM (
+              SELECT i, lo, hi, rss, g, slope, asym, min(r) AS nr, arg_min(gk, r) AS ng, arg_min(sl, r) AS ns, arg_min(a, r) AS na FROM (
+                SELECT *, sev / vx AS sl, svv - sev * sev / vx AS r, mu - sev / vx * (se / tot + exp(-exp(gk))) AS a FROM (
+                  SELECT i, lo, hi, rss, g, slope, asym, gk, tot, mu, sum(n * e) AS se, sum(n * e * e) - sum(n * e) * sum(n * e) / tot AS vx,
+                         sum(n * e * (m - mu)) AS sev, sum(n * ((m - mu) * (m - mu) + v)) AS svv FROM (
+                    SELECT it.*, gk, tot, mu, n, m, v, exp(-exp(gk) * x / sc) - exp(-exp(gk)) AS e
+                    FROM (SELECT *, lo + unnest(range(0, 16)) * (hi - lo) / 15 AS gk FROM it WHERE i < 9) it, bx, t)
+                    GROUP BY i, lo, hi, rss, g, slope, asym, gk, tot, mu)
+                WHERE vx > 1e-14 * tot) GROUP BY i, lo, hi, rss, g, slope, asym)))
+        SELECT round(asym, 3) AS "Asym", round(asym + slope, 3) AS "R0", round(g - ln(sc), 3) AS lrc, round(rss, 2) AS rss FROM it, t WHERE i = 9""",
+)
 def nls_asymptote(spark, sf):
     best = R.asymptote(richness_by_effort(spark, sf), "x", "y")
-    return spark.createDataFrame([best], "Asym double, R0 double, lrc double, rss double")
+    out = spark.createDataFrame([best], "Asym double, R0 double, lrc double, rss double")
+    return out.select(r("Asym", 3), r("R0", 3), r("lrc", 3), r("rss", 2))
