@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from creel.functions import scalars as S
-from creel.functions.nulls import n_distinct, n_distinct_where, ratio, sum_or_zero, sum_strict
+from creel.functions.nulls import ratio, sum_or_zero, sum_strict
 from creel.operators.grouping import salted_join
 from creel.operators.prepare import all_places, lookup
 from creel.sources.tables import materialise
@@ -211,15 +211,21 @@ def basin_card(
 ) -> DataFrame:
     """Per basin: individuals, stations and shares of one species, with a three-state presence.
 
-    One conditional aggregation replaces four aggregations joined back.
+    One conditional aggregation per station, then one per basin: no distinct count is
+    left and nothing has to be joined back.
     """
     is_sp = F.col(species) == code
-    caught = is_sp & (F.col(count) > 0)
-    facts = df.groupBy(basin).agg(
-        sum_or_zero(count).alias("n_indiv"),
-        F.when(F.max(is_sp), sum_or_zero(F.when(is_sp, F.col(count)))).alias("n_indiv_sp"),
-        n_distinct(station).alias("n_stations"),
-        F.when(F.max(caught), n_distinct_where(caught, station)).alias("n_stations_presence"),
+    per_station = df.groupBy(basin, station).agg(
+        sum_or_zero(count).alias("__n"),
+        sum_or_zero(F.when(is_sp, F.col(count))).alias("__n_sp"),
+        F.max(is_sp).alias("__seen"),
+        F.max(is_sp & (F.col(count) > 0)).alias("__caught"),
+    )
+    facts = per_station.groupBy(basin).agg(
+        F.sum("__n").alias("n_indiv"),
+        F.when(F.max("__seen"), F.sum("__n_sp")).alias("n_indiv_sp"),
+        F.count(F.lit(1)).alias("n_stations"),
+        F.when(F.max("__caught"), F.count_if("__caught")).alias("n_stations_presence"),
     )
     out = basins.join(facts, basin, "left")
     zero = F.lit(0)
@@ -260,14 +266,19 @@ def station_card(
     operations; without it they are counted as distinct dates.
     """
     is_sp = F.col(species) == code
+    per_date = df.groupBy(station, when).agg(
+        sum_or_zero(count).alias("__n"),
+        F.sum(F.when(is_sp & (F.col(count) > 0), F.col(count))).alias("__n_sp"),
+        F.max(is_sp).alias("__seen"),
+    )
     aggs = [
-        F.when(F.max(is_sp), n_distinct_where(is_sp, when)).alias("n_peches_sp_presente"),
-        sum_or_zero(count).alias("n_indiv_captures"),
-        F.sum(F.when(is_sp & (F.col(count) > 0), F.col(count))).alias("n_indiv_captures_sp"),
+        F.when(F.max("__seen"), F.count_if("__seen")).alias("n_peches_sp_presente"),
+        F.sum("__n").alias("n_indiv_captures"),
+        F.sum("__n_sp").alias("n_indiv_captures_sp"),
     ]
     if n_ops is None:
-        aggs.insert(0, n_distinct(when).alias("n_peches"))
-    facts = df.groupBy(station).agg(*aggs)
+        aggs.insert(0, F.count(F.lit(1)).alias("n_peches"))
+    facts = per_date.groupBy(station).agg(*aggs)
     out = stations.join(facts, station, "left")
     if n_ops is not None:
         out = out.withColumnRenamed(n_ops, "n_peches")
