@@ -369,17 +369,17 @@ def join_multi_card(spark, sf):
 @query(
     "join_bridge_text_key",
     """SELECT o_orderkey AS ope_id, CAST(o_custkey AS VARCHAR) AS code_station,
-              CASE WHEN o_orderpriority = '5-LOW' THEN 'Fede' ELSE 'Aspe' END AS source_donnee,
+              CASE WHEN o_orderpriority = '5-LOW' THEN 'base B' ELSE 'base A' END AS source_donnee,
               CASE WHEN o_orderpriority <> '5-LOW' AND c_nationkey <> 3 THEN c_custkey * 10 END AS pop_id
        FROM orders JOIN customer ON o_custkey = c_custkey""",
 )
 def join_bridge_text_key(spark, sf):
-    source = F.when(F.col("type_peche") == "5-LOW", "Fede").otherwise("Aspe")
+    source = F.when(F.col("type_peche") == "5-LOW", "base B").otherwise("base A")
     facts = operations(spark, sf, basin=False).select("ope_id", "code_station", source.alias("source_donnee"))
     bridge = table(spark, sf, "customer").select(
         (F.col("c_custkey") * 10).alias("pop_id"), F.when(F.col("c_nationkey") != 3, F.col("c_custkey")).alias("sta_id")
     )
-    return P.bridge_by_text_key(facts, bridge, "code_station", "sta_id", "source_donnee", "Aspe", ["pop_id"])
+    return P.bridge_by_text_key(facts, bridge, "code_station", "sta_id", "source_donnee", "base A", ["pop_id"])
 
 
 @query(

@@ -10,7 +10,7 @@ RULES = A.Rules(2014, V.ATLAS_PATTERN, V.DROPPED_SPECIES, V.TROUT_RECODE)
 
 @pytest.fixture(scope="module")
 def captures(spark):
-    aspe = spark.createDataFrame(
+    first = spark.createDataFrame(
         [
             ("s1", "2015-05-01", "2015", "TRF", 2.0, "Pêche complète à un passage", 1.0, 2.0),
             ("s1", "2015-05-01", "2015", "TRM", 1.0, "Pêche complète à un passage", 1.0, 2.0),
@@ -19,11 +19,11 @@ def captures(spark):
         ],
         "code_station string, date_peche string, annee string, code_espece string, effectif double, type_peche string, x_wgs84 double, y_wgs84 double",
     )
-    wama = spark.createDataFrame(
+    second = spark.createDataFrame(
         [("s3", None, "ANG", 4.0, "Indices ponctuels", 3.0, 2.0), ("s3", None, "TRF", None, "Indices ponctuels", 3.0, 2.0)],
         "code_station string, annee string, code_espece string, effectif double, type_peche string, x_wgs84 double, y_wgs84 double",
     )
-    return A.clean_captures([aspe, wama], RULES)
+    return A.clean_captures([first, second], RULES)
 
 
 def test_clean_captures(captures):
