@@ -45,10 +45,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(first)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of every word, a run without space, tab, or line and page breaks."""
+def words(data: np.ndarray, offsets: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every word, a run without space, tab, or line and page breaks.
+
+    cut: places where a word ends and the next begins, too.
+    """
     solid = ~SPACE[data]
-    edge = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
+    edge = offsets[(offsets > 0) & (offsets < len(data))]
+    if cut is not None:
+        edge = np.concatenate([edge, cut])
     before = np.empty_like(solid)
     before[:1], before[1:] = False, solid[:-1]
     before[edge] = False
@@ -96,3 +101,43 @@ def runs(numbers: np.ndarray, n: int) -> np.ndarray:
 def ragged(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The indices start, start + 1, ... of every range, one range after another."""
     return np.arange(int(sizes.sum())) + np.repeat(start - (np.cumsum(sizes) - sizes), sizes)
+
+
+class Slots:
+    """Numbers 0, 1, 2, ... for distinct 64-bit keys, found by open addressing."""
+
+    def __init__(self):
+        self.keys = np.zeros(0, np.uint64)
+        self.table = np.full(1 << 16, -1, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for a new one."""
+        mask = np.uint64(len(self.table) - 1)
+        slot = (keys & mask).astype(np.int64)
+        found = self.table[slot]
+        if not len(self.keys):
+            return found
+        left = np.flatnonzero((found >= 0) & (self.keys[found] != keys))
+        while len(left):
+            slot[left] = (slot[left] + 1) & int(mask)
+            found[left] = got = self.table[slot[left]]
+            left = left[(got >= 0) & (self.keys[got] != keys[left])]
+        return found
+
+    def add(self, keys: np.ndarray) -> None:
+        """Number new distinct keys in their order."""
+        first = len(self.keys)
+        self.keys = np.concatenate([self.keys, keys])
+        if 2 * len(self.keys) > len(self.table):
+            self.table = np.full(1 << int(4 * len(self.keys)).bit_length(), -1, np.int32)
+            first = 0
+        numbers = np.arange(first, len(self.keys), dtype=np.int32)
+        slot = (self.keys[first:] & np.uint64(len(self.table) - 1)).astype(np.int64)
+        while len(numbers):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = numbers[free]
+            left = self.table[slot] != numbers
+            numbers, slot = numbers[left], (slot[left] + 1) & (len(self.table) - 1)

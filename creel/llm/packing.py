@@ -1,7 +1,8 @@
 """Documents packed into token windows by multiway differencing.
 
-Every document is tokenized and cut into full windows and one remainder. The
-remainders of a block are divided by the Karmarkar-Karp method: each starts as a
+Every document is tokenized and cut into full windows and a remainder, the latter
+into parts of at most PART tokens, with which windows come out more equal. The
+parts of a block are divided by the Karmarkar-Karp method: each starts as a
 partial partition that holds it in one window and nothing in the others; the two
 partitions with the largest imbalance are merged, the fullest window of one with
 the emptiest of the other, until one is left. If a window is above the capacity,
@@ -16,6 +17,7 @@ import heapq
 import os
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ from creel.llm import arrow
 
 CAPACITY = 4096
 BLOCK_WINDOWS = 192
+PART = 1024
 MEMO_WORDS = 1 << 21
 # fixed values: ASCII signs that always end a word of ASCII letters in the split pattern
 SIGNS = b".,;:!?()|#$%&*\"-"
@@ -109,70 +112,71 @@ class Encoder:
         whole, *cut = [e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False)]
         if whole != cut[0] + cut[1]:
             raise ValueError("this tokenizer does not drop white space and case")
+        words = {i: w for w, i in self.tokenizer.get_vocab().items()}
+        self.final = np.array([words.get(i, "").endswith("</w>") for i in range(max(words) + 1)])
         self.marks = {t.content[:2].encode() for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.reset()
 
     def reset(self) -> None:
-        self.known = np.zeros(0, np.uint64)
+        self.known = arrow.Slots()
         self.first = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         raw = data.tobytes()
-        if any(m in raw for m in self.marks):
+        if any(m in raw for m in self.marks) or len(data) < 2:
             return data, *arrow.words(data, offsets)
         data = arrow.LOWER[data]
-        start, end, text = arrow.words(data, offsets)
-        if len(data) < 2:
-            return data, start, end, text
-        cut = np.flatnonzero((_LETTER[data[:-1]] & _SIGN[data[1:]]) | (_SIGN[data[:-1]] & _LETTER[data[1:]])) + 1
-        inside = np.searchsorted(start, cut, side="right") - 1
-        cut, inside = cut[(inside >= 0) & (cut > start[inside])], inside[(inside >= 0) & (cut > start[inside])]
-        held = cut < end[inside]
-        cut, inside = cut[held], inside[held]
-        begin = np.sort(np.concatenate([start, cut]))
-        stop = np.sort(np.concatenate([end, cut]))
-        return data, begin, stop, np.searchsorted(offsets, begin, side="right") - 1
-
-    def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashed: np.ndarray) -> None:
-        """Encode the words that are not known yet."""
+        letter, sign = _LETTER[data], _SIGN[data]
+        return data, *arrow.words(data, offsets, np.flatnonzero((letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])) + 1)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words; first place and number of ids of each. Words of letters alone are one piece each and go in one call."""
+        alone = np.fromiter(map(str.isalpha, words), bool, len(words))
+        plain = np.flatnonzero(alone)
+        flat = np.array(self.tokenizer.encode_batch_fast([" ".join(words[i] for i in plain)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.final[flat]) + 1
+        if len(ends) != len(plain):
+            alone[:], plain, flat, ends = False, plain[:0], flat[:0], ends[:0]
+        rest = np.flatnonzero(~alone)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
+        sizes = np.zeros(len(words), np.int64)
+        sizes[plain] = np.diff(ends, prepend=0)
+        sizes[rest] = np.fromiter(map(len, ids), np.int64, len(ids))
+        order = np.concatenate([plain, rest])
+        first = np.empty(len(words), np.int64)
+        first[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate([flat, np.array(list(chain.from_iterable(ids)), np.int64)]).astype(np.uint32), first, sizes
+
+    def number(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The known word that each word is; words not known yet are encoded."""
         if len(self.known) > MEMO_WORDS:
             self.reset()
-        found, where = np.unique(hashed, return_index=True)
-        new = ~self.has(found)
-        found, where = found[new], where[new]
-        if not len(found):
-            return
-        raw = data.tobytes()
-        ids = []
-        for i in range(0, len(where), 1 << 15):
-            batch = [raw[start[k] : end[k]].decode() for k in where[i : i + (1 << 15)]]
-            ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = len(self.pool) + np.cumsum(sizes) - sizes
-        known = np.concatenate([self.known, found])
-        order = np.argsort(known, kind="stable")
-        self.known = known[order]
-        self.first = np.concatenate([self.first, first])[order]
-        self.sizes = np.concatenate([self.sizes, sizes])[order]
-        self.pool = np.concatenate([self.pool, *ids])
-
-    def has(self, hashed: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.known, hashed)
-        return (at < len(self.known)) & (self.known[np.minimum(at, len(self.known) - 1)] == hashed) if len(self.known) else np.zeros(len(hashed), bool)
+        hashed = arrow.hashes(data, start, end)
+        at = self.known.find(hashed)
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            new, where = np.unique(hashed[unknown], return_index=True)
+            where = unknown[where]
+            raw = data.tobytes()
+            for i in range(0, len(where), 1 << 15):
+                ids, first, sizes = self.encode([raw[start[k] : end[k]].decode() for k in where[i : i + (1 << 15)]])
+                self.first = np.concatenate([self.first, len(self.pool) + first])
+                self.sizes = np.concatenate([self.sizes, sizes])
+                self.pool = np.concatenate([self.pool, ids])
+            self.known.add(new)
+            at[unknown] = self.known.find(hashed[unknown])
+        return at
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one text after another, and the number of ids of each text."""
         data, start, end, text = self.words(data, offsets)
-        counts = np.zeros(len(offsets) - 1, np.int64)
         if not len(start):
-            return np.zeros(0, np.uint32), counts
-        hashed = arrow.hashes(data, start, end)
-        self.learn(data, start, end, hashed)
-        at = np.searchsorted(self.known, hashed)
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        at = self.number(data, start, end)
         sizes = self.sizes[at]
-        np.add.at(counts, text, sizes)
+        counts = np.bincount(text, sizes, len(offsets) - 1).astype(np.int64)
         return self.pool[arrow.ragged(self.first[at], sizes)], counts
 
 
@@ -192,7 +196,7 @@ def pack(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_c
     Returns one row for each piece: the id, start (tokens of its document before
     it), length, ids_crc32, doc_tokens, sequence_id, offset (within the window,
     without gaps) and n_padding of its window. A document longer than a window
-    fills whole windows and leaves one remainder. A null text is empty and gives
+    fills whole windows and leaves a remainder. A null text is empty and gives
     the end id alone; a null id stays null; repeated rows are packed each; an empty
     table gives no rows; other columns are ignored.
     """
@@ -230,10 +234,11 @@ def pack(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_c
             full = []
             for doc, a, b in zip(batch.column("__id").to_pylist(), ends - counts, ends, strict=True):
                 ids = np.append(flat[a:b], np.uint32(end_id)).astype("<u4")
-                for s in range(0, len(ids), capacity):
-                    part = ids[s : s + capacity]
+                whole = len(ids) - len(ids) % capacity
+                for s in [*range(0, whole, capacity), *range(whole, len(ids), PART)]:
+                    part = ids[s : s + (capacity if s < whole else PART)]
                     piece = (doc, s, len(part), zlib.crc32(part.tobytes()), len(ids))
-                    if len(part) == capacity:
+                    if s < whole:
                         full.append((*piece, sequence, 0, padding(capacity, capacity)))
                         sequence += 1
                     else:
