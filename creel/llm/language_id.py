@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from creel.llm import arrow
@@ -42,35 +43,39 @@ def _folding() -> np.ndarray:
 _FOLD: list[np.ndarray] = []
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All n-grams of the texts as numbers, and the text of each."""
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the one-, two- and three-character n-grams from every place on, 0 for none; the place of each text.
+
+    Each text stands between blanks, its neighbours sharing one; several blanks are one.
+    """
     if not _FOLD:
         _FOLD.append(_folding())
-    fold = _FOLD[0]
     data, offsets = arrow.buffers(texts)
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    at = lead[offsets]  # of each text, in characters
     chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
-    text = np.searchsorted(offsets, lead, side="right") - 1
-    c = fold[chars]
-    edge = np.empty(len(c), bool)
-    edge[:1], edge[1:] = True, text[1:] != text[:-1]
-    # each text between blanks, and one blank where several meet
-    at = np.flatnonzero(edge)
-    c, text = np.insert(c, at, BLANK), np.insert(text, at, text[at])
-    c, text = np.append(c, BLANK), np.append(text, text[-1])
-    keep = np.ones(len(c), bool)
-    keep[1:] = (c[1:] != BLANK) | (c[:-1] != BLANK)
-    c, text = c[keep], text[keep]
-    solid = c != BLANK
-    one = c[solid]
-    two = (c[:-1] << _WIDE) | c[1:]
-    three = (two[:-1] << _WIDE) | c[2:]
-    # a blank ends one text and begins the next: an n-gram over it would join them
-    ok2 = solid[:-1] | solid[1:]
-    ok3 = solid[1:-1]
-    return np.concatenate([one, two[ok2], three[ok3]]), np.concatenate([text[solid], np.where(solid[:-1], text[:-1], text[1:])[ok2], text[1:-1][ok3]])
+    c = np.full(len(chars) + len(at), BLANK, np.int64)
+    sizes = np.diff(at)
+    c[np.arange(len(chars)) + np.repeat(np.arange(1, len(at)), sizes)] = _FOLD[0][chars]
+    at = at + np.arange(len(at))
+    keep = c != BLANK
+    keep[1:] |= keep[:-1]
+    keep[at] = True  # the blanks between texts
+    keep[at[1:] - 1] &= c[at[1:] - 1] != BLANK  # and none before them
+    keep[at] = True
+    at = np.concatenate([[0], np.cumsum(keep)])[at]
+    c = c[keep]
+    c = np.append(c, [BLANK, BLANK])
+    two = (c[:-2] << _WIDE) | c[1:-1]
+    three = (two << _WIDE) | c[2:]
+    solid = c[:-2] != BLANK
+    inner = c[1:-1] != BLANK
+    return np.where(solid, c[:-2], 0), np.where(solid | inner, two, 0), np.where(inner, three, 0), at
+
+
+def counted_grams(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, n = np.unique(np.concatenate(parts), return_counts=True)
+    return (found[1:], n[1:]) if len(found) and found[0] == 0 else (found, n)
 
 
 def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> DataFrame:
@@ -91,13 +96,11 @@ def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", si
             return gram, np.bincount(at, n).astype(np.int64)
 
         for batch in arrow.slices(batches, "__text"):
-            langs = batch.column("__lang").to_pylist()
-            gram, text = grams(batch.column("__text"))
-            for lang in set(langs):
-                of = np.array([x == lang for x in langs])
-                found, n = np.unique(gram[of[text]], return_counts=True)
-                held.setdefault(lang, []).append((found, n))
-                waiting += len(found)
+            langs = batch.column("__lang")
+            for lang in langs.unique().to_pylist():
+                one, two, three, _ = grams(batch.filter(pc.equal(langs, lang)).column("__text"))
+                held.setdefault(lang, []).append(found := counted_grams([one, two, three]))
+                waiting += len(found[0])
             if waiting > MERGE_ROWS:
                 held = {k: [merged(v)] for k, v in held.items()}
                 waiting = sum(len(v[0][0]) for v in held.values())
@@ -130,23 +133,22 @@ class Profiles:
 
     def nearest(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score of each text: how much nearer its profile is than the farthest that could be."""
-        gram, text = grams(texts)
-        order = np.argsort(text, kind="stable")
-        gram, at = gram[order], arrow.runs(text[order], len(texts))
+        *kinds, at = grams(texts)
         langs, scores = [], np.zeros(len(texts))
-        for i in range(len(texts)):
-            found, n = np.unique(gram[at[i] : at[i + 1]], return_counts=True)
+        for a, b in zip(at, at[1:], strict=False):
+            found, n = counted_grams([x[a:b] for x in kinds])
             if not len(found) or not self.langs:
                 langs.append(UNKNOWN)
                 continue
-            found = found[np.lexsort((found, -n))[: self.size]]
+            top = np.argsort((-n).astype(np.int16) if n.max() < 1 << 15 else -n, kind="stable")[: self.size]
+            found = found[top]
             k = np.minimum(np.searchsorted(self.gram, found), len(self.gram) - 1)
             k[self.gram[k] != found] = len(self.gram)
             place = self.place[k]
             apart = np.where(place < 0, self.size, np.abs(place - np.arange(len(found))[:, None])).sum(0)
             best = int(apart.argmin())
             langs.append(self.langs[best])
-            scores[i] = 1 - apart[best] / (self.size * len(found))
+            scores[len(langs) - 1] = 1 - apart[best] / (self.size * len(found))
         return langs, np.clip(scores, 0, 1)
 
 
