@@ -84,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     keyed = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     few = keyed.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col)).cast("int").alias("__label"))
     few = few.orderBy(F.xxhash64(F.col("__id").cast("long")), "__id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(few, "__id").select("__id", "__label", "__text")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(few), "__id").select("__id", "__label", "__text")  # few is bounded by sample
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow.slices(batches, "__text"):
