@@ -8,8 +8,12 @@ text is rejected if a measure lies far beyond it. Only DataFrame functions are u
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from creel.llm import scratch
+
 SPACES = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: A measure is far out beyond the upper quartile by so many times the distance from the median
@@ -17,6 +21,7 @@ SYMBOLS = "#*$%&|<>"
 SPREADS = 10.0
 #: The share of measures, and the least distance from the quartile that counts as far.
 MARGINS = {"symbol_share": 0.02, "line_share": 0.30, "repeat_share": 0.25, "capital_share": 0.30, "mark_share": 0.15}
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -25,42 +30,53 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES, -1), lambda w: w != "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Use a value several times, also within lambdas, that is worked out once for each row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def repeated_words(w: Column) -> Column:
     """Words within three-word windows that the text holds twice or more."""
     n = F.size(w)
-    windows = F.transform(
-        F.sequence(F.lit(1), n - 2),
-        # words hold no blank, so the joined window is exact
-        lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)),
-    )
-    ranked = F.array_sort(F.transform(windows, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    last = F.size(ranked) - 1
+    hashes = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
+
+    def covered(ranked: Column) -> Column:
+        last = F.size(ranked) - 1
 
-    def twin(i: Column) -> Column:
-        here = F.get(ranked, i)["x"]
-        return ((i > 0) & (F.get(ranked, i - 1)["x"] == here)) | ((i < last) & (F.get(ranked, i + 1)["x"] == here))
+        def same(x: Column, y: Column) -> Column:
+            equal = x["h"] == y["h"]
+            for k in (-1, 0, 1):  # and the words themselves, lest two windows share a hash
+                equal = equal & (F.get(w, x["i"] + k) == F.get(w, y["i"] + k))
+            return equal
 
-    places = F.transform(F.filter(F.sequence(F.lit(0), last), twin), lambda i: F.get(ranked, i)["i"])
-    covered = F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2)))))
-    plain = F.size(F.array_distinct(windows)) == F.size(windows)
-    return F.when(n < 4, 0).when(plain, 0).otherwise(covered).cast("long")
+        def twin(x: Column, i: Column) -> Column:
+            return ((i > 0) & same(F.get(ranked, i - 1), x)) | ((i < last) & same(F.get(ranked, i + 1), x))
+
+        places = F.transform(F.filter(ranked, twin), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))
+        return F.size(F.array_distinct(F.flatten(places)))
+
+    ranked = lambda found: F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i"))))
+    # windows with different hashes are different, so most short texts end here
+    counted = let(hashes, lambda found: F.when(F.size(F.array_distinct(found)) == F.size(found), 0).otherwise(let(ranked(found), covered)))
+    return F.when(n < 4, 0).otherwise(counted).cast("long")
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the counts of every whole text; a null text has no word, symbol or line."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, SPACES, "") != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    without = lambda signs: (F.length(text) - F.length(F.regexp_replace(text, signs, ""))).cast("long")
     return (
         docs.withColumn("__w", words(F.col(text_col)))
         .withColumn("n_words", F.size("__w").cast("long"))
-        .withColumn("word_chars", F.length(F.regexp_replace(text, SPACES, "")).cast("long"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
+        .withColumn("word_chars", F.length(F.array_join("__w", "")).cast("long"))
+        .withColumn("n_symbols", without(f"[{SYMBOLS}]+"))
         .withColumn("__lines", lines)
         .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
         .withColumn("n_repeat_words", repeated_words(F.col("__w")))
         .withColumn("__n_lines", F.size("__lines").cast("long"))
-        .withColumn("__capitals", (F.length(text) - F.length(F.regexp_replace(text, "\\p{Lu}", ""))).cast("long"))
-        .withColumn("__marks", (F.length(text) - F.length(F.translate(text, "!?", ""))).cast("long"))
+        .withColumn("__capitals", without("\\p{Lu}+"))
+        .withColumn("__marks", without("[!?]+"))
         .drop("__w", "__lines")
     )
 
@@ -89,28 +105,27 @@ def thresholds(df: DataFrame, groups: list[str], accuracy: int = 1000) -> DataFr
     return limits.select(*groups, *[far(m, least).alias(f"max_{m}") for m, least in MARGINS.items()])
 
 
-def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """All columns of docs with counts, base_failed and kept; needs no unique id.
+def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
+    """Columns of docs (all, or those in `carry`) with counts, base_failed and kept; needs no unique id.
 
     base_failed: fewer than 50 words, or over half of the words in repeated windows.
     kept: not base_failed, and no measure above its limit for the language and
     source. Texts that fail the base rules have no part in the limits, and a group of
     fails alone has none. A null language or source is a group like any other. A null or
     empty text fails. Equal rows get equal verdicts; an empty table gives no rows.
+
+    The counts are written once, since the limits and the verdicts both read them.
     """
     rows = shares(measured(docs, text_col)).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    groups = {"__l": F.col(lang_col), "__s": F.col(source_col)}
-    learned = rows.where(~F.col("base_failed")).select(*[c.alias(n) for n, c in groups.items()], *MARGINS)
-    limits = thresholds(learned, list(groups))
-    same = F.col(lang_col).eqNullSafe(F.col("__l")) & F.col(source_col).eqNullSafe(F.col("__s"))
-    far = [F.coalesce(F.col(m) > F.col(f"max_{m}"), F.lit(False)) for m in MARGINS]
-    over = far[0]
-    for f in far[1:]:
-        over = over | f
-    return rows.join(limits, same, "left").withColumn("kept", ~F.col("base_failed") & ~over).drop("__l", "__s", "__n_lines", "__capitals", "__marks", *[f"max_{m}" for m in MARGINS])
-
-
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    own = docs.columns if carry is None else carry
+    rows = rows.select(F.col(lang_col).alias("__l"), F.col(source_col).alias("__s"), *own, *COUNTS, *MARGINS, "base_failed")
+    rows = scratch.written(rows)
+    learned = rows.select("__l", "__s", *[F.when(~F.col("base_failed"), F.col(m)).alias(m) for m in MARGINS])
+    limits = thresholds(learned, ["__l", "__s"]).withColumnsRenamed({"__l": "__lang", "__s": "__source"})
+    same = F.col("__l").eqNullSafe(F.col("__lang")) & F.col("__s").eqNullSafe(F.col("__source"))
+    over = F.greatest(*[F.coalesce(F.col(m) > F.col(f"max_{m}"), F.lit(False)) for m in MARGINS])
+    out = rows.join(limits, same, "left").withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~over))
+    return out.select(*own, *COUNTS, *MARGINS, "base_failed", "kept")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -119,5 +134,5 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Columns of docs other than these four are ignored; a null id stays null.
     """
     own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"), F.col(source_col).alias("__source"))
-    out = judged(own, "__text", "__lang", "__source")
+    out = judged(own, "__text", "__lang", "__source", ["__id"])
     return out.select(F.col("__id").alias(id_col), *COUNTS, "base_failed", "kept", *MARGINS)

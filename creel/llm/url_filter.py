@@ -11,6 +11,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from creel.llm.quality_rules import let
+
 DIMENSIONS = 2048
 SAMPLE = 1000
 GRAM = 4
@@ -45,9 +47,11 @@ def grams(host_col: Column, path_col: Column, size: int = GRAM, dimensions: int
     """Distinct hashed n-grams of host and path; a shorter text is one n-gram."""
 
     def of(text: Column, kind: str) -> Column:
-        marked = F.concat(F.lit("^"), text, F.lit("$"))
-        starts = F.sequence(F.lit(1), F.greatest(F.length(marked) - size + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(kind), F.substring(marked, i, size)), F.lit(dimensions)).cast("int"))
+        def parts(marked: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.length(marked) - size + 1, F.lit(1)))
+            return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(kind), F.substring(marked, i, F.lit(size))), F.lit(dimensions)).cast("int"))
+
+        return let(F.concat(F.lit("^"), text, F.lit("$")), parts)
 
     return F.array_distinct(F.concat(of(host_col, "host"), of(path_col, "path")))
 
@@ -58,8 +62,8 @@ def sigmoid(x: Column) -> Column:
 
 def margin(gram_col: Column, weights: list[float], bias: float) -> Column:
     """The sum of the weights of the n-grams; the weights are a constant of bounded length."""
-    held = F.array(*[F.lit(float(w)) for w in weights])
-    return F.aggregate(gram_col, F.lit(float(bias)), lambda acc, i: acc + F.get(held, i))
+    held = F.split(F.lit(" ".join(map(repr, weights))), " ").cast("array<double>")  # one constant, folded by the optimizer
+    return let(held, lambda w: F.aggregate(gram_col, F.lit(float(bias)), lambda acc, i: acc + F.get(w, i)))
 
 
 def fit(labelled: DataFrame, gram_col: str, label_col: str, dimensions: int = DIMENSIONS, steps: int = STEPS) -> tuple[list[float], float]:
