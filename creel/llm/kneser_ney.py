@@ -22,6 +22,7 @@ ORDER = 4
 SHARD_ROWS = 1 << 21
 QUANTILE, SLACK = 0.999, 0.15
 PRIOR = 200
+SLICE = 1 << 20
 START, BREAK = 2, 0x20
 
 _WIDE = 21
@@ -59,7 +60,7 @@ def counts(texts: DataFrame) -> DataFrame:
     """How often each character follows each context of three, over all texts; every task adds up its slices first."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow.slices(batches, "__text", 2 * arrow.SLICE_BYTES):
+        for batch in arrow.slices(batches, "__text", SLICE):
             context, char, _ = places(batch.column("__text"))
             order = np.lexsort((char, context))
             context, char = context[order], char[order]
@@ -164,7 +165,7 @@ def scores(docs: DataFrame, table: DataFrame, most: int = SHARD_ROWS) -> DataFra
 
         def scored(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             held = shipped.value
-            for batch in arrow.slices(batches, "__text"):
+            for batch in arrow.slices(batches, "__text", SLICE):
                 context, char, text = places(batch.column("__text"))
                 if held.shards > 1:
                     mine = shard_of(context, held.shards) == held.shard
@@ -200,7 +201,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "qua
     """
     own = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.col(lang_col).alias("__lang"))
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("__id")).distinct()
-    table = model(own.join(trusted, "__id", "left_semi").select("__text"))
+    # the same plan for labels of any size: each text is moved once
+    table = model(own.select("__id", "__text").join(trusted.hint("merge"), "__id", "left_semi").select("__text"))
     keyed = own.withColumn("key", F.xxhash64("__text"))
     found = scores(keyed, table)
     rows = keyed.select("__id", "__lang", "key").join(found, "key", "left")
