@@ -2,9 +2,10 @@
 
 1. Every text becomes a set of shingle hashes. Texts with equal sets are one class
    from here on.
-2. Two sets with the wanted similarity share one of the first shingles of each, in
-   any order that is the same for all. The order puts shingles that many texts hold
-   last and is random otherwise. Classes that share such a shingle meet in a group.
+2. Two sets with the wanted similarity share a known number of the first shingles of
+   each, in any order that is the same for all. The order puts shingles that many texts
+   hold last and is random otherwise. Classes that share such a shingle meet in a
+   group; a class that meets others in too few groups has no partner.
 3. In most groups all classes are copies of each other. A few pairs for each class,
    the neighbours by size that meet most often, are checked first, and the
    components they make are set aside.
@@ -69,8 +70,13 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def prefix(n: int, percent: int) -> int:
-    """How many first shingles a set must show so that no partner is missed."""
-    return n - -(-percent * n // 100) + 1
+    """How many first shingles a set must show.
+
+    Left out are fewer than ceil(percent of n) - n // 10 of n, so of the elements
+    that two partners share the first 1 + m // 10 are among those of both, with m the
+    smaller size, which is at least percent of the larger.
+    """
+    return min(n, n - -(-percent * n // 100) + 1 + n // 10)
 
 
 def frames(**columns: tuple) -> pa.RecordBatch:
@@ -164,6 +170,9 @@ def bloom_of(classes: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+GROUPS = "key long, class long, n int, before long"
+
+
 def grouped(percent: int):
     """Rows sorted by key, size and class: those with a partner of fitting size, and the class before if it fits."""
 
@@ -338,9 +347,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     only = texts.select("__text")
     keys = only.mapInArrow(Sets(k, percent, common).keys, "key long, class long, n int")
     keys = keys.repartition("key").sortWithinPartitions("key", "n", "class")
-    groups = scratch.written(keys.mapInArrow(grouped(percent), "key long, class long, n int, before long"))
+    met = scratch.written(keys.mapInArrow(grouped(percent), GROUPS))
     del keys
     release(spark)
+    least = (F.lit(1) + F.floor(F.ceil(F.lit(percent) * F.col("n") / 100) / 10)).alias("least")
+    often = met.groupBy("class", "n").agg(F.count("*").alias("groups")).where(F.col("groups") >= least).select("class")
+    again = met.join(often, "class", "left_semi").select("key", "class", "n").repartition("key").sortWithinPartitions("key", "n", "class")
+    groups = scratch.written(again.mapInArrow(grouped(percent), GROUPS))
+    release(spark)
 
     bloom = bloom_of(groups)
     sets = only.mapInArrow(Sets(k, percent, None, bloom).wanted, "class long, shingles array<long>")
