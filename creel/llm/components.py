@@ -16,7 +16,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     edge from a node to itself says nothing.
     """
     a, b = F.col(u).cast("long"), F.col(v).cast("long")
-    now = scratch.written(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    now = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     state = None
     while True:
         both = now.union(now.select(F.col("v"), F.col("u")))
@@ -25,7 +25,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = scratch.written(small.union(root).distinct())
-        was, state = state, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
+        was, state = state, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
         if state == was:
             break
     roots = now.groupBy("u").agg(F.min("v").alias("component"))

@@ -6,9 +6,9 @@
    each, in any order that is the same for all. The order puts shingles that many texts
    hold last and is random otherwise. Classes that share such a shingle meet in a
    group; a class that meets others in too few groups has no partner.
-3. In most groups all classes are copies of each other. A few pairs for each class,
-   the neighbours by size that meet most often, are checked first, and the
-   components they make are set aside.
+3. In most groups all classes are copies of each other. One pair for each class, with
+   the smallest class of the groups that it stands in most often, is checked first,
+   and the components these pairs make are set aside.
 4. Groups that still hold several components are cut into tiles by bands of set
    size, large tiles into blocks. Within a tile hashed bitmaps bound the overlap of
    each pair from above: a bit that only one side has is an element the other
@@ -174,21 +174,27 @@ GROUPS = "key long, class long, n int, before long"
 
 
 def grouped(percent: int):
-    """Rows sorted by key, size and class: those with a partner of fitting size, and the class before if it fits."""
+    """Rows sorted by key, size and class: those with a partner of fitting size, and the group's first class if it fits, else the one before."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the rows not decided yet: the one before the last and the last
+        lead: tuple = (None, 0, 0)  # the first row of the last group
         for batch in batches:
             rows = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            yield from emit(rows, 0 if held is None else held[0].size - 1, False)
+            if not len(rows[0]):
+                continue
+            yield from emit(rows, 0 if held is None else held[0].size - 1, False, lead)
+            if rows[0][-1] != lead[0]:
+                at = np.searchsorted(rows[0], rows[0][-1])
+                lead = tuple(int(x[at]) for x in rows)
             keep = min(2, len(rows[0]))
             held = [x[-keep:] for x in rows]
         if held is not None:
-            yield from emit(held, len(held[0]) - 1, True)
+            yield from emit(held, len(held[0]) - 1, True, lead)
 
-    def emit(rows: list[np.ndarray], first: int, last: bool) -> Iterator[pa.RecordBatch]:
+    def emit(rows: list[np.ndarray], first: int, last: bool, lead: tuple) -> Iterator[pa.RecordBatch]:
         key, of, n = rows
         fits = (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:])  # with the row before
         other = fits & (of[1:] != of[:-1])
@@ -200,7 +206,10 @@ def grouped(percent: int):
         to = len(key) if last else len(key) - 1
         at = np.flatnonzero(stay[first:to]) + first
         if len(at):
-            before = np.where(back[at], of[at - 1], of[at])
+            start = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))[at]
+            old = key[at] == lead[0] if lead[0] is not None else np.zeros(len(at), bool)
+            lead_of, lead_n = np.where(old, lead[1], of[start]), np.where(old, lead[2], n[start])
+            before = np.where(100 * lead_n >= percent * n[at], lead_of, np.where(back[at], of[at - 1], of[at]))
             yield frames(key=(key[at], LONG), **{"class": (of[at], LONG)}, n=(n[at], INT), before=(before, LONG))
 
     return stream
@@ -361,20 +370,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = scratch.written(sets.groupBy("class").agg(F.any_value("shingles").alias("shingles")))
     release(spark)
 
-    # each class with the neighbour that it meets most often
+    # each class with the first of a group that it meets most often
     meets = groups.where("before != class").groupBy("class", "before").agg(F.count("*").alias("n"))
     pairs = meets.groupBy("class").agg(F.max_by("before", F.struct("n", "before")).alias("before"))
     links = [scratch.written(linked(ordered(pairs, "class", "before"), sets, percent))]
     rest = with_component(groups, links[0])
-    # then each two components that meet, by their most frequent neighbours
-    comp = rest.select("key", "class", "component")
-    seen = rest.where("before != class").join(comp.select("key", F.col("class").alias("before"), F.col("component").alias("c2")), ["key", "before"])
-    meets = seen.where("component != c2").groupBy(F.least("component", "c2").alias("c1"), F.greatest("component", "c2").alias("c2"), "class", "before").agg(F.count("*").alias("n"))
-    pairs = meets.groupBy("c1", "c2").agg(F.max_by(F.struct("class", "before"), F.struct("n", "class", "before")).alias("p")).select("p.class", "p.before")
-    links.append(scratch.written(linked(ordered(pairs, "class", "before"), sets, percent)))
-    release(spark)
-
-    rest = with_component(rest.drop("component"), links[0].union(links[1]))
     bits = sets.join(rest.select("class").distinct(), "class", "left_semi").select("class", signature("shingles").alias("bits"))
     dealt = tiles(rest.select("key", "class", "n", "component"), percent).join(bits, "class")
     dealt = dealt.select("key", "band", "a", "b", "class", "n", "component", "own", "side", "bits")
@@ -382,7 +382,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = scratch.written(dealt.mapInArrow(tiled(percent), "u long, v long").distinct())
     links.append(scratch.written(linked(pairs, sets, percent)))
 
-    found = components(links[0].union(links[1]).union(links[2]))
+    found = components(links[0].union(links[1]))
     # a class without shingles is not a class: each such text stands alone
     of = members.where("n > 0").join(found.select(F.col("node").alias("class"), "component"), "class", "left")
     of = of.select("__id", "n", F.coalesce("component", "class").alias("component"))
