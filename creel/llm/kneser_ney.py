@@ -171,7 +171,7 @@ def scores(docs: DataFrame, table: DataFrame, most: int = SHARD_ROWS) -> DataFra
                     mine = shard_of(context, held.shards) == held.shard
                     context, char, text = context[mine], char[mine], text[mine]
                 n = batch.num_rows
-                yield pa.record_batch([batch.column("key"), pa.array(np.bincount(text, held.logs(context, char), n)), pa.array(np.bincount(text, minlength=n))], names=["key", "logs", "chars"])
+                yield pa.record_batch([batch.column("key"), pa.array(np.bincount(text, held.logs(context, char), n).astype(np.float64)), pa.array(np.bincount(text, minlength=n))], names=["key", "logs", "chars"])
 
         part = docs.select("key", "__text").mapInArrow(scored, "key long, logs double, chars long").groupBy("key").agg(F.first("logs").alias("logs"), F.first("chars").alias("chars"))
         out = part if out is None else out.union(part)
