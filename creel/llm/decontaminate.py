@@ -224,16 +224,18 @@ def contaminated(text: Column, benchmark: DataFrame, item_col: str = "item_id",
     """Whether a whole text holds a passage of the benchmark; a null text holds none."""
     out = F.lit(False)
     for block in blocks(benchmark, item_col, item_text_col, percent=percent):
-        shipped = benchmark.sparkSession.sparkContext.broadcast(block)
-
-        @F.arrow_udf("boolean")
-        def held(texts: pa.Array, shipped=shipped) -> pa.Array:
-            out, at = np.zeros(len(texts), bool), 0
-            for batch in arrow.slices(iter([pa.record_batch([texts], names=["text"])])):
-                for row in shipped.value.matches(batch.column("text")):
-                    out[at + row[0]] = True
-                at += batch.num_rows
-            return pa.array(out)
-
-        out = out | held(text)
+        out = out | _holds(benchmark.sparkSession.sparkContext.broadcast(block))(text)
     return out
+
+
+def _holds(shipped):
+    @F.arrow_udf("boolean")
+    def held(texts: pa.Array) -> pa.Array:
+        out, at = np.zeros(len(texts), bool), 0
+        for batch in arrow.slices(iter([pa.record_batch([texts], names=["text"])])):
+            for row in shipped.value.matches(batch.column("text")):
+                out[at + row[0]] = True
+            at += batch.num_rows
+        return pa.array(out)
+
+    return held
