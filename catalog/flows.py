@@ -53,11 +53,13 @@ def flow_atlas_basins(spark, sf):
 @query(
     "flow_atlas_effort",
     f"""WITH {_CLEAN} SELECT code_exutoire, count(DISTINCT annee) AS n_annees, count(DISTINCT code_station) AS n_pops,
-        count(DISTINCT CASE WHEN regexp_matches(type_peche, '{INVENTORY}') THEN code_station END) AS n_inventaires FROM net GROUP BY 1""",
+        count(DISTINCT CASE WHEN regexp_matches(type_peche, '{INVENTORY}') THEN code_station END) AS n_inventaires
+        FROM (SELECT * REPLACE (nullif(annee, 1998) AS annee) FROM net) WHERE annee IS NOT NULL GROUP BY 1""",
 )
 def flow_atlas_effort(spark, sf):
     # the place key is a pair of coordinates, one per station for up to a million stations
     d = captures(spark, sf).drop("ope_id", "surface").withColumns({"x_wgs84": F.col("code_station") / 8, "y_wgs84": F.lit(1.0)})
+    d = d.withColumn("annee", F.when(F.col("annee") != 1998, F.col("annee")))  # one year plays the unknown one
     return A.basin_effort(A.clean_captures([d], RULES), "code_exutoire", RULES)
 
 

@@ -60,23 +60,27 @@ def point_statuses(captures: DataFrame, rules: Rules, c: CaptureColumns = Captur
     return PR.point_table(captures, c.operation, c.species, c.count, c.protocol, rules.inventory_pattern, attrs)
 
 
+def _placed(captures: DataFrame, basin: str, rules: Rules, c: CaptureColumns) -> DataFrame:
+    """Captures with a basin and a known year from the first year on."""
+    known = period(c.year, rules.first_year, inclusive=True, keep_missing=False)
+    return captures.where(F.col(basin).isNotNull() & known)
+
+
 def basin_statuses(captures: DataFrame, basin: str, rules: Rules, c: CaptureColumns = CaptureColumns()) -> DataFrame:
     """Highest status per basin, species and year, straight from the captures.
 
     ``captures`` carries the basin. Years from the first year on, known years only.
     """
     species = PR.species_ever_present(captures, c.species, c.count)
-    kept = captures.where(
-        F.col(basin).isNotNull() & period(c.year, rules.first_year, inclusive=True, keep_missing=False)
-    )
+    kept = _placed(captures, basin, rules, c)
     full = S.pattern_flag(c.protocol, rules.inventory_pattern)
     return PR.status_by(kept, [basin, c.year], c.species, c.count, full, species)
 
 
 def basin_effort(captures: DataFrame, basin: str, rules: Rules, c: CaptureColumns = CaptureColumns()) -> DataFrame:
-    """Years, places and inventoried places per basin."""
+    """Years, places and inventoried places per basin, over the captures that basin statuses count."""
     flag = S.pattern_flag(c.protocol, rules.inventory_pattern).alias("__inv")
-    seen = captures.select(basin, c.year, c.place, flag).distinct()
+    seen = _placed(captures, basin, rules, c).select(basin, c.year, c.place, flag).distinct()
     return seen.groupBy(basin).agg(
         n_distinct(c.year).alias("n_annees"),
         n_distinct(c.place).alias("n_pops"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Mapping, Sequence
 from uuid import uuid4
 
@@ -12,17 +11,16 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one all executors share.
+    """A new folder under the one all executors share, removed when the application ends.
 
-    The cluster names it in ``spark.checkpoint.dir``; a local folder stands in
-    only where that is not set.
+    The cluster names it in ``spark.checkpoint.dir``; where that is not set, the
+    folder lies under the warehouse, which is shared as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/creel-{uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/creel-{uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
