@@ -320,10 +320,16 @@ def tiles(rows: DataFrame, percent: int, most: int = TILE) -> DataFrame:
 
 
 def with_component(groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """Groups that still hold more than one component, with the component of each row."""
+    """Groups that still hold more than one component, with the component of each row.
+
+    Shingles of one passage make many groups of the same classes; one of these groups
+    has all their pairs. Two hashes of a group's classes and their number tell it.
+    """
     found = components(edges).withColumnRenamed("node", "class")
     rows = groups.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("key")
+    same = [F.count("*").alias("rows"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("y")]
+    mixed = rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), *same).where("c1 != c2")
+    mixed = mixed.groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key")
     return scratch.written(rows.join(mixed, "key", "left_semi"))
 
 
