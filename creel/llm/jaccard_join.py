@@ -12,7 +12,10 @@
 4. Groups that still hold several components are cut into tiles by bands of set
    size, large tiles into blocks. Within a tile hashed bitmaps bound the overlap of
    each pair from above: a bit that only one side has is an element the other
-   lacks. Pairs that the bound lets through get the exact intersection.
+   lacks. Pairs that the bound lets through get the exact intersection. The first
+   time each row shows only its best partner, so that a large group of near copies
+   falls to few components by a number of pairs that grows as its rows; the second
+   time all pairs of what are still different components are shown.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ COMMON_SHARE = 2000  # a shingle is common from one text in so many on
 TILE = 1024
 BLOOM_BITS = 23
 REMEMBER = 1 << 18
-MOST_BITS = 16
+SPREAD = 4  # bits of a bitmap for each element
+MOST_BITS = 18
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> list[np.ndarray]:
@@ -244,12 +248,12 @@ def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
 
 
 def own_bits(n: int) -> int:
-    return min(MOST_BITS, max(6, int(n - 1).bit_length()))
+    return min(MOST_BITS, max(6, int(SPREAD * n - 1).bit_length()))
 
 
 @F.arrow_udf(BinaryType())
 def signature(sets: pa.Array) -> pa.Array:
-    """A bitmap of a set's hashes with about as many bits as the set has elements."""
+    """A bitmap of a set's hashes with about SPREAD bits for each element."""
     flat, at = np.asarray(sets.values), np.asarray(sets.offsets)
     return pa.array([bitmap(flat[a:b], own_bits(b - a)).tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())
 
@@ -260,8 +264,11 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def tile_pairs(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of a tile that the bitmaps cannot rule out. rows: class, n, component, own (of the tile's band), side, bitmap."""
+def tile_pairs(rows: list[tuple], percent: int, best: bool = False) -> Iterator[tuple[int, int]]:
+    """Pairs of a tile that the bitmaps cannot rule out; for each row all of them, or only that of the most room above the bound.
+
+    rows: class, n, component, own (of the tile's band), side, bitmap.
+    """
     rows = sorted(rows, key=lambda r: (r[1], r[0]))
     of, n, comp, own, side = (np.array(x) for x in list(zip(*rows, strict=True))[:5])
     raw = [np.frombuffer(r[5], np.uint64) for r in rows]
@@ -278,18 +285,18 @@ def tile_pairs(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
             continue
         need = -(-percent * (n[i] + n[j]) // (100 + percent))
         most = np.minimum(n[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1), n[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1))
-        for k in j[most >= need]:
+        for k in j[most >= need] if not best else j[[np.argmax(most - need)]] if (most >= need).any() else ():
             yield (int(of[i]), int(of[k])) if of[i] > of[k] else (int(of[k]), int(of[i]))
 
 
-def tiled(percent: int):
-    """Rows sorted by tile: the pairs of each tile that need the exact check."""
+def tiled(percent: int, best: bool):
+    """Rows sorted by tile: the pairs of each tile that need the exact check, or the best pair of each row."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            if len(rows) > 1 and (found := list(tile_pairs(rows, percent))):
+            if len(rows) > 1 and (found := list(tile_pairs(rows, percent, best))):
                 u, v = zip(*found, strict=True)
                 yield frames(u=(u, LONG), v=(v, LONG))
 
@@ -380,15 +387,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meets = groups.where("before != class").groupBy("class", "before").agg(F.count("*").alias("n"))
     pairs = meets.groupBy("class").agg(F.max_by("before", F.struct("n", "before")).alias("before"))
     links = [scratch.written(linked(ordered(pairs, "class", "before"), sets, percent))]
-    rest = with_component(groups, links[0])
-    bits = sets.join(rest.select("class").distinct(), "class", "left_semi").select("class", signature("shingles").alias("bits"))
-    dealt = tiles(rest.select("key", "class", "n", "component"), percent).join(bits, "class")
-    dealt = dealt.select("key", "band", "a", "b", "class", "n", "component", "own", "side", "bits")
-    dealt = dealt.repartition("key", "band", "a", "b").sortWithinPartitions("key", "band", "a", "b")
-    pairs = scratch.written(dealt.mapInArrow(tiled(percent), "u long, v long").distinct())
-    links.append(scratch.written(linked(pairs, sets, percent)))
-
-    found = components(links[0].union(links[1]))
+    edges, rest, bits = links[0], groups, None
+    for best in (True, False):
+        rest = with_component(rest.select("key", "class", "n"), edges)
+        if bits is None:
+            bits = scratch.written(sets.join(rest.select("class").distinct(), "class", "left_semi").select("class", signature("shingles").alias("bits")))
+        dealt = tiles(rest, percent).join(bits, "class")
+        dealt = dealt.select("key", "band", "a", "b", "class", "n", "component", "own", "side", "bits")
+        dealt = dealt.repartition("key", "band", "a", "b").sortWithinPartitions("key", "band", "a", "b")
+        pairs = scratch.written(dealt.mapInArrow(tiled(percent, best), "u long, v long").distinct())
+        links.append(scratch.written(linked(pairs, sets, percent)))
+        edges = edges.union(links[-1])
+        release(spark)
+
+    found = components(edges)
     # a class without shingles is not a class: each such text stands alone
     of = members.where("n > 0").join(found.select(F.col("node").alias("class"), "component"), "class", "left")
     of = of.select("__id", "n", F.coalesce("component", "class").alias("component"))

@@ -200,6 +200,8 @@ def test_tiles_find_what_small_blocks_find():
     rows = [(i, len(s), i, True, 0, jaccard_join.bitmap(s, jaccard_join.own_bits(len(s))).tobytes()) for i, s in enumerate(sets)]
     found = set(jaccard_join.tile_pairs(rows, 80))
     assert found >= {(a, b) for a in range(12) for b in range(a) if a // 3 == b // 3}
+    best = list(jaccard_join.tile_pairs(rows, 80, best=True))
+    assert set(best) <= found and len(best) < len(rows) and {i // 3 for pair in best for i in pair} == set(range(4))
 
 
 def test_components(spark):
