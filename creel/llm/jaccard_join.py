@@ -178,7 +178,7 @@ GROUPS = "key long, class long, n int, before long"
 
 
 def grouped(percent: int):
-    """Rows sorted by key, size and class: those with a partner of fitting size, and the group's first class if it fits, else the one before."""
+    """Rows sorted by key, size and class, each class of a key once: those with a partner of fitting size, and the group's first class if it fits, else the one before."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the rows not decided yet: the one before the last and the last
@@ -189,6 +189,9 @@ def grouped(percent: int):
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             if not len(rows[0]):
                 continue
+            # a class comes once from each task that holds it; one row stands for all
+            new = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
+            rows = [x[new] for x in rows]
             yield from emit(rows, 0 if held is None else held[0].size - 1, False, lead)
             if rows[0][-1] != lead[0]:
                 at = np.searchsorted(rows[0], rows[0][-1])
@@ -201,12 +204,9 @@ def grouped(percent: int):
     def emit(rows: list[np.ndarray], first: int, last: bool, lead: tuple) -> Iterator[pa.RecordBatch]:
         key, of, n = rows
         fits = (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:])  # with the row before
-        other = fits & (of[1:] != of[:-1])
-        # a repeated row (the same class from another task) stands for the one after it
-        again = (key[1:] == key[:-1]) & (of[1:] == of[:-1])
-        back = np.concatenate([[False], other])
-        ahead = np.concatenate([other, [False]])
-        stay = (back | ahead) & ~np.concatenate([again, [False]])
+        back = np.concatenate([[False], fits])
+        ahead = np.concatenate([fits, [False]])
+        stay = back | ahead
         to = len(key) if last else len(key) - 1
         at = np.flatnonzero(stay[first:to]) + first
         if len(at):

@@ -191,6 +191,31 @@ def test_near_duplicates_by_brute_force(spark):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute_components(table)
 
 
+def test_groups_hold_classes_that_come_from_several_tasks():
+    rows = [(1, 7, 50), (1, 3, 52), (1, 3, 52), (1, 3, 52), (2, 3, 52), (2, 3, 52), (4, 3, 52), (4, 3, 52), (4, 5, 53), (4, 5, 53)]
+    for size in range(1, len(rows) + 1):
+        batches = [jaccard_join.frames(**{name: (x, jaccard_join.LONG) for name, x in zip(("key", "class", "n"), zip(*rows[i : i + size], strict=True), strict=True)}) for i in range(0, len(rows), size)]
+        got = [tuple(x.values()) for b in jaccard_join.grouped(80)(iter(batches)) for x in b.to_pylist()]
+        assert got == [(1, 7, 50, 7), (1, 3, 52, 7), (4, 3, 52, 3), (4, 5, 53, 3)]
+
+
+def test_near_duplicates_with_copies_in_other_partitions(spark, tmp_path):
+    r = random.Random(8)
+    table = []
+    for k in range(8):
+        w = [r.choice("abcdefghijklmnop") + str(r.randrange(99)) for _ in range(40 + k)]
+        # two exact copies and a near one, which is shorter or longer
+        near = w[: -1 - k % 3] if k % 2 else [*w, "more"]
+        table += [(10 * part + k, " ".join(x)) for part, x in enumerate([near, w, w])]
+    for part in range(3):
+        mine = [x for x in table if x[0] // 10 == part]
+        spark.createDataFrame(mine, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for df in (docs, docs.repartition(24, "doc_id")):
+        got = jaccard_join.near_duplicates(df).collect()
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute_components(table)
+
+
 def test_near_duplicates_of_no_rows(spark):
     assert jaccard_join.near_duplicates(odd(spark, True)).count() == 0
 
