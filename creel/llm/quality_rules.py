@@ -3,7 +3,9 @@
 Counts of words, symbols, repeated lines and repeated words come from array
 functions on each whole text. The thresholds are not fixed: mergeable quantile
 sketches of every language and source give the usual range of each measure, and a
-text is rejected if a measure lies far beyond it. Only DataFrame functions are used.
+text is rejected if a measure lies far beyond it. A small group, or one whose limit is
+far above that of its language or of all texts, takes the wider limit. Only DataFrame
+functions are used.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ SYMBOLS = "#*$%&|<>"
 SPREADS = 10.0
 #: The share of measures, and the least distance from the quartile that counts as far.
 MARGINS = {"symbol_share": 0.02, "line_share": 0.30, "repeat_share": 0.25, "capital_share": 0.30, "mark_share": 0.15}
+#: A group of fewer texts, or with a limit above so many times the wider one, takes the wider one.
+LEAST_TEXTS, FAR_ABOVE = 20, 2.0
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -98,11 +102,27 @@ def thresholds(df: DataFrame, groups: list[str], accuracy: int = 1000) -> DataFr
 
     percentile_approx keeps a sketch of bounded size for each group, built by every
     task for its own rows and merged after the shuffle, so a large group costs no
-    more than a small one.
+    more than a small one. The rows of all groups that share all but the last column
+    make the next wider group, up to all rows. A group of fewer than LEAST_TEXTS texts
+    takes the limits of the wider one, and so does a limit of more than FAR_ABOVE times
+    the wider: there the upper quartile is itself that of texts unlike the others. Only
+    the limits of all rows have nothing to be held against.
     """
-    limits = df.groupBy(*groups).agg(*[F.percentile_approx(m, [0.5, 0.75], accuracy).alias(m) for m in MARGINS])
+    sketched = [F.percentile_approx(m, [0.5, 0.75], accuracy).alias(m) for m in MARGINS]
+    found = df.rollup(*groups).agg(F.grouping_id().alias("__level"), F.count(next(iter(MARGINS))).alias("__n"), *sketched)
     far = lambda m, least: F.col(m)[1] + F.greatest(SPREADS * (F.col(m)[1] - F.col(m)[0]), F.lit(least))
-    return limits.select(*groups, *[far(m, least).alias(f"max_{m}") for m, least in MARGINS.items()])
+    found = scratch.written(found.select(*groups, "__level", "__n", *[far(m, least).alias(f"max_{m}") for m, least in MARGINS.items()]))
+    # a level is told by a set bit for each column, from the last on, that the group leaves open
+    level = lambda k: found.where(F.col("__level") == (1 << len(groups) - k) - 1)
+    limits = level(0).select([f"max_{m}" for m in MARGINS])
+    for k in range(1, len(groups) + 1):
+        wider = limits.withColumnsRenamed({c: f"__wide_{c}" for c in limits.columns})
+        same = [F.col(g).eqNullSafe(F.col(f"__wide_{g}")) for g in groups[: k - 1]]
+        both = level(k).join(wider, same) if same else level(k).crossJoin(wider)
+        usable = lambda c: (F.col("__n") >= LEAST_TEXTS) & (F.col(c) <= FAR_ABOVE * F.col(f"__wide_{c}"))
+        chosen = [F.when(usable(c), F.col(c)).otherwise(F.col(f"__wide_{c}")).alias(c) for c in (f"max_{m}" for m in MARGINS)]
+        limits = both.select(*groups[:k], *chosen)
+    return limits
 
 
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
@@ -110,8 +130,7 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
 
     base_failed: fewer than 50 words, or over half of the words in repeated windows.
     kept: not base_failed, and no measure above its limit for the language and
-    source. Texts that fail the base rules have no part in the limits, and a group of
-    fails alone has none. A null language or source is a group like any other. A null or
+    source. Texts that fail the base rules have no part in the limits. A null language or source is a group like any other. A null or
     empty text fails. Equal rows get equal verdicts; an empty table gives no rows.
 
     The counts are written once, since the limits and the verdicts both read them.

@@ -105,6 +105,27 @@ def test_quality_of_odd_rows(spark):
     assert quality_rules.quality_rules(odd(spark, True)).count() == 0
 
 
+def test_quality_limits_of_small_and_bad_groups(spark):
+    r = random.Random(4)
+    clean = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(60))
+    bad = lambda: clean().replace("a", "#").replace("b", "#").replace("c", "#").replace("d", "#")
+    rows = [(f"clean{i}", clean(), "en", f"s{i % 3}") for i in range(120)]
+    # groups of one text, of a rare and of no language, a source of 40 % and one of 70 % bad texts
+    rows += [("bad", bad(), "en", "one"), ("clean", clean(), "en", "two"), ("bad", bad(), "xx", "s0"), ("bad", bad(), None, None), ("clean", clean(), None, "s1")]
+    rows += [("bad" if i % 10 < 4 else "clean", bad() if i % 10 < 4 else clean(), "en", "spam") for i in range(30)]
+    rows += [("bad" if i % 10 < 7 else "clean", bad() if i % 10 < 7 else clean(), "yy", "copies") for i in range(30)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")).collect()
+    assert len(got) == len(rows) and not any(x["base_failed"] for x in got)
+    assert [x["doc_id"] for x in got if x["kept"] != x["doc_id"].startswith("clean")] == []
+
+
+def test_quality_limits_follow_a_large_source(spark):
+    rows = [("a" if i < 200 else "b", *[x / 1000 * (i % 100) / 100 + (i >= 200) * x / 100 for x in (1, 2, 3, 4, 5)]) for i in range(400)]
+    df = spark.createDataFrame(rows, ["g", *quality_rules.MARGINS])
+    got = {x["g"]: x for x in quality_rules.thresholds(df, ["g"]).collect()}
+    assert all(0 < got["b"][f"max_{m}"] - got["a"][f"max_{m}"] <= 0.05 + 1e-9 for m in quality_rules.MARGINS)
+
+
 def test_chat_digests_read_back(spark):
     texts = ["</s>[INST] ok [/INST]", "a\\b \\: <s>", "", None, "<</SYS>><<SYS>>\n]"]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)] + [(2, 0, "odd]\n[role", "x"), (2, 0, None, "y")]
