@@ -112,8 +112,8 @@ class Passages:
         where = arrow.ragged(self.first[k], sizes)
         item, place = self.item[where], self.place[where]
         text, hit = np.repeat(text, sizes), np.repeat(hit, sizes)
-        pair = text * len(self.ids) + item
-        enough = np.bincount(pair, minlength=(len(at) - 1) * len(self.ids))[pair] >= self.least[item]
+        _, pair, n = np.unique(text * len(self.ids) + item, return_inverse=True, return_counts=True)
+        enough = n[pair] >= self.least[item]
         text, item, place, hit = text[enough], item[enough], place[enough], hit[enough]
         if not len(hit):
             return

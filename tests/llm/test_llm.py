@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -287,6 +288,22 @@ def test_decontamination_finds_edited_passages(spark):
     assert decontaminate.passages_in(df, bench.where("false")).count() == 0
 
 
+def test_decontamination_needs_memory_for_hits_only():
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30))
+    items, texts = [word() for _ in range(4000)], [word() for _ in range(5000)]
+    texts[7], texts[4999] = f"so {items[3]}", items[3999]
+    held = decontaminate.Passages(list(range(len(items))), items, 10)
+    tracemalloc.start()
+    try:
+        found = [x[:2] for x in held.matches(pa.array(texts))]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == [(7, 3), (4999, 3999)]
+    assert most < 64 << 20  # a counter for every text and passage is 160 MB
+
+
 def test_url_rules_by_brute_force(spark):
     urls = ["http://A.Example.COM/en/x?q", "https://www.example.com/en/1", "x://net/es/", "x://a.net/fr/b", "x://a.net", "no url", None, "x://b.org/#/en/", "x://notexample.com/en/", "x://://com/"]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
