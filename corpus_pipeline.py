@@ -24,10 +24,17 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id. Rows of one id are one document."""
-    found = jaccard_join.near_duplicates(docs)
-    others = found.where("doc_id != component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
-    return docs.join(others, docs["doc_id"].eqNullSafe(others["doc_id"]), "left_anti")
+    """Of each group of near duplicates the row with the smallest id, any one of equal ids; a null id comes last.
+
+    Rows are told by a key that is written with them, so null and repeated ids do not matter.
+    """
+    keyed = scratch.written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = jaccard_join.near_duplicates(keyed, "__row").select("__row", "component_id")
+    rows = found.join(keyed.select("__row", "doc_id"), "__row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    first = rows.groupBy("component_id").agg(F.min(order).alias("least")).select("least.__row")
+    others = found.select("__row").join(first, "__row", "left_anti")
+    return keyed.join(others, "__row", "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from creel.llm import arrow, chat_format, decontaminate, jaccard_join, kneser_ney, language_id, packing, quality_rules, queries, token_counts, toxicity, url_filter
 from creel.llm.components import components
 
@@ -242,6 +243,21 @@ def test_near_duplicates_of_no_rows(spark):
     assert jaccard_join.near_duplicates(odd(spark, True)).count() == 0
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    r = random.Random(9)
+    a, b, c, d, e, f = (" ".join(r.choice("abcdefghijklmnop") + str(r.randrange(99)) for _ in range(40)) for _ in range(6))
+    rows = [
+        *[(1, a), (None, f"{a} more"), (None, b), (None, None)],  # a null id is a copy, others are not
+        *[(2, c), (3, f"{c} more"), (3, d)],  # one of two texts of an id is a copy of a smaller id
+        *[(4, e), (4, e), (4, f"{e} more")],  # repeated rows
+        *[(None, f), (None, f"{f} more"), (None, f)],  # a group without an id
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [tuple(x) for x in corpus_pipeline.distinct(spark, docs, SF).collect()]
+    assert len(got) == 7 and {(1, a), (None, b), (None, None), (2, c), (3, d)} <= set(got)
+    assert [i for i, t in got if (t or "").startswith(e)] == [4] and [i for i, t in got if (t or "").startswith(f)] == [None]
+
+
 def test_tiles_find_what_small_blocks_find():
     sets = [np.unique(np.random.default_rng(i // 3).integers(0, 1 << 60, 80))[: 78 - i % 3] for i in range(12)]
     rows = [(i, len(s), i, True, 0, jaccard_join.bitmap(s, jaccard_join.own_bits(len(s))).tobytes()) for i, s in enumerate(sets)]
