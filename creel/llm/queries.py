@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from creel.llm import chat_format, decontaminate, jaccard_join, kneser_ney, language_id, packing, quality_rules, token_counts, toxicity, url_filter
+from creel.llm import chat_format, decontaminate, filter_audit, jaccard_join, kneser_ney, language_id, packing, pii, quality_rules, token_counts, toxicity, turn_repair, url_filter
 
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -68,9 +68,36 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii(table(spark, sf_dir, "documents")).drop("redacted")
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.turn_repair(turn_repair.damaged(conversations), conversations)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality_rules, op3_chat_format, op4_packing, op5_toxicity, op6_language_id, op7_jaccard_join, op8_kneser_ney, op9_decontaminate, op10_url_filter)
+    for f in (
+        op1_token_counts,
+        op2_quality_rules,
+        op3_chat_format,
+        op4_packing,
+        op5_toxicity,
+        op6_language_id,
+        op7_jaccard_join,
+        op8_kneser_ney,
+        op9_decontaminate,
+        op10_url_filter,
+        op11_filter_audit,
+        op12_pii,
+        op13_turn_repair,
+    )
 }
-#: No query here can be said in SQL as a whole: each has a learned, sketched or tokenized part.
-ORACLES: dict[str, str] = {}
+#: The other queries cannot be said in SQL as a whole: each has a learned, sketched, tokenized or searched part.
+ORACLES: dict[str, str] = {"op11_filter_audit": filter_audit.SQL}
