@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from creel.functions import scalars as S
-from creel.operators.grouping import with_group_values
+from creel.operators.quantiles import exact_quantiles
 
 
 def point_means(df: DataFrame, key: str, variables: Sequence[str], zero_is_missing: Sequence[str]) -> DataFrame:
@@ -81,81 +81,18 @@ def bar_counts(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     return long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], *, accuracy: int = 10_000, **skew: int
-) -> DataFrame:
-    """Exact interpolated quantiles per group, as array ``q``, plus ``n``, ``mini``, ``maxi``.
-
-    An exact percentile aggregate keeps every distinct value of a group in one
-    task. Here a mergeable sketch first brackets each quantile; rows below a
-    bracket are only counted, rows inside it are grouped by value, and the order
-    statistics are read off the running count of that narrow slice.
-    """
-    margin = 4.0 / accuracy
-    rows = df.select(*keys, F.col(value).cast("double").alias("__x")).where(F.col("__x").isNotNull())
-    low = [max(p - margin, 0.0) for p in probs]
-    high = [min(p + margin, 1.0) for p in probs]
-    rows = with_group_values(
-        rows,
-        keys,
-        {
-            "__cnt": F.count(F.lit(1)),
-            "__min": F.min("__x"),
-            "__max": F.max("__x"),
-            "__edges": F.percentile_approx("__x", low + high, accuracy),
-        },
-        **skew,
-    )
-    # per probability: null for a row below the bracket, the value inside it, no row above
-    slots = []
-    for j, p in enumerate(probs):
-        # a group of few rows is its own bracket: ranks are too coarse for the margin there
-        few = F.col("__cnt") * F.lit(margin) < 8
-        lo = F.when(few | F.lit(low[j] <= 0), F.col("__min")).otherwise(F.col("__edges")[j])
-        hi = F.when(few | F.lit(high[j] >= 1), F.col("__max")).otherwise(F.col("__edges")[len(low) + j])
-        slots.append(
-            F.when(
-                F.col("__x") <= hi,
-                F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p"), F.when(F.col("__x") >= lo, F.col("__x")).alias("x")),
-            )
-        )
-    parts = rows.select(*keys, "__cnt", "__min", "__max", F.explode(F.array_compact(F.array(*slots))).alias("s"))
-    weights = parts.groupBy(*keys, "__cnt", "__min", "__max", "s.j", "s.p", "s.x").agg(F.count(F.lit(1)).alias("w"))
-    running = F.sum("w").over(
-        Window.partitionBy(*keys, "j").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = weights.withColumn("__upto", running)
-    pos = (F.col("__cnt") - 1) * F.col("p")
-    k = F.floor(pos)
-    stat = ranked.groupBy(*keys, "__cnt", "__min", "__max", "j", "p").agg(
-        F.min(F.when(F.col("__upto") > k, F.struct(F.col("x").isNotNull().alias("ok"), "x"))).alias("a"),
-        F.min(F.when(F.col("__upto") > F.least(k + 1, F.col("__cnt") - 1), F.col("x"))).alias("b"),
-    )
-    found = F.when(F.col("a.ok"), F.col("a.x")).otherwise(
-        F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy")).cast("double")
-    )
-    upper = F.coalesce(F.col("b"), F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy")).cast("double"))
-    stat = stat.withColumn("q", found + (upper - found) * (pos - k))
-    return stat.groupBy(*keys).agg(
-        F.any_value("__cnt").alias("n"),
-        F.any_value("__min").alias("mini"),
-        F.any_value("__max").alias("maxi"),
-        F.transform(F.sort_array(F.collect_list(F.struct("j", "q"))), lambda s: s["q"]).alias("q"),
-    )
-
-
-def five_numbers(df: DataFrame, keys: Sequence[str], value: str, **skew: int) -> DataFrame:
+def five_numbers(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Minimum, quartiles and maximum by group (the numbers under a box plot)."""
-    q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75], **skew)
+    q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75])
     return q.select(
         *keys, "n", "mini", F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3"), "maxi"
     )
 
 
-def summary_stats(df: DataFrame, variables: Sequence[str], **skew: int) -> DataFrame:
+def summary_stats(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Minimum, median and maximum per variable, zero being missing."""
     long = df.select(*[S.null_if(F.col(v).cast("double"), 0.0).alias(v) for v in variables]).unpivot(
         [], list(variables), "variable", "valeur"
     )
-    q = exact_quantiles(long, ["variable"], "valeur", [0.5], **skew)
+    q = exact_quantiles(long, ["variable"], "valeur", [0.5])
     return q.select("variable", "mini", F.col("q")[0].alias("med"), "maxi")

@@ -1,11 +1,12 @@
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import HOT, rows
-from creel.operators import environment as E, regression as R
+from conftest import rows
+from creel.operators import environment as E, quantiles as Q, regression as R
 
 
 @pytest.fixture(scope="module")
@@ -193,22 +194,46 @@ def test_asymptote_recovers_parameters(spark):
     assert (fit["Asym"], fit["R0"], fit["lrc"]) == pytest.approx((25, 3, -2.0), abs=1e-3)
 
 
-@pytest.mark.parametrize("skew", [{}, HOT])
-@pytest.mark.parametrize("accuracy", [10_000, 40])
-def test_exact_quantiles(spark, skew, accuracy):
+def test_exact_quantiles(spark):
     rng = random.Random(9)
     recs = [("big", rng.gauss(0, 1)) for _ in range(3000)] + [("ties", float(rng.randrange(3))) for _ in range(500)]
-    recs += [("one", 4.0), ("two", 1.0), ("two", 2.0), ("none", None), (None, 7.0)]
+    recs += [("half", v) for i in range(1500) for v in (7.25, 7.25 + i * 1e-12)]
+    recs += [("close", math.nextafter(1.0, 2.0) if i % 3 else 1.0 - i * 2**-53) for i in range(900)]
+    recs += [("negative", -1e6 - i / 997) for i in range(2000)] + [("wide", rng.choice([-1, 1]) * 10.0 ** rng.randrange(-320, 308)) for _ in range(900)]
+    recs += [("tiny", i * 5e-324) for i in range(-40, 300)] + [("powers", 2.0**i) for i in range(-200, 200)]
+    recs += [("zeros", -0.0), ("zeros", 0.0), ("one", 4.0), ("two", 1.0), ("two", 2.0), ("none", None), (None, 7.0)]
     df = spark.createDataFrame(recs, "k string, x double").repartition(6)
-    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = {r["k"]: r for r in E.exact_quantiles(df, ["k"], "x", probs, accuracy=accuracy, **skew).collect()}
-    for k in ("big", "ties", "one", "two", None):
-        xs = [v for g, v in recs if g == k and v is not None]
-        assert got[k]["q"] == pytest.approx([float(np.quantile(xs, p)) for p in probs], abs=1e-12)
-        assert got[k]["n"] == len(xs)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.777, 0.9, 1.0]
+    got = {r["k"]: r for r in E.exact_quantiles(df, ["k"], "x", probs).collect()}
+    for k in {k for k, _ in recs} - {"none"}:
+        xs = sorted(v for g, v in recs if g == k and v is not None)
+        want = []
+        for p in probs:
+            at = (len(xs) - 1) * p
+            a, b = xs[math.floor(at)], xs[min(math.floor(at) + 1, len(xs) - 1)]
+            want.append(a if a == b else a + (b - a) * (at - math.floor(at)))
+        assert got[k]["q"] == want, k
+        assert (got[k]["n"], got[k]["mini"], got[k]["maxi"]) == (len(xs), xs[0], xs[-1])
     assert "none" not in got
 
 
+def test_quantiles_with_infinite_values_and_without_rows(spark):
+    xs = [float("-inf"), -1.0, 0.0, 3.0, float("inf"), float("nan")]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    q = E.exact_quantiles(df, [], "x", [0.0, 0.2, 0.6, 0.8]).first()["q"]
+    assert q == [float("-inf"), -1.0, 3.0, float("inf")]
+    assert E.exact_quantiles(df.limit(0), [], "x", [0.5]).count() == 0
+
+
+def test_the_number_never_falls(spark):
+    rng = random.Random(2)
+    xs = sorted({rng.choice([-1, 1]) * math.ldexp(rng.random() + 0.5, rng.randrange(-1070, 1020)) for _ in range(5000)})
+    xs = sorted({*xs, *[math.nextafter(2.0**i, way) for i in range(-60, 60) for way in (0, 4.0**60)], *[2.0**i for i in range(-60, 60)]})
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", Q.coarse_number(F.col("x")).alias("n")).collect()
+    numbers = [n for _, n in sorted(map(tuple, got))]
+    assert numbers == sorted(numbers)
+
+
 def test_summary_histogram_bars(spark):
     df = spark.createDataFrame([(0.0, "u"), (1.0, "u"), (2.0, "v"), (10.0, None)], "a double, t string")
     assert rows(E.summary_stats(df, ["a"])) == [("a", 1.0, 2.0, 10.0)]
