@@ -127,7 +127,7 @@ def pa_basin_status(spark, sf):
 def pa_status_map(spark, sf):
     places = table(spark, sf, "customer").select(F.col("c_custkey").alias("code_station"))
     full = S.pattern_flag("type_peche", INVENTORY)
-    facts = PR.status_by(zeroed(spark, sf), ["code_station"], "code_espece", "effectif", full, present_species(spark, sf))
+    facts = PR.status_of(zeroed(spark, sf), ["code_station"], "code_espece", "effectif", full, present_species(spark, sf), "Brand#12")
     return PR.status_map(places, facts, "code_station", "code_espece", "Brand#12")
 
 

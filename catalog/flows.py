@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.diversity import _LAST_OPS, _MEAN_KNOWN, _MISSING_BELOW, _pool_sql
+from catalog.diversity import _LAST_OPS, _MEAN_KNOWN, _MISSING_BELOW, _pool_sql, vocabulary
 from catalog.models import _cells, _ols_ctes
+from catalog.places import _BOX, _PT, basin_polygons
 from catalog.standins import CAP, INVENTORY, captures, lots, operations, point_x, point_y, r, table
 from creel.plans import atlas as A, macroecology as M
 
@@ -36,6 +37,27 @@ def flow_atlas_captures(spark, sf):
     return cleaned(spark, sf).select(*cols)
 
 
+@query(
+    "flow_atlas_points",
+    f"""WITH {_CLEAN}, v AS (SELECT code_espece FROM net GROUP BY 1 HAVING sum(effectif) > 0),
+        hit AS (SELECT c_custkey, n_nationkey, n_name FROM ({_PT}) JOIN ({_BOX}) ON x >= x0 AND x < x0 + 2.3 AND y >= y0 AND y < y0 + 2.3),
+        o AS (SELECT code_station, date_peche, annee, max({{'r': CASE WHEN regexp_matches(type_peche, '{INVENTORY}') THEN 2 ELSE 1 END, 't': type_peche}}) AS p
+              FROM net WHERE annee >= 1996 AND code_espece IN (SELECT code_espece FROM v) GROUP BY ALL),
+        n AS (SELECT code_station, date_peche, code_espece, sum(effectif) AS effectif FROM net GROUP BY ALL)
+        SELECT o.code_station, o.date_peche, o.annee, p.t AS type_peche, v.code_espece, 'Poisson ' || lower(v.code_espece) AS esp_nom_commun, coalesce(effectif, 0) AS effectif,
+               CASE WHEN effectif > 0 THEN 'Présent' WHEN p.r = 2 THEN 'Absent' ELSE 'Non détecté' END AS statut, n_nationkey AS bassin, n_name AS toponyme
+        FROM o JOIN hit ON o.code_station = c_custkey CROSS JOIN v
+        LEFT JOIN n ON n.code_station = o.code_station AND n.date_peche = o.date_peche AND n.code_espece = v.code_espece""",
+)
+def flow_atlas_points(spark, sf):
+    """The basin comes from the polygons; the one that the stand-in stations carry is not used."""
+    basins = basin_polygons(spark, sf).withColumnRenamed("code_exutoire", "bassin")
+    names = vocabulary(spark, sf).withColumn("esp_nom_commun", F.concat(F.lit("Poisson "), F.lower("code_espece")))
+    out = A.placed_statuses(cleaned(spark, sf), basins, ["bassin", "toponyme"], "rings", RULES, names=names, name_col="esp_nom_commun")
+    cols = ["code_station", "date_peche", "annee", "type_peche", "code_espece", "esp_nom_commun", "effectif", "statut", "bassin", "toponyme"]
+    return out.select(*cols)
+
+
 @query(
     "flow_atlas_basins",
     f"""WITH {_CLEAN}, v AS (SELECT DISTINCT code_espece FROM net WHERE effectif > 0),

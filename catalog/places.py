@@ -32,7 +32,7 @@ def basin_polygons(spark, sf):
         ON x >= x0 AND x < x0 + 2.3 AND y >= y0 AND y < y0 + 2.3""",
 )
 def geo_point_in_polygon(spark, sf):
-    out = SP.point_in_polygon(station_points(spark, sf), basin_polygons(spark, sf), "x", "y", "rings", ["code_exutoire", "toponyme"], cell=2.0)
+    out = SP.point_in_polygon(station_points(spark, sf), basin_polygons(spark, sf), "x", "y", "rings", ["code_exutoire", "toponyme"])
     return out.select("code_station", "code_exutoire", "toponyme")
 
 

@@ -1,16 +1,20 @@
-"""Presence, absence and ordered status of a species at an operation, a point or a basin."""
+"""Presence, absence and ordered status of a species at an operation, a point or a basin.
+
+Species are numbered once. What an operation or place holds is one bit for each species,
+64-bit words that merge in any order, and what it lacks is their complement.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from creel.functions import scalars as S
 from creel.functions.nulls import ratio, sum_or_zero, sum_strict
-from creel.operators.grouping import salted_join
+from creel.operators.order import numbered
 from creel.operators.prepare import all_places, lookup
-from creel.sources.tables import materialise
 
 # Ordered status labels, lowest first, and the default of a map.
 STATUS_LEVELS = ["Non détecté", "Absent", "Présent"]
@@ -23,8 +27,8 @@ TREND_LABELS = {
     "Sb": "Stable / baisse",
     "B": "Baisse",
 }
-# a vocabulary up to this size travels as one array (a few MB)
-VOCABULARY_LIMIT = 50_000
+# species in a block of the dictionary: the bits of a whole number, without its sign
+WIDTH = 63
 ABSENT_EVERYWHERE = "Espèce absente du périmètre de l'étude"
 
 
@@ -45,53 +49,69 @@ def protocol_status(full_inventory: Column) -> Column:
     return F.when(full_inventory, STATUS_LEVELS[1]).otherwise(STATUS_LEVELS[0])
 
 
-def merge_records(df: DataFrame, op: str, species: str, count: str, op_cols: Sequence[str] = ()) -> DataFrame:
-    """One row per operation and species, counts summed; ``op_cols`` depend on the operation."""
-    attrs = [F.any_value(c).alias(c) for c in op_cols]
-    return df.groupBy(op, species).agg(sum_or_zero(F.col(count).cast("double")).alias(count), *attrs)
+def protocol_rank(full_inventory: Column) -> Column:
+    """2 under a full inventory, otherwise 1: the rank of a species that is not recorded."""
+    return F.when(full_inventory, 2).otherwise(1)
 
 
-def expand_missing(
-    held: DataFrame, vocabulary: DataFrame, species: str, seen: str, limit: int = VOCABULARY_LIMIT
-) -> DataFrame:
-    """One row per species of ``vocabulary`` that is not in the array ``seen``.
+def merge_records(df: DataFrame, op: str, species: str, count: str, rank: Column, op_cols: Sequence[str] = ()) -> DataFrame:
+    """One row per operation and species: counts summed, and the record of highest protocol as ``__of``.
 
-    The vocabulary travels as one array while it holds at most ``limit`` species.
-    A larger one is cut into hashed blocks that are joined to the rows.
+    ``__of`` holds the rank and ``op_cols``. Of records of equal rank the greatest
+    attributes count, so the choice does not depend on the order of the rows.
     """
-    keep = [c for c in held.columns if c != seen]
-    if vocabulary.limit(limit + 1).count() <= limit:
-        everything = vocabulary.agg(F.collect_set(species)).scalar()
-        return held.select(*keep, F.explode(F.array_except(everything, F.col(seen))).alias(species))
-    n_blocks = -(-vocabulary.count() // limit) * 2
-    block = F.pmod(F.xxhash64(species), F.lit(n_blocks)).cast("int")
-    blocks = vocabulary.groupBy(block.alias("__block")).agg(F.collect_set(species).alias("__all"))
-    spread = held.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    joined = salted_join(spread, blocks, ["__block"])
-    return joined.select(*keep, F.explode(F.array_except("__all", seen)).alias(species))
-
-
-def expand_vocabulary(rows: DataFrame, vocabulary: DataFrame, species: str, caught: str, count: str) -> DataFrame:
-    """One row per row of ``rows`` and species of the vocabulary.
-
-    ``caught`` is an array of (sp, n); the other species get a missing ``count``.
+    of = F.max(F.struct(rank.alias("__rank"), *op_cols)).alias("__of")
+    return df.groupBy(op, species).agg(sum_or_zero(F.col(count).cast("double")).alias(count), of)
+
+
+# -- the species dictionary --------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Dictionary:
+    """Species numbered without gaps.
+
+    ``codes`` has one row per species with its block and its bit there, ``blocks`` one
+    row per block with its species in order of their bits, and whatever else is known
+    about them. Blocks are numbered from 0, and ``last`` is the number of the last.
     """
-    keep = [c for c in rows.columns if c != caught]
-    if vocabulary.limit(VOCABULARY_LIMIT + 1).count() > VOCABULARY_LIMIT:
-        present = rows.select(*keep, F.inline(caught)).withColumnsRenamed({"sp": species, "n": count})
-        held = rows.select(*keep, F.col(caught)["sp"].alias("__held"))
-        absent = expand_missing(held, vocabulary, species, "__held", VOCABULARY_LIMIT).withColumn(count, F.lit(None).cast("double"))
-        return present.unionByName(absent)
-    everything = vocabulary.agg(F.collect_set(species)).scalar()
-    others = F.transform("__rest", lambda sp: F.struct(sp.alias("sp"), F.lit(None).cast("double").alias("n")))
-    rest = rows.withColumn("__rest", F.array_except(everything, F.col(caught)["sp"]))
-    flat = rest.select(*keep, F.explode(F.concat(F.col(caught), others)).alias("__e"))
-    return flat.select(*keep, F.col("__e.sp").alias(species), F.col("__e.n").alias(count))
+
+    codes: DataFrame
+    blocks: DataFrame
+    last: Column
+
+
+def dictionary(vocabulary: DataFrame, species: str, names: DataFrame | None = None, name_cols: Sequence[str] = (), *, width: int = WIDTH) -> Dictionary:
+    """Number a vocabulary; ``names`` gives further columns of a species (one row each)."""
+    listed = vocabulary.select(species).where(F.col(species).isNotNull()).distinct()
+    if names is not None:
+        listed = listed.join(names.select(species, *name_cols), species, "left")
+    rows = numbered(listed, [species], "__no")
+    rows = rows.withColumns({"__block": F.floor(F.col("__no") / width).cast("int"), "__bit": (F.col("__no") % width).cast("int")})
+    entry = F.struct("__bit", F.col(species).alias("sp"), *name_cols)
+    blocks = rows.groupBy("__block").agg(F.sort_array(F.collect_list(entry)).alias("__species"))
+    return Dictionary(rows.select(species, "__block", "__bit"), blocks, rows.agg(F.max("__block")).scalar())
+
+
+def bit(condition: Column) -> Column:
+    """The word in which a record sets its species' bit, if the condition holds."""
+    return F.when(condition, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__bit"))).otherwise(F.lit(0).cast("long"))
 
 
-def _listed(vocabulary: DataFrame, species: str) -> DataFrame:
-    """The species list as a small written table: it is read several times."""
-    return materialise(vocabulary.select(species).where(F.col(species).isNotNull()).distinct())
+def by_block(blocks: DataFrame, keys: Sequence[str], held: str, *aggs: Column) -> DataFrame:
+    """One row per key with ``held`` of each of its blocks as a map."""
+    entries = F.map_from_entries(F.collect_list(F.struct("__block", held)))
+    return blocks.groupBy(*keys).agg(entries.alias("__held"), *aggs)
+
+
+def expand(rows: DataFrame, words: Dictionary) -> DataFrame:
+    """Each row once for every block, with the block's species and what the row holds there.
+
+    The blocks are joined by their number. Spark broadcasts them while they are small;
+    once they are not there are thousands, and every row meets each, so the shuffle is even.
+    """
+    every = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), words.last)))
+    return every.withColumn("__held", F.col("__held")[F.col("__block")]).join(words.blocks, "__block")
 
 
 def absences(
@@ -102,22 +122,26 @@ def absences(
     vocabulary: DataFrame,
     op_cols: Sequence[str] = (),
     *,
-    vocabulary_limit: int = VOCABULARY_LIMIT,
+    width: int = WIDTH,
 ) -> DataFrame:
     """Every (operation, species) pair without individuals, with count 0.
 
     That is a pair recorded with count 0 or not recorded at all; a pair with a
     missing count is neither present nor absent. Operations that record no species
-    of the vocabulary do not appear. One aggregation per operation gathers the
-    species it holds, never more than the vocabulary; the rest is exploded, so no
-    pair is generated that is not in the result.
+    of the vocabulary do not appear. An operation's attributes are those of one of its
+    records, the greatest. What an operation holds is gathered as bits of numbered
+    species; their complement is exploded, so no pair is generated that is not in the
+    result.
     """
-    vocabulary = _listed(vocabulary, species)
-    known = df.join(vocabulary, species, "left_semi")
-    held = F.collect_set(F.when(F.col(count).isNull() | (F.col(count) != 0), F.col(species)))
-    per_op = known.groupBy(op).agg(held.alias("__held"), *[F.any_value(c).alias(c) for c in op_cols])
-    out = expand_missing(per_op, vocabulary, species, "__held", vocabulary_limit)
-    return out.select(op, *op_cols, species, F.lit(0.0).alias(count))
+    words = dictionary(vocabulary, species, width=width)
+    known = df.join(words.codes, species)
+    of = F.max(F.struct(F.lit(0).alias("__rank"), *op_cols)).alias("__of")
+    held = known.groupBy(op, "__block").agg(F.bit_or(bit(F.col(count).isNull() | (F.col(count) != 0))).alias("__bits"), of)
+    per_op = by_block(held, [op], "__bits", F.max("__of").alias("__of"))
+    bits = F.coalesce("__held", F.lit(0).cast("long"))
+    gone = F.filter("__species", lambda e: F.getbit(bits, e["__bit"]) == 0)
+    out = expand(per_op, words).select(op, *[F.col("__of")[c].alias(c) for c in op_cols], F.explode(gone).alias("__e"))
+    return out.select(op, *op_cols, F.col("__e.sp").alias(species), F.lit(0.0).alias(count))
 
 
 def point_table(
@@ -131,26 +155,34 @@ def point_table(
     vocabulary: DataFrame | None = None,
     names: DataFrame | None = None,
     name_col: str | None = None,
+    *,
+    width: int = WIDTH,
 ) -> DataFrame:
     """Presences and absences of every operation, with status, rank and common name.
 
-    Records of one operation and species are merged first. ``vocabulary`` holds the
+    Records of one operation and species are merged first. An operation with several
+    protocols counts by the highest, whose attributes it takes. ``vocabulary`` holds the
     species with a positive total; it is derived from ``df`` if not given, which
-    reads ``df`` once more.
+    reads ``df`` once more. Names travel with the dictionary.
     """
     attrs = list(dict.fromkeys([*op_cols, protocol]))
-    merged = merge_records(df, op, species, count, attrs)
+    merged = merge_records(df, op, species, count, protocol_rank(S.pattern_flag(protocol, inventory_pattern)), attrs)
     if vocabulary is None:
         vocabulary = species_ever_present(merged, species, count)
-    vocabulary = _listed(vocabulary, species)
-    known = merged.join(vocabulary, species, "left_semi")
-    caught = F.when(F.col(count) > 0, F.struct(F.col(species).alias("sp"), F.col(count).alias("n")))
-    per_op = known.groupBy(op).agg(F.collect_list(caught).alias("__caught"), *[F.any_value(c).alias(c) for c in attrs])
-    both = expand_vocabulary(per_op, vocabulary, species, "__caught", count)
-    inventoried = S.pattern_flag(protocol, inventory_pattern)
-    both = both.withColumn("rang", F.when(F.col(count).isNotNull(), 3).when(inventoried, 2).otherwise(1))
-    both = both.withColumns({count: F.coalesce(count, F.lit(0.0)), "statut": S.level_label("rang", STATUS_LEVELS)})
-    return both if names is None else lookup(both, names, [species], [name_col])
+    named = [name_col] if name_col is not None else []
+    words = dictionary(vocabulary, species, names, named, width=width)
+    known = merged.join(words.codes, species)
+    caught = F.map_from_entries(F.collect_list(F.when(F.col(count) > 0, F.struct("__bit", F.col(count).alias("n")))))
+    blocks = known.groupBy(op, "__block").agg(caught.alias("__caught"), F.max("__of").alias("__of"))
+    per_op = by_block(blocks, [op], "__caught", F.max("__of").alias("__of"))
+    each = F.transform("__species", lambda e: F.struct(e["sp"].alias("sp"), *[e[c].alias(c) for c in named], F.col("__held")[e["__bit"]].alias("n")))
+    both = expand(per_op, words).select(op, "__of", F.inline(each))
+    rank = F.when(F.col("n").isNotNull(), 3).otherwise(F.col("__of.__rank"))
+    out = both.select(
+        op, *[F.col("__of")[c].alias(c) for c in attrs], F.col("sp").alias(species), F.coalesce("n", F.lit(0.0)).alias(count), rank.alias("rang"), *named
+    )
+    label = S.level_label("rang", STATUS_LEVELS).alias("statut")
+    return out.select(op, *attrs, species, count, "rang", label, *named)
 
 
 def status_by(
@@ -160,6 +192,8 @@ def status_by(
     count: str,
     full_inventory: Column,
     vocabulary: DataFrame,
+    *,
+    width: int = WIDTH,
 ) -> DataFrame:
     """Highest status of each species by key, straight from the captures.
 
@@ -168,15 +202,30 @@ def status_by(
     table without building it: one row per key and species instead of one per
     operation and species.
     """
-    vocabulary = _listed(vocabulary, species)
-    known = df.join(vocabulary, species, "left_semi")
-    caught = F.when(F.col(count) > 0, F.struct(F.col(species).alias("sp"), F.lit(1.0).alias("n")))
-    grouped = known.groupBy(*keys).agg(
-        F.collect_set(caught).alias("__caught"), F.max(F.when(full_inventory, 2).otherwise(1)).alias("rang")
-    )
-    both = expand_vocabulary(grouped, vocabulary, species, "__caught", "__n")
-    both = both.withColumn("rang", F.when(F.col("__n").isNotNull(), 3).otherwise(F.col("rang"))).drop("__n")
-    return both.withColumn("statut", S.level_label("rang", STATUS_LEVELS))
+    words = dictionary(vocabulary, species, width=width)
+    known = df.join(words.codes, species).withColumn("__rank", protocol_rank(full_inventory))
+    blocks = known.groupBy(*keys, "__block").agg(F.bit_or(bit(F.coalesce(F.col(count) > 0, F.lit(False)))).alias("__bits"), F.max("__rank").alias("__rank"))
+    grouped = by_block(blocks, keys, "__bits", F.max("__rank").alias("__rank"))
+    bits = F.coalesce("__held", F.lit(0).cast("long"))
+    each = F.transform("__species", lambda e: F.struct(e["sp"].alias("sp"), F.getbit(bits, e["__bit"]).alias("hit")))
+    both = expand(grouped, words).select(*keys, "__rank", F.inline(each))
+    out = both.select(*keys, F.col("sp").alias(species), F.when(F.col("hit") == 1, 3).otherwise(F.col("__rank")).alias("rang"))
+    return out.withColumn("statut", S.level_label("rang", STATUS_LEVELS))
+
+
+def status_of(
+    df: DataFrame, keys: Sequence[str], species: str, count: str, full_inventory: Column, vocabulary: DataFrame, code: str
+) -> DataFrame:
+    """Highest status of one species by key: one conditional aggregation, nothing expanded.
+
+    The same as the species' rows of :func:`status_by`.
+    """
+    listed = vocabulary.select(species).distinct()
+    known = df.join(listed, species, "left_semi")
+    hit = (F.col(species) == code) & (F.col(count) > 0)
+    top = known.groupBy(*keys).agg(F.max(F.when(hit, 3).otherwise(protocol_rank(full_inventory))).alias("rang"))
+    top = top.where(listed.agg(F.max(F.col(species) == code)).scalar())
+    return top.select(*keys, F.lit(code).alias(species), "rang", S.level_label("rang", STATUS_LEVELS).alias("statut"))
 
 
 def highest_status(df: DataFrame, keys: Sequence[str], status: str = "statut", levels: Sequence[str] = STATUS_LEVELS) -> DataFrame:

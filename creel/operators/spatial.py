@@ -13,6 +13,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, functions as F
 
 from creel.operators.grouping import salted_join
+from creel.sources.tables import materialise
 
 
 def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -52,6 +53,74 @@ def covers(edges: Column, x: Column, y: Column) -> Column:
     return F.size(crossed) % 2 == 1
 
 
+# a border cell with more edges than this is split into 4 x 4, and its parts again, so many times
+CELL_EDGES, SPLITS = 12, 4
+
+
+def _touches(e: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether an edge may pass through a cell: their boxes meet and the cell is not all on one side of it."""
+    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+    meets = (F.least(e["x1"], e["x2"]) <= x1) & (F.greatest(e["x1"], e["x2"]) >= x0) & (F.least(e["y1"], e["y2"]) <= y1) & (F.greatest(e["y1"], e["y2"]) >= y0)
+    sides = [dx * (y - e["y1"]) - dy * (x - e["x1"]) for x in (x0, x1) for y in (y0, y1)]
+    # rounding of these products; a cell that is taken for a border cell costs a test, no more
+    slack = 1e-14 * (F.abs(dx) * (F.abs(y0) + F.abs(y1) + F.abs(e["y1"])) + F.abs(dy) * (F.abs(x0) + F.abs(x1) + F.abs(e["x1"])))
+    return meets & (F.least(*sides) <= slack) & (F.greatest(*sides) >= -slack)
+
+
+def cell_cover(polygons: DataFrame, rings: str, columns: Sequence[str]) -> DataFrame:
+    """Cells of grids with sides 2 ** k that together cover each polygon: k, cx, cy, edges, flip, columns.
+
+    A polygon begins with at most 2 x 2 cells of about its own size, so nothing has to
+    be known about sizes. A cell that no edge passes through is inside, and has no edges,
+    or is left out. A border cell carries the edges that decide about its points: those
+    in its band of y and not to its left. Edges wholly to its right that run through the
+    whole band are crossed from every point, so only whether their number is odd is kept,
+    as ``flip``. A cell with many edges is split into 4 x 4.
+    """
+    vertices = F.flatten(F.col(rings))
+    xs, ys = F.transform(vertices, lambda p: p["x"]), F.transform(vertices, lambda p: p["y"])
+    box = polygons.select(
+        *columns, ring_edges(F.col(rings)).alias("edges"), F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1")
+    )
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    # even, so that polygons of all sizes share few grids
+    box = box.where(extent > 0).withColumn("k", (2 * F.ceil(F.log2(extent) / 2)).cast("int"))
+
+    def side(k: Column) -> Column:
+        return F.pow(F.lit(2.0), k.cast("double"))
+
+    def span(low: str, high: str) -> Column:
+        return F.sequence(F.floor(F.col(low) / side(F.col("k"))), F.floor(F.col(high) / side(F.col("k"))))
+
+    cells = box.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
+    cells = cells.select(*columns, "k", "cx", "cy", "edges", F.lit(False).alias("flip"), F.lit(False).alias("done"))
+    for split in range(SPLITS + 1):
+        k, cx, cy, done = F.col("k"), F.col("cx"), F.col("cy"), F.col("done")
+        x0, y0, x1, y1 = cx * side(k), cy * side(k), (cx + 1) * side(k), (cy + 1) * side(k)
+        decide = F.filter(
+            "edges", lambda e: (F.least(e["y1"], e["y2"]) <= y1) & (F.greatest(e["y1"], e["y2"]) >= y0) & (F.greatest(e["x1"], e["x2"]) >= x0)
+        )
+        cells = cells.withColumn("edges", F.when(done, F.col("edges")).otherwise(decide))
+
+        def through(e: Column) -> Column:
+            return (F.least(e["x1"], e["x2"]) > x1) & (F.least(e["y1"], e["y2"]) <= y0) & (F.greatest(e["y1"], e["y2"]) >= y1)
+
+        odd = F.size(F.filter("edges", through)) % 2 == 1
+        rest = F.filter("edges", lambda e: ~through(e))
+        cells = cells.withColumns({"flip": F.when(done, F.col("flip")).otherwise(F.col("flip") != odd), "edges": F.when(done, F.col("edges")).otherwise(rest)})
+        cells = cells.withColumn("even", ~done & ~F.exists("edges", lambda e: _touches(e, x0, y0, x1, y1)))
+        cells = cells.where(~F.col("even") | (covers(F.col("edges"), (x0 + x1) / 2, (y0 + y1) / 2) != F.col("flip")))
+        kept = F.when(F.col("even"), F.slice("edges", 1, 0)).otherwise(F.col("edges"))
+        ended = done | F.col("even") | (F.size("edges") <= CELL_EDGES) if split < SPLITS else F.lit(True)
+
+        def cell(k: Column, cx: Column, cy: Column, edges: Column, done: bool) -> Column:
+            return F.struct(k.cast("int").alias("k"), cx.alias("cx"), cy.alias("cy"), edges.alias("edges"), F.col("flip"), F.lit(done).alias("done"))
+
+        parts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: cell(k - 2, cx * 4 + i % 4, cy * 4 + F.floor(i / 4), F.col("edges"), False))
+        cells = cells.select(*columns, F.inline(F.when(ended, F.array(cell(k, cx, cy, kept, True))).otherwise(parts)))
+    return cells.drop("done")
+
+
 def point_in_polygon(
     points: DataFrame,
     polygons: DataFrame,
@@ -59,39 +128,27 @@ def point_in_polygon(
     y: str,
     rings: str,
     columns: Sequence[str],
-    cell: float,
     **skew: int,
 ) -> DataFrame:
     """Attach polygon columns to the points inside; points in no polygon are dropped.
 
-    A point in two polygons gives two rows. Polygons are listed under the grid
-    cells of their bounding box, points carry one cell, and the join is an
-    equi-join on the cell followed by the exact test. Points crowding in one cell
-    are split over several tasks. ``cell`` should be near the size of a polygon.
+    A point in two polygons gives two rows. Polygons are cut into cells of grids that
+    follow their sizes (:func:`cell_cover`); a point carries its cell of each grid in
+    use, and the join is an equi-join on the cell. Points in cells wholly inside are
+    done; in border cells the few edges there decide. Points crowding in one cell are
+    split over several tasks.
     """
-    vertices = F.flatten(F.col(rings))
-    xs, ys = F.transform(vertices, lambda p: p["x"]), F.transform(vertices, lambda p: p["y"])
-
-    def span(v: Column) -> Column:
-        return F.sequence(
-            F.floor(F.array_min(v) / F.lit(cell)).cast("bigint"), F.floor(F.array_max(v) / F.lit(cell)).cast("bigint")
-        )
-
-    listed = (
-        polygons.withColumn("__edges", ring_edges(F.col(rings)))
-        .withColumn("__cx", F.explode(span(xs)))
-        .withColumn("__cy", F.explode(span(ys)))
-        .select("__cx", "__cy", "__edges", *columns)
-    )
-    placed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns(
-        {
-            "__cx": F.floor(F.col(x) / F.lit(cell)).cast("bigint"),
-            "__cy": F.floor(F.col(y) / F.lit(cell)).cast("bigint"),
-        }
-    )
-    joined = salted_join(placed, listed, ["__cx", "__cy"], "inner", **skew)
-    inside = joined.where(covers(F.col("__edges"), F.col(x), F.col(y)))
-    return inside.select(*points.columns, *columns)
+    renamed = {c: f"__c{i}" for i, c in enumerate(columns)}
+    listed = materialise(cell_cover(polygons.withColumnsRenamed(renamed), rings, list(renamed.values())))
+    listed = listed.withColumnsRenamed({"k": "__k", "cx": "__cx", "cy": "__cy", "edges": "__edges", "flip": "__flip"})
+    # the exponents of the grids in use: a few dozen numbers at most
+    grids = listed.agg(F.collect_set("__k")).scalar()
+    placed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__k", F.explode(grids))
+    size = F.pow(F.lit(2.0), F.col("__k").cast("double"))
+    placed = placed.withColumns({"__cx": F.floor(F.col(x) / size), "__cy": F.floor(F.col(y) / size)})
+    joined = salted_join(placed, listed, ["__k", "__cx", "__cy"], "inner", **skew)
+    inside = joined.where((F.size("__edges") == 0) | (covers(F.col("__edges"), F.col(x), F.col(y)) != F.col("__flip")))
+    return inside.select(*points.columns, *[F.col(new).alias(old) for old, new in renamed.items()])
 
 
 def centroid(rings: Column) -> tuple[Column, Column]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from creel.functions import scalars as S
 from creel.functions.nulls import n_distinct, n_distinct_if
-from creel.operators import presence as PR
+from creel.operators import presence as PR, spatial as SP
 from creel.operators.grouping import merge_all_but
 from creel.operators.prepare import period, recode_and_filter, stack_sources
 
@@ -60,6 +60,33 @@ def point_statuses(captures: DataFrame, rules: Rules, c: CaptureColumns = Captur
     return PR.point_table(captures, c.operation, c.species, c.count, c.protocol, rules.inventory_pattern, attrs)
 
 
+def placed_statuses(
+    captures: DataFrame,
+    basins: DataFrame,
+    basin_cols: Sequence[str],
+    rings: str,
+    rules: Rules,
+    c: CaptureColumns = CaptureColumns(),
+    names: DataFrame | None = None,
+    name_col: str | None = None,
+) -> DataFrame:
+    """The atlas's point table: every operation's presences and absences, with the basin its place lies in.
+
+    A species counts if it was ever caught, anywhere and in any year. Operations outside
+    all basins and before the first year, or of an unknown year, are then left out; they
+    are told from the places, before the species are expanded. A place in two basins
+    gives its rows to both.
+    """
+    places = captures.select(c.place, c.x, c.y).distinct()
+    inside = SP.point_in_polygon(places, basins, c.x, c.y, rings, basin_cols)
+    of_place = inside.groupBy(c.place).agg(F.sort_array(F.collect_set(F.struct(*basin_cols))).alias("__basins"))
+    kept = captures.where(period(c.year, rules.first_year, inclusive=True, keep_missing=False)).join(of_place, c.place)
+    attrs = [c.place, c.station, c.date, c.year, c.protocol, c.x, c.y, "__basins"]
+    species = PR.species_ever_present(captures, c.species, c.count)
+    table = PR.point_table(kept, c.operation, c.species, c.count, c.protocol, rules.inventory_pattern, attrs, species, names, name_col)
+    return table.select(*[x for x in table.columns if x != "__basins"], F.inline("__basins"))
+
+
 def _placed(captures: DataFrame, basin: str, rules: Rules, c: CaptureColumns) -> DataFrame:
     """Captures with a basin and a known year from the first year on."""
     known = period(c.year, rules.first_year, inclusive=True, keep_missing=False)

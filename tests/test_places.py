@@ -1,5 +1,5 @@
 import random
-from math import degrees
+from math import cos, degrees, pi, sin
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,8 +20,9 @@ def inside(rings, x, y):
 
 
 @pytest.mark.parametrize("skew", [{}, HOT])
-@pytest.mark.parametrize("cell", [0.4, 1.5, 50.0])
-def test_point_in_polygon_brute_force(spark, skew, cell):
+@pytest.mark.parametrize("edges", [0, 1, 12])
+def test_point_in_polygon_brute_force(spark, skew, edges, monkeypatch):
+    monkeypatch.setattr(SP, "CELL_EDGES", edges)  # all cells are split, those with several edges, none
     rng = random.Random(4)
     shapes = {
         "diamond": [[(0.0, -2.0), (2.0, 0.0), (0.0, 2.0), (-2.0, 0.0)]],
@@ -31,15 +32,43 @@ def test_point_in_polygon_brute_force(spark, skew, cell):
     pts = [(i, rng.uniform(-6, 7), rng.uniform(-6, 7)) for i in range(400)] + [(900, 1.5, 1.5), (901, None, 1.0), (902, 1.5, 1.5)]
     polys = spark.createDataFrame([(n, [[{"x": a, "y": b} for a, b in r] for r in rs]) for n, rs in shapes.items()], f"nom string, rings {POLY}")
     df = spark.createDataFrame(pts, "i int, x double, y double")
-    got = SP.point_in_polygon(df, polys, "x", "y", "rings", ["nom"], cell, **skew)
+    got = SP.point_in_polygon(df, polys, "x", "y", "rings", ["nom"], **skew)
     want = sorted((i, n) for i, x, y in pts if x is not None for n, rs in shapes.items() if inside(rs, x, y))
     assert rows(got.select("i", "nom")) == want
 
 
+def star(x, y, size, n):
+    """A polygon of n corners, alternately far and near."""
+    return [(x + size * (1 if i % 2 else 0.9) * cos(2 * pi * i / n), y + size * (1 if i % 2 else 0.9) * sin(2 * pi * i / n)) for i in range(n)]
+
+
+def test_polygons_of_very_different_size(spark):
+    rng = random.Random(8)
+    shapes = {"large": [star(3.0, -7.0, 1000.0, 600)], "small": [star(100.0, 50.0, 1.0, 80)], "tiny": [star(-3.3, 2.2, 0.01, 40)]}
+    pts = [(rng.uniform(-1100, 1100), rng.uniform(-1100, 1100)) for _ in range(500)]
+    pts += [(100 + rng.uniform(-1, 1), 50 + rng.uniform(-1, 1)) for _ in range(300)] + [(-3.3 + rng.uniform(-0.01, 0.01), 2.2 + rng.uniform(-0.01, 0.01)) for _ in range(300)]
+    pts += [p for rings in shapes.values() for p in rings[0][:40]]  # corners
+    polys = spark.createDataFrame([(n, [[{"x": a, "y": b} for a, b in r] for r in rs]) for n, rs in shapes.items()], f"nom string, rings {POLY}")
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "i int, x double, y double")
+    got = SP.point_in_polygon(df, polys, "x", "y", "rings", ["nom"])
+    assert rows(got.select("i", "nom")) == sorted((i, n) for i, (x, y) in enumerate(pts) for n, rs in shapes.items() if inside(rs, x, y))
+    cells = SP.cell_cover(polys, "rings", ["nom"]).selectExpr("nom", "k", "size(edges) n").collect()
+    assert len(cells) < 3000 and any(c.n == 0 for c in cells) and min(c.k for c in cells if c.nom == "large") > max(c.k for c in cells if c.nom == "tiny")
+    assert max(c.n for c in cells if c.nom == "large") < 100  # of 600
+
+
+def test_columns_of_the_grid_may_be_the_users(spark):
+    one = spark.range(1).select(SP.rectangle(F.lit(0), F.lit(0), F.lit(1), F.lit(1)).alias("rings"), F.lit("c").alias("k"), F.lit("e").alias("edges"))
+    pts = spark.createDataFrame([(0.5, 0.5, 7)], "x double, y double, cx int")
+    assert rows(SP.point_in_polygon(pts, one, "x", "y", "rings", ["k", "edges"])) == [(0.5, 0.5, 7, "c", "e")]
+    flat = spark.createDataFrame([([[{"x": 1.0, "y": 1.0}]], "p")], f"rings {POLY}, k string")
+    assert SP.point_in_polygon(pts, flat, "x", "y", "rings", ["k"]).count() == 0
+
+
 def test_boundary_rule(spark):
     one = spark.range(1).select(SP.rectangle(F.lit(0), F.lit(0), F.lit(1), F.lit(1)).alias("rings"))
     pts = spark.createDataFrame([(0.0, 0.0), (1.0, 0.5), (0.5, 1.0), (0.0, 0.5), (0.5, 0.5), (2.0, 2.0)], "x double, y double")
-    got = SP.point_in_polygon(pts, one.withColumn("id", F.lit(1)), "x", "y", "rings", ["id"], 1.0)
+    got = SP.point_in_polygon(pts, one.withColumn("id", F.lit(1)), "x", "y", "rings", ["id"])
     assert rows(got.select("x", "y")) == [(0.0, 0.0), (0.0, 0.5), (0.5, 0.5)]
 
 

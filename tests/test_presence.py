@@ -22,19 +22,18 @@ def test_species_ever_present_is_strict(small):
 def test_absences_brute_force(spark, small):
     vocab = spark.createDataFrame([("A",), ("B",), ("C",)], "sp string")
     want = [(1, "B"), (1, "C"), (2, "B"), (3, "A"), (3, "B")]  # the missing count of (3, C) is neither
-    for limit in (50_000, 2, 1):
-        got = PR.absences(small, "op", "sp", "n", vocab, ["proto"], vocabulary_limit=limit)
+    for width in (63, 2, 1):
+        got = PR.absences(small, "op", "sp", "n", vocab, ["proto"], width=width)
         assert rows(got.select("op", "sp")) == want
         assert {r[0] for r in got.select("n").collect()} == {0.0}
 
 
-@pytest.mark.parametrize("limit", [50_000, 1])
-def test_point_table_covers_operations_times_species(spark, monkeypatch, limit):
-    monkeypatch.setattr(PR, "VOCABULARY_LIMIT", limit)
+@pytest.mark.parametrize("width", [63, 1])
+def test_point_table_covers_operations_times_species(spark, width):
     data = [(o, ["Pêche complète", "autre", None][o % 3], f"s{s}", float((o * s) % 4)) for o in range(12) for s in range(5) if (o + s) % 2]
     data += data[:4]
     df = spark.createDataFrame(data, "op int, proto string, sp string, n double")
-    out = PR.point_table(df, "op", "sp", "n", "proto", "complète").collect()
+    out = PR.point_table(df, "op", "sp", "n", "proto", "complète", width=width).collect()
     total = {}
     proto = {}
     for o, p, s, n in data:
@@ -62,6 +61,47 @@ def test_status_by_is_the_maximum_of_the_point_table(spark):
     assert rows(got.select("bv", "sp", "rang", "statut"), "bv", "sp") == want
 
 
+def test_blocks_of_any_width_give_the_same_rows(spark):
+    """Ten species in one, two, five and ten blocks, and a vocabulary of more than one word."""
+    data = [(o, o % 3, "complète" if o % 4 else "autre", f"s{(o * k) % 10:02}", float((o + k) % 3)) for o in range(30) for k in range(1, 5)]
+    df = spark.createDataFrame(data, "op int, bv int, proto string, sp string, n double")
+    vocab = spark.createDataFrame([(f"s{i:02}",) for i in range(10)] + [("s03",), (None,)], "sp string")
+    many = spark.createDataFrame([(f"s{i:02}",) for i in range(200)], "sp string")
+    full = F.col("proto").rlike("complète")
+    found = []
+    for width in (10, 5, 2, 1):
+        one = rows(PR.absences(df, "op", "sp", "n", vocab, ["proto"], width=width))
+        two = rows(PR.point_table(df, "op", "sp", "n", "proto", "complète", ["bv"], vocab, width=width), "op", "sp")
+        three = rows(PR.status_by(df, ["bv"], "sp", "n", full, vocab, width=width), "bv", "sp")
+        found.append((one, two, three))
+    assert all(x == found[0] for x in found) and len(found[0][1]) == 300 and len(found[0][2]) == 30
+    assert PR.point_table(df, "op", "sp", "n", "proto", "complète", vocabulary=many).count() == 30 * 200
+    assert PR.point_table(df, "op", "sp", "n", "proto", "complète", vocabulary=vocab.limit(0)).count() == 0
+
+
+def test_names_travel_with_the_dictionary(spark):
+    df = spark.createDataFrame([(1, "p", "A", 1.0), (1, "p", "B", 0.0)], "op int, proto string, sp string, n double")
+    vocab = spark.createDataFrame([("A",), ("B",), ("C",)], "sp string")
+    names = spark.createDataFrame([("A", "Anguille"), ("C", "Carpe"), ("Z", "Zope")], "sp string, nom string")
+    got = PR.point_table(df, "op", "sp", "n", "proto", "complète", vocabulary=vocab, names=names, name_col="nom")
+    assert rows(got.select("sp", "nom", "rang")) == [("A", "Anguille", 3), ("B", None, 1), ("C", "Carpe", 1)]
+
+
+@pytest.mark.parametrize("first, second", [("partielle", "complète"), ("complète", "partielle")])
+def test_an_operation_counts_by_its_highest_protocol(spark, first, second):
+    data = [(1, "b", first, "A", 1.0), (1, "b", second, "B", 2.0), (2, "b", "partielle", "C", 1.0)]
+    df = spark.createDataFrame(data, "op int, bv string, proto string, sp string, n double").repartition(2)
+    table = PR.point_table(df, "op", "sp", "n", "proto", "complète", ["bv"])
+    assert rows(table.where("op = 1").select("sp", "statut", "proto")) == [("A", "Présent", "complète"), ("B", "Présent", "complète"), ("C", "Absent", "complète")]
+    vocab = PR.species_ever_present(df, "sp", "n")
+    want = rows(PR.highest_status(table, ["op", "bv", "sp"]).select("op", "sp", "statut"))
+    got = PR.status_by(df, ["op"], "sp", "n", F.col("proto").rlike("complète"), vocab)
+    assert rows(got.select("op", "sp", "statut")) == want
+    for code in "ABCZ":
+        one = PR.status_of(df, ["op"], "sp", "n", F.col("proto").rlike("complète"), vocab, code)
+        assert rows(one.select("op", "sp", "statut")) == [x for x in want if x[1] == code]
+
+
 def test_status_order_and_map(spark):
     df = spark.createDataFrame([(1, "x", s) for s in ("Absent", "Non détecté", "Présent")] + [(2, "x", "Absent"), (2, "x", None)], "p int, sp string, statut string")
     top = PR.highest_status(df, ["p"])
