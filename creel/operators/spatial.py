@@ -53,18 +53,25 @@ def covers(edges: Column, x: Column, y: Column) -> Column:
     return F.size(crossed) % 2 == 1
 
 
-# a border cell with more edges than this is split into 4 x 4, and its parts again, so many times
-CELL_EDGES, SPLITS = 12, 4
-
-
-def _touches(e: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Whether an edge may pass through a cell: their boxes meet and the cell is not all on one side of it."""
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    meets = (F.least(e["x1"], e["x2"]) <= x1) & (F.greatest(e["x1"], e["x2"]) >= x0) & (F.least(e["y1"], e["y2"]) <= y1) & (F.greatest(e["y1"], e["y2"]) >= y0)
-    sides = [dx * (y - e["y1"]) - dy * (x - e["x1"]) for x in (x0, x1) for y in (y0, y1)]
-    # rounding of these products; a cell that is taken for a border cell costs a test, no more
-    slack = 1e-14 * (F.abs(dx) * (F.abs(y0) + F.abs(y1) + F.abs(e["y1"])) + F.abs(dy) * (F.abs(x0) + F.abs(x1) + F.abs(e["x1"])))
-    return meets & (F.least(*sides) <= slack) & (F.greatest(*sides) >= -slack)
+# a border cell with more edges than this is split into 8 x 8, and its parts again, so many times
+CELL_EDGES, SPLITS = 12, 2
+
+
+# steps on a cell (k, cx, cy, edges, flip, done); as text, since they are long and built for every split
+_CORNERS = ["cx * s AS x0", "cy * s AS y0", "(cx + 1) * s AS x1", "(cy + 1) * s AS y1"]
+# edges that can decide about a point of the cell
+_DECIDE = "filter(edges, e -> least(e.y1, e.y2) <= y1 AND greatest(e.y1, e.y2) >= y0 AND greatest(e.x1, e.x2) >= x0)"
+# edges that are crossed from every point of the cell
+_THROUGH = "least(e.x1, e.x2) > x1 AND least(e.y1, e.y2) <= y0 AND greatest(e.y1, e.y2) >= y1"
+# which side of an edge a corner is on
+_SIDE = "(e.x2 - e.x1) * ({y} - e.y1) - (e.y2 - e.y1) * ({x} - e.x1)"
+_SIDES = ", ".join(_SIDE.format(x=x, y=y) for x in ("x0", "x1") for y in ("y0", "y1"))
+# rounding of these products; a cell that is taken for a border cell costs a test, no more
+_SLACK = "1e-14 * (abs(e.x2 - e.x1) * (abs(y0) + abs(y1) + abs(e.y1)) + abs(e.y2 - e.y1) * (abs(x0) + abs(x1) + abs(e.x1)))"
+# whether an edge may pass through the cell: their boxes meet and the cell is not all on one side of it
+_TOUCHES = f"least(e.x1, e.x2) <= x1 AND greatest(e.x1, e.x2) >= x0 AND least({_SIDES}) <= {_SLACK} AND greatest({_SIDES}) >= -{_SLACK}"
+_PART = "struct(k - 3 AS k, cx * 8 + i % 8 AS cx, cy * 8 + i div 8 AS cy, edges, flip, false AS done)"
+_SELF = "array(struct(k, cx, cy, if(even, slice(edges, 1, 0), edges) AS edges, flip, true AS done))"
 
 
 def cell_cover(polygons: DataFrame, rings: str, columns: Sequence[str]) -> DataFrame:
@@ -75,7 +82,7 @@ def cell_cover(polygons: DataFrame, rings: str, columns: Sequence[str]) -> DataF
     or is left out. A border cell carries the edges that decide about its points: those
     in its band of y and not to its left. Edges wholly to its right that run through the
     whole band are crossed from every point, so only whether their number is odd is kept,
-    as ``flip``. A cell with many edges is split into 4 x 4.
+    as ``flip``. A cell with many edges is split into 8 x 8.
     """
     vertices = F.flatten(F.col(rings))
     xs, ys = F.transform(vertices, lambda p: p["x"]), F.transform(vertices, lambda p: p["y"])
@@ -83,8 +90,8 @@ def cell_cover(polygons: DataFrame, rings: str, columns: Sequence[str]) -> DataF
         *columns, ring_edges(F.col(rings)).alias("edges"), F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1")
     )
     extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    # even, so that polygons of all sizes share few grids
-    box = box.where(extent > 0).withColumn("k", (2 * F.ceil(F.log2(extent) / 2)).cast("int"))
+    # every third, so that polygons of all sizes share few grids
+    box = box.where(extent > 0).withColumn("k", (3 * F.ceil(F.log2(extent) / 3)).cast("int"))
 
     def side(k: Column) -> Column:
         return F.pow(F.lit(2.0), k.cast("double"))
@@ -95,29 +102,15 @@ def cell_cover(polygons: DataFrame, rings: str, columns: Sequence[str]) -> DataF
     cells = box.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
     cells = cells.select(*columns, "k", "cx", "cy", "edges", F.lit(False).alias("flip"), F.lit(False).alias("done"))
     for split in range(SPLITS + 1):
-        k, cx, cy, done = F.col("k"), F.col("cx"), F.col("cy"), F.col("done")
-        x0, y0, x1, y1 = cx * side(k), cy * side(k), (cx + 1) * side(k), (cy + 1) * side(k)
-        decide = F.filter(
-            "edges", lambda e: (F.least(e["y1"], e["y2"]) <= y1) & (F.greatest(e["y1"], e["y2"]) >= y0) & (F.greatest(e["x1"], e["x2"]) >= x0)
-        )
-        cells = cells.withColumn("edges", F.when(done, F.col("edges")).otherwise(decide))
-
-        def through(e: Column) -> Column:
-            return (F.least(e["x1"], e["x2"]) > x1) & (F.least(e["y1"], e["y2"]) <= y0) & (F.greatest(e["y1"], e["y2"]) >= y1)
-
-        odd = F.size(F.filter("edges", through)) % 2 == 1
-        rest = F.filter("edges", lambda e: ~through(e))
-        cells = cells.withColumns({"flip": F.when(done, F.col("flip")).otherwise(F.col("flip") != odd), "edges": F.when(done, F.col("edges")).otherwise(rest)})
-        cells = cells.withColumn("even", ~done & ~F.exists("edges", lambda e: _touches(e, x0, y0, x1, y1)))
-        cells = cells.where(~F.col("even") | (covers(F.col("edges"), (x0 + x1) / 2, (y0 + y1) / 2) != F.col("flip")))
-        kept = F.when(F.col("even"), F.slice("edges", 1, 0)).otherwise(F.col("edges"))
-        ended = done | F.col("even") | (F.size("edges") <= CELL_EDGES) if split < SPLITS else F.lit(True)
-
-        def cell(k: Column, cx: Column, cy: Column, edges: Column, done: bool) -> Column:
-            return F.struct(k.cast("int").alias("k"), cx.alias("cx"), cy.alias("cy"), edges.alias("edges"), F.col("flip"), F.lit(done).alias("done"))
-
-        parts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: cell(k - 2, cx * 4 + i % 4, cy * 4 + F.floor(i / 4), F.col("edges"), False))
-        cells = cells.select(*columns, F.inline(F.when(ended, F.array(cell(k, cx, cy, kept, True))).otherwise(parts)))
+        cells = cells.selectExpr("*", "pow(2D, cast(k AS double)) AS s").selectExpr("*", *_CORNERS)
+        cells = cells.withColumn("edges", F.expr(f"if(done, edges, {_DECIDE})"))
+        flip = F.expr(f"if(done, flip, flip <> (size(filter(edges, e -> {_THROUGH})) % 2 = 1))")
+        cells = cells.withColumns({"flip": flip, "edges": F.expr(f"if(done, edges, filter(edges, e -> NOT ({_THROUGH})))")})
+        cells = cells.withColumn("even", F.expr(f"NOT done AND NOT exists(edges, e -> {_TOUCHES})"))
+        middle = covers(F.col("edges"), (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2)
+        cells = cells.where(~F.col("even") | (middle != F.col("flip")))
+        ended = f"done OR even OR size(edges) <= {CELL_EDGES}" if split < SPLITS else "true"
+        cells = cells.selectExpr(*columns, f"inline(if({ended}, {_SELF}, transform(sequence(0, 63), i -> {_PART})))")
     return cells.drop("done")
 
 
