@@ -8,8 +8,8 @@ from catalog import query
 from catalog.diversity import _LAST_OPS, _MEAN_KNOWN, _MISSING_BELOW, _pool_sql, vocabulary
 from catalog.models import _cells, _ols_ctes
 from catalog.places import _BOX, _PT, basin_polygons
-from catalog.standins import CAP, INVENTORY, captures, lots, operations, point_x, point_y, r, table
-from creel.plans import atlas as A, macroecology as M
+from catalog.standins import CAP, INVENTORY, SERIES, captures, level_series, lots, operations, point_x, point_y, r, table
+from creel.plans import atlas as A, levels as L, macroecology as M
 
 RULES = A.Rules(1996, INVENTORY, ["Brand#1", "Brand#2"], {"Brand#25": "Brand#24"})
 
@@ -120,3 +120,20 @@ def flow_local_and_basin_richness(spark, sf):
         lots(spark, sf), operations(spark, sf), "ope_id", "code_station", "code_exutoire", "date_peche", "code_espece"
     )
     return out.select("code_exutoire", "n_pop", "rsr_obs", "rsr_abs", r("lsr_moy"))
+
+
+@query(
+    "flow_level_to_year",
+    f"""WITH {SERIES}, s AS (SELECT time, level - (SELECT arg_min(level, time) FROM serie) AS level FROM serie WHERE time < 60),
+        k AS (SELECT min(time) AS k FROM s WHERE level = (SELECT min(level) FROM s)),
+        cut AS (SELECT * FROM s QUALIFY row_number() OVER (ORDER BY time) <= (SELECT k FROM k)),
+        q AS (SELECT c_custkey, ((c_custkey * 61) % 801 - 400) / 40.0 AS niveau FROM customer),
+        f AS (SELECT c_custkey, niveau, min(time) AS t FROM q LEFT JOIN cut ON level < niveau GROUP BY 1, 2)
+        SELECT c_custkey, round(niveau, 6) AS niveau, round(t + (niveau - i.level) / (i.level - p.level), 6) AS annee_niveau
+        FROM f LEFT JOIN cut i ON i.time = t LEFT JOIN cut p ON p.time = t - 1""",
+)
+def flow_level_to_year(spark, sf):
+    k = F.col("c_custkey")
+    asked = table(spark, sf, "customer").select("c_custkey", (((k * 61) % 801 - 400) / F.lit(40.0)).alias("niveau"))
+    out = L.level_to_time(asked, level_series(spark, sf), "niveau", "time", "level", before=60)
+    return out.select("c_custkey", r("niveau"), r("annee_niveau"))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
+from catalog.models import _ols_ctes
 from catalog.standins import CAP, INVENTORY, captures, lots, operations, point_x, point_y, r, table
 from creel.functions import columns as C, scalars as S
 from creel.functions.nulls import sum_or_zero
 from creel.operators import prepare as P, presence as PR
 from creel.operators.grouping import sum_by
-from creel.operators.spatial import rectangle, ring_edges, with_centroid
+from creel.operators.order import bind_by_position
+from creel.operators.regression import residuals
+from creel.operators.spatial import rectangle, ring_edges
 from creel.sources import tables as IO
 
 # -- sources and sinks -----------------------------------------------------------
@@ -382,12 +385,37 @@ def join_bridge_text_key(spark, sf):
     return P.bridge_by_text_key(facts, bridge, "code_station", "sta_id", "source_donnee", "base A", ["pop_id"])
 
 
+_PLACES = """mr AS (SELECT c_custkey AS code_station, c_acctbal / 1000 AS y, ((c_custkey * 37) % 1009) / 100.0 AS x, ((c_custkey * 53) % 997) / 90.0 AS z FROM customer)"""
+
+
+def place_rows(spark, sf):
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select(k.alias("code_station"), (F.col("c_acctbal") / 1000).alias("y"), point_x(k).alias("x"), point_y(k).alias("z"))
+
+
 @query(
     "join_positional",
-    """SELECT c_custkey AS code_station, round(((c_custkey * 37) % 1009) / 100.0 + 0.5, 6) AS x_centroid,
-              round(((c_custkey * 53) % 997) / 90.0 + 1.0, 6) AS y_centroid FROM customer""",
+    f"""WITH {_PLACES}, {_ols_ctes('mr', [])},
+        res AS (SELECT row_number() OVER (ORDER BY x, z, code_station) AS i, y - (my + bx * (x - mx) + bz * (z - mz)) AS residual FROM mr, fi),
+        layer AS (SELECT row_number() OVER (ORDER BY c_custkey DESC) AS i, c_custkey AS code_station, c_name AS toponyme FROM customer)
+        SELECT code_station, toponyme, round(residual, 5) AS residual FROM layer JOIN res ON layer.i = res.i""",
 )
 def join_positional(spark, sf):
-    x, y = point_x(F.col("c_custkey")), point_y(F.col("c_custkey"))
-    layer = table(spark, sf, "customer").select(F.col("c_custkey").alias("code_station"), rectangle(x, y, x + 1, y + 2).alias("rings"))
-    return with_centroid(layer, "rings").select("code_station", r("x_centroid"), r("y_centroid"))
+    """Residuals beside the rows of a layer, first with first; the two share no key."""
+    layer = table(spark, sf, "customer").select(F.col("c_custkey").alias("code_station"), F.col("c_name").alias("toponyme"), (-F.col("c_custkey")).alias("ordre"))
+    found = residuals(place_rows(spark, sf), "y", ["x", "z"]).select("residual", "x", "z", F.col("code_station").alias("cle"))
+    out = bind_by_position(layer, found, ["ordre"], ["x", "z", "cle"])
+    return out.select("code_station", "toponyme", r("residual", 5))
+
+
+@query(
+    "join_residuals_layer",
+    f"""WITH {_PLACES}, {_ols_ctes('mr', [])}
+        SELECT c_custkey AS code_station, c_name AS toponyme, round(y - (my + bx * (x - mx) + bz * (z - mz)), 5) AS residual
+        FROM customer JOIN mr ON c_custkey = code_station, fi""",
+)
+def join_residuals_layer(spark, sf):
+    """The same table as it should be made: residuals joined to the layer by key."""
+    layer = table(spark, sf, "customer").select(F.col("c_custkey").alias("code_station"), F.col("c_name").alias("toponyme"))
+    found = residuals(place_rows(spark, sf), "y", ["x", "z"]).select("code_station", "residual")
+    return layer.join(found, "code_station").select("code_station", "toponyme", r("residual", 5))

@@ -1,14 +1,16 @@
-"""An ordered level series: baseline shift, minimum, and inverse interpolation."""
+"""An ordered level series: baseline shift, minimum, and inverse interpolation.
+
+A series may be of any length and spacing. What depends on the rows before is found by
+ranges of the order, see :mod:`creel.operators.order`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from creel.operators.order import RANGE, carried_in, numbered, ranged
 from creel.sources.tables import materialise
 
-# the time range is cut into this many blocks, the level range into this many cells
-BLOCKS = 1024
-
 
 def baseline(df: DataFrame, time: str, level: str, before: float | None = None) -> DataFrame:
     """Restrict to ``time < before`` and subtract the level at the earliest time."""
@@ -28,10 +30,24 @@ def minimum(df: DataFrame, time: str, level: str) -> DataFrame:
 def until_minimum(df: DataFrame, time: str, level: str) -> DataFrame:
     """The first k rows in time order, k being the time of the minimum read as a row count.
 
-    With times stepping by one from zero this leaves out the minimum itself.
+    With times stepping by one from zero this leaves out the minimum itself. Rows are
+    numbered by ranges of the time, and the minimum is a value in the plan.
+    """
+    rows = numbered(df, [time], "__row")
+    k = df.agg(F.min_by(time, F.struct(level, time))).scalar()
+    return rows.where(F.col("__row") < F.floor(k)).select(*df.columns)
+
+
+def new_lows(series: DataFrame, time: str, level: str) -> DataFrame:
+    """Rows whose level is below all earlier ones, with the lowest earlier level as ``__prev``.
+
+    One row per time. The rows are dealt out by ranges of equal size, so times may crowd
+    anywhere; the lowest level of all ranges before is carried into each.
     """
-    k = df.agg(F.min_by(time, F.struct(level, time)).alias("k")).first()["k"]
-    return df.orderBy(time).limit(int(k or 0))
+    rows = carried_in(ranged(series.select(time, level), [time]), __before=(F.min(level), F.min))
+    earlier = Window.partitionBy(RANGE).orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__prev", F.least(F.min(level).over(earlier), "__before"))
+    return rows.where(F.col("__prev").isNull() | (F.col(level) < F.col("__prev"))).select(time, level, "__prev")
 
 
 def inverse_level(levels: DataFrame, series: DataFrame, wanted: str, time: str, level: str, step: float = 1.0) -> DataFrame:
@@ -41,48 +57,24 @@ def inverse_level(levels: DataFrame, series: DataFrame, wanted: str, time: str,
     the time one ``step`` before. The result is missing where the level is never
     passed or that earlier time is not in the series.
 
-    Only a new low can be a "first time below", and a low covers the wanted
-    levels from itself (not included) up to the previous low. Those intervals are
-    disjoint; they are listed under cells of the level range, so the lookup is an
-    equi-join. New lows are found block by block of the time range, never with
-    the whole series in one task.
+    Only a new low can be a "first time below", and later lows are lower. So the one for
+    a wanted level is the greatest low below it: lows and wanted levels are put in one
+    order by level, and the last low is carried forward, across ranges and within.
     """
     # read several times below, so written out once
     one = materialise(series.groupBy(time).agg(F.min(level).alias(level)).where(F.col(level).isNotNull()))
-    span = one.agg(F.struct(F.min(time).alias("t0"), F.max(time).alias("t1"))).scalar()
-    width = F.greatest((span["t1"] - span["t0"]) / F.lit(BLOCKS), F.lit(1e-300))
-    blocked = one.withColumn("__b", F.least(F.floor((F.col(time) - span["t0"]) / width), F.lit(BLOCKS - 1)).cast("int"))
-    # at most BLOCKS rows, so one task may order them
-    per_block = blocked.groupBy("__b").agg(F.min(level).alias("__low"))
-    before = F.min("__low").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    per_block = per_block.select("__b", before.alias("__before"))
-    candidate = blocked.join(F.broadcast(per_block), "__b").where(
-        F.col("__before").isNull() | (F.col(level) < F.col("__before"))
-    )
-    inside = F.min(level).over(Window.partitionBy("__b").orderBy(time).rowsBetween(Window.unboundedPreceding, -1))
-    lows = candidate.withColumn("__prev", F.least(inside, F.col("__before"))).where(
-        F.col("__prev").isNull() | (F.col(level) < F.col("__prev"))
-    )
+    lows = new_lows(one, time, level)
     earlier = one.select((F.col(time) + F.lit(step)).alias("__t"), F.col(level).alias("__y_sup"))
-    lows = lows.join(earlier, F.col(time) == F.col("__t"), "left").select(
-        F.col(time).alias("__t_inf"), F.col(level).alias("__y_inf"), "__y_sup", "__prev"
-    )
-    # cells of the level range; a wanted level above the first level belongs to the first low
-    bounds = one.agg(F.struct(F.min(level).alias("l0"), F.max(level).alias("l1"))).scalar()
-    cell_width = F.greatest((bounds["l1"] - bounds["l0"]) / F.lit(BLOCKS), F.lit(1e-300))
-
-    def cell(c):
-        return F.least(F.greatest(F.floor((c - bounds["l0"]) / cell_width), F.lit(0)), F.lit(BLOCKS)).cast("int")
-
-    listed = lows.withColumn(
-        "__c", F.explode(F.sequence(cell(F.col("__y_inf")), F.coalesce(cell(F.col("__prev")), F.lit(BLOCKS))))
-    )
-    asked = levels.withColumn("__c", cell(F.col(wanted)))
-    hit = (asked["__c"] == listed["__c"]) & (F.col("__y_inf") < F.col(wanted)) & (
-        F.col("__prev").isNull() | (F.col(wanted) <= F.col("__prev"))
-    )
-    joined = asked.join(listed, hit, "left")
-    slope = (F.col("__y_inf") - F.col("__y_sup")) / F.lit(-step)
+    lows = lows.join(earlier, F.col(time) == F.col("__t"), "left")
+    low = F.struct(F.col(level).cast("double").alias("y_inf"), F.col(time).cast("double").alias("t_inf"), F.col("__y_sup").cast("double").alias("y_sup"))
+    row = F.struct(*levels.columns)
+    # at equal levels what is asked comes first: a low is below it only if it is lower
+    asked = levels.select(F.col(wanted).cast("double").alias("__level"), F.lit(0).alias("__kind"), F.lit(None).cast("struct<y_inf:double,t_inf:double,y_sup:double>").alias("__low"), row.alias("__asked"))
+    marks = lows.select(F.col(level).cast("double").alias("__level"), F.lit(1).alias("__kind"), low.alias("__low"), F.lit(None).cast(asked.schema["__asked"].dataType).alias("__asked"))
+    both = carried_in(ranged(asked.unionByName(marks), ["__level", "__kind"]), __carried=(F.max("__low"), F.max))
+    so_far = Window.partitionBy(RANGE).orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__last", F.coalesce(F.max("__low").over(so_far), "__carried")).where("__kind = 0")
+    y_inf, t_inf, y_sup = (F.col("__last")[c] for c in ("y_inf", "t_inf", "y_sup"))
     # time = t_inf + (wanted - y_inf) / a with a = (y_inf - y_sup) / step
-    year = F.col("__t_inf") + F.try_divide(F.col(wanted) - F.col("__y_inf"), -slope)
-    return joined.select(*levels.columns, year.alias("annee_niveau"))
+    year = t_inf + F.try_divide(F.col("__level") - y_inf, (y_inf - y_sup) / F.lit(step))
+    return both.select("__asked.*", year.alias("annee_niveau"))
