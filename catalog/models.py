@@ -8,6 +8,7 @@ from catalog import query
 from catalog.standins import CAP, captures, operations, r, table
 from creel.functions import scalars as S
 from creel.operators import environment as E, regression as R
+from creel.operators.absorption import factor_models
 
 # -- environment and distributions -------------------------------------------------
 
@@ -256,8 +257,7 @@ def lm_fit(spark, sf):
 )
 def lm_fit_factor(spark, sf):
     rows = model_rows(spark, sf, basin=False)
-    levels = R.levels_of(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("protocole")), "protocole")
-    fits = R.linear_models(rows, ["y"], ["x", "protocole"], factors={"protocole": levels})
+    fits = factor_models(rows, ["y"], ["x"], "protocole")
     return fits.select("term", r("estimate", 5), r("std_error"), r("p_value"), "n")
 
 

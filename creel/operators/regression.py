@@ -19,6 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from creel.functions import scalars as S
+from creel.functions.probability import two_sided_t
 
 # workers need not have this package on their path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -292,14 +293,6 @@ def design(df: DataFrame, predictors: Sequence[str], factors: Mapping[str, Seque
     return Design(df, terms, blocks)
 
 
-def levels_of(df: DataFrame, col: str, limit: int = 1000) -> list[object]:
-    """Sorted levels of a factor. A column with more than ``limit`` levels is refused."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} levels; it is not usable as a factor")
-    return sorted(r[0] for r in rows)
-
-
 def linear_models(
     df: DataFrame,
     responses: Sequence[str],
@@ -430,13 +423,22 @@ def residuals(df: DataFrame, response: str, predictors: Sequence[str], *, interc
 def trend_test(df: DataFrame, keys: Sequence[str], x: str, y: str, alpha: float = 0.05) -> DataFrame:
     """Slope of each group's series, its p-value and whether it is below ``alpha``.
 
-    A series of fewer than three points, or constant in ``x``, has a missing p-value.
+    One aggregation and column expressions, however many groups there are. A series of
+    fewer than three points, or constant in ``x``, has a missing p-value, and so has one
+    that lies on a line.
     """
-    fits = linear_models(df, [y], [x], by=keys)
-    slope = fits.where(F.col("term") == x)
-    return slope.select(
-        *keys, "n", F.col("estimate").alias("slope"), "p_value", (F.col("p_value") < alpha).alias("significant")
+    a, b = F.col("__a"), F.col("__b")
+    rows = df.select(*keys, F.col(x).cast("double").alias("__a"), F.col(y).cast("double").alias("__b")).dropna(subset=["__a", "__b"])
+    sums = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(a).alias("__m"), F.var_pop(a).alias("__va"), F.var_pop(b).alias("__vb"), F.covar_pop(a, b).alias("__c")
     )
+    spread = F.col("__va") > 1e-24 * (F.col("__m") * F.col("__m") + F.col("__va"))
+    sums = sums.withColumn("slope", F.when(spread, F.try_divide("__c", "__va")))
+    free = F.when(F.col("n") > 2, F.col("n") - 2)
+    error = F.greatest(F.col("__vb") - F.col("slope") * F.col("__c"), F.lit(0.0)) / (free * F.col("__va"))
+    t = F.when(F.col("slope").isNotNull() & (error > 0), F.col("slope") / F.sqrt(error))
+    out = sums.withColumn("p_value", two_sided_t(t, free))
+    return out.select(*keys, "n", "slope", "p_value", (F.col("p_value") < alpha).alias("significant"))
 
 
 # -- principal components --------------------------------------------------------------------

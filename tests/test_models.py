@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from creel.functions.probability import two_sided_t
 from creel.operators import environment as E, quantiles as Q, regression as R
+from creel.operators.absorption import factor_models
 
 
 @pytest.fixture(scope="module")
@@ -65,9 +67,6 @@ def test_linear_models_match_lstsq(frame, data):
 
 
 def test_factor_and_groups(frame, data):
-    assert R.levels_of(frame, "f") == ["A", "B", "C"]
-    with pytest.raises(ValueError):
-        R.levels_of(frame, "f", limit=2)
     got = R.linear_models(frame, ["y"], ["x", "f"], factors={"f": ["A", "B", "C"]})
     b, *_ = ols([data["x"], data["f"] == 1, data["f"] == 2], data["y"])
     assert {r["term"]: r["estimate"] for r in got.collect()} == pytest.approx(dict(zip(["(Intercept)", "x", "fB", "fC"], b)))
@@ -141,6 +140,59 @@ def test_residuals_and_leverage(frame, data):
     assert bare == pytest.approx(1.0)
 
 
+def test_t_as_columns_equals_the_loop_and_tables(spark):
+    pairs = [(t, d) for t in (0.0, 1e-8, 0.1, 1.0, -2.5, 7.5, 40.0, 1e5) for d in (1, 2, 3, 10, 98, 998, 10**5)]
+    # n = 3 and n = 1000 of a slope have 1 and 998 degrees of freedom
+    known = [(12.7062, 1, 0.05), (-12.7062, 1, 0.05), (63.6567, 1, 0.01), (1.96235, 998, 0.05), (-2.58074, 998, 0.01), (1.959964, 10**9, 0.05)]
+    frame = spark.createDataFrame([(float(t), float(d)) for t, d, *_ in [*pairs, *known]] + [(None, 1.0), (1.0, 0.0)], "t double, d double")
+    got = [r[0] for r in frame.coalesce(1).select(two_sided_t(F.col("t"), F.col("d"))).collect()]
+    assert got[: len(pairs)] == pytest.approx([R._two_sided_t(t, d) for t, d in pairs], rel=1e-9)
+    assert got[len(pairs) : -2] == pytest.approx([p for *_, p in known], abs=2e-6) and got[-2:] == [None, None]
+
+
+@pytest.mark.parametrize("n_levels, n", [(3, 60), (5000, 12000)])
+def test_absorbed_factor(spark, n_levels, n):
+    rng = np.random.default_rng(11)
+    f = np.concatenate([np.arange(n_levels), rng.integers(0, n_levels, n - n_levels)])
+    x, z = rng.normal(3, 1, n) + f / n_levels, rng.normal(0, 2, n)
+    y = 1 + 0.5 * x - 2 * z + np.sin(f) + rng.normal(0, 1, n)
+    recs = [(f"L{c:05}", float(a), float(b), float(2 * a), float(d)) for c, a, b, d in zip(f, x, z, y)]
+    df = spark.createDataFrame([*recs, (None, 1.0, 1.0, 2.0, 1.0), ("L00001", None, 1.0, 1.0, 1.0)], "f string, x double, z double, twice double, y double").repartition(3)
+    got = {r["term"]: r for r in factor_models(df, ["y"], ["x", "z", "twice"], "f").collect()}
+    assert len(got) == n_levels + 3 and got["twice"]["estimate"] is None
+    # the same by centring within levels, and for few levels by all columns
+    count = np.bincount(f)
+    inside = lambda v: v - (np.bincount(f, v) / count)[f]
+    m = np.column_stack([inside(x), inside(z)])
+    beta = np.linalg.lstsq(m, inside(y), rcond=None)[0]
+    rss, free = ((inside(y) - m @ beta) ** 2).sum(), n - n_levels - 2
+    assert [got["x"]["estimate"], got["z"]["estimate"]] == pytest.approx(list(beta))
+    assert [got["x"]["rss"], got["x"]["df_residual"], got["x"]["r2"]] == pytest.approx([rss, free, 1 - rss / ((y - y.mean()) ** 2).sum()])
+    means = [np.bincount(f, v) / count for v in (y, x, z)]
+    level = means[0] - beta[0] * means[1] - beta[1] * means[2]
+    assert got["(Intercept)"]["estimate"] == pytest.approx(level[0])
+    for i in (1, 2, n_levels - 1):
+        assert got[f"fL{i:05}"]["estimate"] == pytest.approx(level[i] - level[0])
+    if n_levels == 3:
+        cols = [x, z, f == 1, f == 2]
+        b, se, *_ = ols(cols, y)
+        names = ["(Intercept)", "x", "z", "fL00001", "fL00002"]
+        assert [got[k]["estimate"] for k in names] == pytest.approx(list(b)) and [got[k]["std_error"] for k in names] == pytest.approx(list(se))
+        assert [got[k]["p_value"] for k in names] == pytest.approx([R._two_sided_t(v / e, n - 5) for v, e in zip(b, se)])
+        assert sorted(got[k]["term_order"] for k in names) == [0, 1, 2, 4, 5]
+
+
+def test_absorbed_factor_by_group(frame):
+    got = factor_models(frame, ["y", "w"], ["x"], "f", by=["g"])
+    want = R.linear_models(frame, ["y", "w"], ["x", "f"], by=["g"], factors={"f": ["A", "B", "C"]})
+    key = lambda r: (r["g"], r["response"], r["term"])
+    a, b = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
+    assert [key(r) for r in a] == [key(r) for r in b]
+    for c in ("estimate", "std_error", "t_value", "p_value", "n", "df_residual", "rss", "sigma", "r2", "adj_r2", "aic"):
+        assert [r[c] for r in a] == pytest.approx([r[c] for r in b], rel=1e-8), c
+    assert factor_models(frame.limit(0), ["y"], ["x"], "f").count() == 0
+
+
 def test_trend(spark):
     recs = [("up", t, 3.0 * t + (t % 2) * 0.1) for t in range(8)] + [("flat", t, float((t * 7) % 3)) for t in range(8)]
     recs += [("two", 1, 1.0), ("two", 2, 2.0), ("still", 5, 1.0), ("still", 5, 2.0), ("still", 5, 3.0)]
