@@ -117,7 +117,8 @@ def accumulation(df: DataFrame, site: str, op: str, species: str, *, min_ops: in
 
     ``S(k) = Σ m(f) · (1 - C(n-f,k)/C(n,k))`` over the distinct frequencies ``f``,
     held by ``m`` species each. A curve is expanded in blocks of steps, and the
-    blocks are spread before the steps are, so one huge site fills many tasks.
+    blocks are spread before the steps are, so one huge site fills many tasks. The
+    frequencies are summed up within the row of each step.
     """
     pools = incidence(df, site, op, species).where(F.col("n") > min_ops)
     last = F.floor((F.col("n") - 1) / block).cast("bigint")
@@ -126,12 +127,13 @@ def accumulation(df: DataFrame, site: str, op: str, species: str, *, min_ops: in
     # which adaptive coalescing would not foresee
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = blocks.repartition(parts, F.col(site), F.col("__b"))
-    levels = spread.select(site, "n", "__b", F.explode("__levels").alias("__l"))
     first = F.col("__b") * block + 1
-    steps = levels.withColumn("n_opes", F.explode(F.sequence(first, F.least(first + block - 1, F.col("n")))))
-    gain = F.col("__l.m") * (1 - missed_share(F.col("n"), F.col("__l.f"), F.col("n_opes")))
-    curve = steps.groupBy(site, "__b", "n_opes").agg(F.sum(gain).alias("pt_richesse"))
-    return curve.select(site, "n_opes", "pt_richesse")
+    steps = spread.withColumn("n_opes", F.explode(F.sequence(first, F.least(first + block - 1, F.col("n")))))
+
+    def gain(total: Column, level: Column) -> Column:
+        return total + level["m"] * (1 - missed_share(F.col("n"), level["f"], F.col("n_opes")))
+
+    return steps.select(site, "n_opes", F.aggregate("__levels", F.lit(0.0), gain).alias("pt_richesse"))
 
 
 def accumulation_well_sampled(
