@@ -391,26 +391,31 @@ def lm_trend_test(spark, sf):
     return out.select("code_exutoire", "code_espece", "n", r("slope"), r("p_value"), "significant")
 
 
+# the derivative of the least sum of squares by the logarithm of the rate, for one value of it
+_GRADIENT = """SELECT i, lo, hi, g, slope * (sqv - sq * sv / tot - slope * (seq - se * sq / tot)) AS d, mu + sv / tot - slope * se / tot AS asym, slope,
+    svv - sv * sv / tot - slope * (sev - se * sv / tot) AS rss
+  FROM (SELECT *, (sev - se * sv / tot) / (see - se * se / tot) AS slope FROM (
+    SELECT i, lo, hi, g, tot, mu, sum(n * e) AS se, sum(n * q) AS sq, sum(n * v) AS sv, sum(n * e * e) AS see, sum(n * e * q) AS seq, sum(n * e * v) AS sev,
+           sum(n * q * v) AS sqv, sum(n * (v * v + s)) AS svv
+    FROM (SELECT p.*, tot, mu, n, m - mu AS v, bx.v AS s, exp(-exp(g) * x) AS e, exp(g) * x * exp(-exp(g) * x) AS q FROM {points} p, bx, t)
+    GROUP BY i, lo, hi, g, tot, mu))"""
+
+
 @query(
     "nls_asymptote",
     f"""WITH RECURSIVE {CAP}, {LOCREG}, bx AS (SELECT x, count(*)::DOUBLE AS n, avg(y) AS m, var_pop(y) AS v FROM lr GROUP BY 1),
-        t AS (SELECT sum(n) AS tot, sum(n * x) / sum(n) AS sc, sum(n * m) / sum(n) AS mu FROM bx),
-        it AS (SELECT 0 AS i, -8.0::DOUBLE AS lo, 3.0::DOUBLE AS hi, 1e300::DOUBLE AS rss, 0.0::DOUBLE AS g, 0.0::DOUBLE AS slope, 0.0::DOUBLE AS asym
+        t AS (SELECT sum(n) AS tot, sum(n * m) / sum(n) AS mu FROM bx),
+        grid AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 0.0::DOUBLE AS hi, -8 + unnest(range(0, 45)) * 0.2::DOUBLE AS g),
+        start AS ({_GRADIENT.format(points='grid')}),
+        half AS (SELECT 0 AS i, arg_min(g, rss) - 0.2 AS lo, arg_min(g, rss) + 0.2 AS hi FROM start
           UNION ALL
-          SELECT i + 1, bg - 1.5 * (hi - lo) / 15, bg + 1.5 * (hi - lo) / 15, br, bg, bs, ba FROM (
-            SELECT i, lo, hi, CASE WHEN nr < rss THEN nr ELSE rss END AS br, CASE WHEN nr < rss THEN ng ELSE g END AS bg,
-                   CASE WHEN nr < rss THEN ns ELSE slope END AS bs, CASE WHEN nr < rss THEN na ELSE asym END AS ba FROM (
-              SELECT i, lo, hi, rss, g, slope, asym, min(r) AS nr, arg_min(gk, r) AS ng, arg_min(sl, r) AS ns, arg_min(a, r) AS na FROM (
-                SELECT *, sev / vx AS sl, svv - sev * sev / vx AS r, mu - sev / vx * (se / tot + exp(-exp(gk))) AS a FROM (
-                  SELECT i, lo, hi, rss, g, slope, asym, gk, tot, mu, sum(n * e) AS se, sum(n * e * e) - sum(n * e) * sum(n * e) / tot AS vx,
-                         sum(n * e * (m - mu)) AS sev, sum(n * ((m - mu) * (m - mu) + v)) AS svv FROM (
-                    SELECT it.*, gk, tot, mu, n, m, v, exp(-exp(gk) * x / sc) - exp(-exp(gk)) AS e
-                    FROM (SELECT *, lo + unnest(range(0, 16)) * (hi - lo) / 15 AS gk FROM it WHERE i < 9) it, bx, t)
-                    GROUP BY i, lo, hi, rss, g, slope, asym, gk, tot, mu)
-                WHERE vx > 1e-14 * tot) GROUP BY i, lo, hi, rss, g, slope, asym)))
-        SELECT round(asym, 3) AS "Asym", round(asym + slope, 3) AS "R0", round(g - ln(sc), 3) AS lrc, round(rss, 2) AS rss FROM it, t WHERE i = 9""",
+          SELECT i + 1, CASE WHEN d < 0 THEN g ELSE lo END, CASE WHEN d < 0 THEN hi ELSE g END
+          FROM ({_GRADIENT.format(points='(SELECT i, lo, hi, (lo + hi) / 2 AS g FROM half WHERE i < 50)')})),
+        z AS (SELECT 0 AS i, lo, hi, (lo + hi) / 2 AS g FROM half WHERE i = 50)
+        SELECT round(asym, 3) AS "Asym", round(asym + slope, 3) AS "R0", round(g, 3) AS lrc, round(rss, 2) AS rss FROM ({_GRADIENT.format(points='z')})""",
 )
 def nls_asymptote(spark, sf):
+    """The SQL halves an interval around the place where the gradient is zero."""
     best = R.asymptote(richness_by_effort(spark, sf), "x", "y")
-    out = spark.createDataFrame([best], "Asym double, R0 double, lrc double, rss double")
-    return out.select(r("Asym", 3), r("R0", 3), r("lrc", 3), r("rss", 2))
+    found = spark.createDataFrame([tuple(best[c] for c in ("Asym", "R0", "lrc", "rss"))], "Asym double, R0 double, lrc double, rss double")
+    return found.select(r("Asym", 3), r("R0", 3), r("lrc", 3), r("rss", 2))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from creel.functions import scalars as S
 from creel.functions.probability import two_sided_t
+from creel.sources.tables import materialise
 
 # workers need not have this package on their path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -512,55 +513,95 @@ def pca_loadings(df: DataFrame, variables: Sequence[str]) -> DataFrame:
 # -- saturating curve ---------------------------------------------------------------------------
 
 
-def asymptote(
-    df: DataFrame, x: str, y: str, *, low: float = -8.0, high: float = 3.0, steps: int = 16, rounds: int = 9
-) -> Row:
-    """Least squares of ``y = Asym + (R0 - Asym) exp(-exp(lrc) x)``.
+def _curve_sums(by_x: DataFrame, rates: Sequence[float]) -> dict[float, dict[str, float]]:
+    """For each logarithm of the rate the weighted sums that its fit needs, in one job.
 
-    Given ``lrc`` the curve is linear in ``exp(-exp(lrc) x)``, so each round fits a
-    grid of ``lrc`` by aggregation and the next round narrows the grid around the
-    best. The rows are first reduced to one per distinct x, and that table is what
-    the rounds read; only a summary per grid value reaches the driver. ``low`` and
-    ``high`` bound ``lrc`` for x scaled to unit mean.
+    ``e`` is the exponential, ``q`` its derivative by the logarithm of the rate with the
+    sign changed, ``v`` the response less its mean.
+    """
+    u, k = F.col("__u"), F.exp("__g")
+    cells = by_x.withColumn("__g", F.explode(F.array(*[F.lit(float(g)) for g in rates])))
+    cells = cells.withColumns({"e": F.exp(-k * u), "q": k * u * F.exp(-k * u), "v": F.col("__v")})
+    w = F.col("__n")
+    named = {"e": ["e"], "q": ["q"], "v": ["v"], "ee": ["e", "e"], "eq": ["e", "q"], "qq": ["q", "q"], "ev": ["e", "v"], "qv": ["q", "v"]}
+    sums = [F.sum(w * np.prod([F.col(c) for c in cs])).alias(n) for n, cs in named.items()]
+    rows = cells.groupBy("__g").agg(F.sum(w).alias("n"), F.sum(w * (F.col("v") * F.col("v") + F.col("__s"))).alias("vv"), *sums)
+    return {r["__g"]: r.asDict() for r in rows.collect()}
+
+
+def _curve_step(s: dict[str, float]) -> dict[str, float] | None:
+    """The best curve of one rate, and the Gauss-Newton step of the rate that the sums give.
+
+    Given the rate the other parameters are linear, so they are solved for, and the
+    derivative by the rate is projected off their columns.
+    """
+    n = s["n"]
+    cee, cqq, ceq = s["ee"] - s["e"] ** 2 / n, s["qq"] - s["q"] ** 2 / n, s["eq"] - s["e"] * s["q"] / n
+    cev, cqv, cvv = s["ev"] - s["e"] * s["v"] / n, s["qv"] - s["q"] * s["v"] / n, s["vv"] - s["v"] ** 2 / n
+    if not cee > 1e-14 * n:
+        return None
+    slope = cev / cee
+    rss = max(cvv - slope * cev, 0.0)
+    # residuals r = v - slope e lie off 1 and e; the model's derivative is -slope q
+    rq, free = cqv - slope * ceq, cqq - ceq * ceq / cee
+    if not free > 1e-14 * n:
+        return None
+    at = {"rss": rss, "slope": slope, "level": s["v"] / n - slope * s["e"] / n, "gradient": 2 * slope * rq}
+    # the cosine between the residuals and the projected derivative: 0 where the gradient is
+    at["cosine"] = abs(rq) / np.sqrt(free * rss) if rss > 0 else 0.0
+    at["step"] = -rq / (slope * free) if slope else 0.0
+    # cross products of the derivatives by asymptote, start and rate
+    d = slope
+    at["normal"] = [
+        [n - 2 * s["e"] + s["ee"], s["e"] - s["ee"], -d * (s["q"] - s["eq"])],
+        [s["e"] - s["ee"], s["ee"], -d * s["eq"]],
+        [-d * (s["q"] - s["eq"]), -d * s["eq"], d * d * s["qq"]],
+    ]
+    return at
+
+
+def asymptote(df: DataFrame, x: str, y: str, *, tolerance: float = 1e-9, most_steps: int = 12) -> Row:
+    """Least squares of ``y = Asym + (R0 - Asym) exp(-exp(lrc) x)``, with standard errors.
+
+    Gauss-Newton on normal equations that are sums over the rows. Given ``lrc`` the curve
+    is linear, so only ``lrc`` is iterated. One job over a coarse grid gives the start;
+    each further job evaluates the full step, parts of it and twice it, and the best is
+    taken, until the gradient is zero (the cosine between residuals and derivative is
+    below ``tolerance``) or no step is better. The rows are reduced to one per distinct
+    x, written once; only a few sums reach the driver. ``gradient`` is the derivative of
+    the sum of squares by ``lrc`` at the result.
     """
     rows = df.select(F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).dropna()
-    by_x = rows.groupBy("__x").agg(
-        F.count(F.lit(1)).alias("__n"), F.avg("__y").alias("__m"), F.var_pop("__y").alias("__v")
-    ).persist()
-    try:
-        w = F.col("__n")
-        total, scale, mean = by_x.agg(
-            F.sum(w), F.sum(w * F.abs("__x")) / F.sum(w), F.sum(w * F.col("__m")) / F.sum(w)
-        ).first()
-        if not scale:
-            raise ValueError("x has no spread to fit")
-        u, v = F.col("__x") / F.lit(scale), F.col("__m") - F.lit(mean)
-        best: tuple[float, float, float, float] | None = None
-        for _ in range(rounds):
-            grid = np.linspace(low, high, steps)
-            k = F.exp("__g")
-            # the exponential, less its value at the mean of x
-            e = F.exp(-k) * F.expm1(-k * (u - 1))
-            cells = by_x.withColumn("__g", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-            sums = cells.withColumn("__e", e).groupBy("__g").agg(
-                F.sum(w * F.col("__e")),
-                F.sum(w * F.col("__e") * F.col("__e")),
-                F.sum(w * F.col("__e") * v),
-                F.sum(w * (v * v + F.col("__v"))),
-            )
-            for g, se, see, sev, svv in sums.collect():
-                vx = see - se * se / total
-                if vx > 1e-14 * total:
-                    slope = sev / vx
-                    rss = svv - sev * slope
-                    if best is None or rss < best[0]:
-                        at_zero = mean - slope * se / total - slope * float(np.exp(-np.exp(g)))
-                        best = (rss, g, slope, at_zero)
-            if best is None:
-                raise ValueError("no curve fits: x is constant")
-            half = (grid[1] - grid[0]) * 1.5
-            low, high = best[1] - half, best[1] + half
-    finally:
-        by_x.unpersist()
-    rss, g, slope, asym = best
-    return Row(Asym=float(asym), R0=float(asym + slope), lrc=float(g - np.log(scale)), rss=float(rss))
+    by_x = materialise(rows.groupBy("__x").agg(F.count(F.lit(1)).alias("__n"), F.avg("__y").alias("__m"), F.var_pop("__y").alias("__s")))
+    w = F.col("__n")
+    n, scale, mean = by_x.agg(F.sum(w), F.sum(w * F.abs("__x")) / F.sum(w), F.sum(w * F.col("__m")) / F.sum(w)).first()
+    if not scale:
+        raise ValueError("x has no spread to fit")
+    by_x = by_x.select("__n", "__s", (F.col("__x") / scale).alias("__u"), (F.col("__m") - mean).alias("__v"))
+    grid = _curve_sums(by_x, list(np.linspace(-8.0, 3.0, 23)))
+    fits = {g: f for g, s in grid.items() if (f := _curve_step(s)) is not None}
+    if not fits:
+        raise ValueError("no curve fits: x is constant")
+    g = min(fits, key=lambda k: fits[k]["rss"])
+    best = fits[g]
+    for _ in range(most_steps):
+        if best["cosine"] < tolerance:
+            break
+        tried = _curve_sums(by_x, [g + float(np.clip(best["step"] * part, -1.0, 1.0)) for part in (2.0, 1.0, 0.5, 0.1, 0.01)])
+        found = {k: f for k, s in tried.items() if (f := _curve_step(s)) is not None}
+        # near the minimum sums of squares no longer differ, gradients still do
+        least = min((f["rss"] for f in found.values()), default=np.inf)
+        if not least <= best["rss"] * (1 + 1e-12):
+            break
+        k = min((k for k, f in found.items() if f["rss"] <= least * (1 + 1e-12)), key=lambda k: found[k]["cosine"])
+        if found[k]["cosine"] >= best["cosine"] and least >= best["rss"] * (1 - 1e-12):
+            break
+        g, best = k, found[k]
+    asym = mean + best["level"]
+    free = n - 3
+    spread = best["rss"] / free * np.linalg.pinv(np.asarray(best["normal"])) if free > 0 else np.full((3, 3), np.nan)
+    se = [float(v) for v in np.sqrt(np.maximum(np.diag(spread), 0.0))]
+    return Row(
+        Asym=float(asym), R0=float(asym + best["slope"]), lrc=float(g - np.log(scale)), rss=float(best["rss"]),
+        se_Asym=se[0], se_R0=se[1], se_lrc=se[2], gradient=float(best["gradient"]),
+    )

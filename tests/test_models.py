@@ -238,12 +238,28 @@ def test_components(spark, data):
         R.pca(df.withColumn("k", F.lit(1.0)), ["a", "k"])
 
 
-def test_asymptote_recovers_parameters(spark):
+@pytest.mark.parametrize("noise, rate", [(0.0, -2.0), (1.5, -2.0), (1.5, -0.5), (1.0, -4.0)])
+def test_asymptote_is_where_the_gradient_is_zero(spark, noise, rate):
     rng = np.random.default_rng(3)
-    x = rng.uniform(0, 40, 400)
-    y = 25 + (3 - 25) * np.exp(-np.exp(-2.0) * x)
+    x = np.round(rng.uniform(0, 40, 400), 1)
+    y = 25 + (3 - 25) * np.exp(-np.exp(rate) * x) + rng.normal(0, noise, 400)
     fit = R.asymptote(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double"), "x", "y")
-    assert (fit["Asym"], fit["R0"], fit["lrc"]) == pytest.approx((25, 3, -2.0), abs=1e-3)
+    asym, start, g = fit["Asym"], fit["R0"], fit["lrc"]
+    if not noise:
+        assert (asym, start, g) == pytest.approx((25, 3, -2.0), abs=1e-6)
+        return
+    e = np.exp(-np.exp(g) * x)
+    r = y - (asym + (start - asym) * e)
+    m = np.column_stack([1 - e, e, -(start - asym) * x * np.exp(g) * e])
+    cosines = np.abs(m.T @ r) / np.sqrt((m**2).sum(0) * (r**2).sum())
+    assert cosines.max() < 1e-7 and fit["rss"] == pytest.approx((r**2).sum())
+    se = np.sqrt(np.diag(np.linalg.inv(m.T @ m)) * (r**2).sum() / 397)
+    assert [fit["se_Asym"], fit["se_R0"], fit["se_lrc"]] == pytest.approx(list(se), rel=1e-5)
+
+
+def test_asymptote_of_constant_x(spark):
+    with pytest.raises(ValueError):
+        R.asymptote(spark.createDataFrame([(2.0, 1.0), (2.0, 3.0)], "x double, y double"), "x", "y")
 
 
 def test_exact_quantiles(spark):
