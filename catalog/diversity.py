@@ -8,7 +8,7 @@ from catalog import query
 from catalog.standins import CAP, INVENTORY, captures, lots, operations, point_x, point_y, r, table
 from creel.functions import scalars as S
 from creel.operators import diversity as D, estimators as EST, presence as PR
-from creel.operators.grouping import latest_with_ties
+from creel.operators.grouping import latest_with_ties, sum_by
 from creel.operators.prepare import distinct_values
 
 # a third of the species plays "count missing or zero" so that no rule is idle
@@ -283,6 +283,20 @@ def div_indices_presence(spark, sf):
     return rounded(D.indices_presence(captures(spark, sf, basin=False), "code_station", "code_espece"), "code_station")
 
 
+@query(
+    "div_indices_missing_cells",
+    f"""WITH {CAP}, s AS (SELECT code_exutoire, annee, code_espece, sum(effectif) AS n FROM cap GROUP BY ALL), {_indices_sql('s', 'code_exutoire, annee')},
+        c AS (SELECT code_exutoire, annee, count(*) = (SELECT count(DISTINCT p_brand) FROM part) AS full_ FROM s GROUP BY ALL)
+        SELECT i.code_exutoire, i.annee, richesse, CASE WHEN full_ THEN round(shannon, 6) END AS shannon, CASE WHEN full_ THEN round(simpson, 6) END AS simpson,
+               CASE WHEN full_ THEN round(pielou, 6) END AS pielou FROM indices i JOIN c ON i.code_exutoire = c.code_exutoire AND i.annee = c.annee""",
+)
+def div_indices_missing_cells(spark, sf):
+    """As from a wide matrix without a fill value: a site that lacks a species has a richness only."""
+    d = captures(spark, sf, by_operation=True)
+    out = D.indices(d, ["code_exutoire", "annee"], "code_espece", "effectif", holes="missing", vocabulary=vocabulary(spark, sf))
+    return out.select("code_exutoire", "annee", "richesse", r("shannon"), r("simpson"), r("pielou"))
+
+
 @query(
     "div_indices_bv",
     f"""WITH {CAP}, s AS (SELECT code_exutoire, code_espece, sum(effectif) AS n FROM cap WHERE type_peche NOT IN ('4-NOT SPECIFIED', '5-LOW') GROUP BY 1, 2),
@@ -349,21 +363,32 @@ def div_filter_positive(spark, sf):
     return rounded(kept.withColumn("log_richesse", F.round("log_richesse", 6)), "ope_id", "log_richesse")
 
 
+def statuses(spark, sf):
+    """One status per operation and species recorded there; counts of both are merged before the operations are joined."""
+    zero = (F.col("code_espece") == "Brand#9") | (F.col("effectif") == 7)
+    per_op = lots(spark, sf).withColumn("effectif", F.when(zero, 0.0).otherwise(F.col("effectif")))
+    per_op = sum_by(per_op, ["ope_id", "code_espece"], "effectif").join(operations(spark, sf), "ope_id")
+    return per_op.withColumn("statut", PR.record_status("effectif", S.pattern_flag("type_peche", INVENTORY)))
+
+
+_STATUS = f"""{ZERO}, st AS (SELECT *, CASE WHEN effectif > 0 THEN 'Présent' WHEN regexp_matches(type_peche, '{INVENTORY}') THEN 'Absent' ELSE 'Non détecté' END AS statut
+    FROM (SELECT ope_id, code_station, code_exutoire, annee, type_peche, code_espece, sum(effectif) AS effectif FROM z GROUP BY ALL))"""
+
+
 @query(
     "div_richness_regional",
-    f"WITH {CAP} SELECT code_exutoire, count(DISTINCT code_espece) AS rsr FROM cap WHERE effectif > 45 GROUP BY 1",
+    f"{_STATUS} SELECT code_exutoire, count(DISTINCT code_espece) AS rsr FROM st WHERE statut = 'Présent' GROUP BY 1",
 )
 def div_richness_regional(spark, sf):
-    big = lots(spark, sf).where("effectif > 45").join(operations(spark, sf).select("ope_id", "code_exutoire"), "ope_id")
-    return D.richness(big, ["code_exutoire"], "code_espece", out="rsr")
+    return D.richness(statuses(spark, sf), ["code_exutoire"], "code_espece", F.col("statut") == PR.STATUS_LEVELS[2], out="rsr")
 
 
 @query(
     "div_richness_local_regional",
-    f"""WITH {CAP}, i AS (SELECT * FROM cap WHERE regexp_matches(type_peche, '{INVENTORY}')),
+    f"""{_STATUS}, i AS (SELECT * FROM st WHERE regexp_matches(type_peche, '{INVENTORY}')),
         b AS (SELECT code_exutoire FROM i GROUP BY 1 HAVING count(DISTINCT code_station) > 4),
         l AS (SELECT DISTINCT code_exutoire, code_station, code_espece FROM (
-                SELECT * FROM i WHERE effectif > 10 AND code_exutoire IN (SELECT code_exutoire FROM b)
+                SELECT * FROM i WHERE statut = 'Présent' AND code_exutoire IN (SELECT code_exutoire FROM b)
                 QUALIFY rank() OVER (PARTITION BY code_station, code_exutoire ORDER BY annee DESC) = 1)),
         loc AS (SELECT code_exutoire, avg(n) AS m FROM (SELECT code_exutoire, code_station, count(*) AS n FROM l GROUP BY 1, 2) GROUP BY 1)
         SELECT l.code_exutoire, count(DISTINCT code_espece) AS richesse_regionale, round(max(m), 6) AS richesse_loc_moy
@@ -371,8 +396,8 @@ def div_richness_regional(spark, sf):
 )
 def div_richness_local_regional(spark, sf):
     out = D.local_and_regional(
-        captures(spark, sf), "code_station", "code_exutoire", "code_espece", "annee",
-        S.pattern_flag("type_peche", INVENTORY), F.col("effectif") > 10,
+        statuses(spark, sf), "code_station", "code_exutoire", "code_espece", "annee",
+        S.pattern_flag("type_peche", INVENTORY), F.col("statut") == PR.STATUS_LEVELS[2],
     )
     return out.withColumn("richesse_loc_moy", F.round("richesse_loc_moy", 6))
 

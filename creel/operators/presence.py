@@ -49,6 +49,11 @@ def protocol_status(full_inventory: Column) -> Column:
     return F.when(full_inventory, STATUS_LEVELS[1]).otherwise(STATUS_LEVELS[0])
 
 
+def record_status(count: str, full_inventory: Column) -> Column:
+    """Present with individuals, otherwise what the protocol says; a missing count has no status."""
+    return F.when(F.col(count) > 0, STATUS_LEVELS[2]).when(F.col(count).isNotNull(), protocol_status(full_inventory))
+
+
 def protocol_rank(full_inventory: Column) -> Column:
     """2 under a full inventory, otherwise 1: the rank of a species that is not recorded."""
     return F.when(full_inventory, 2).otherwise(1)
