@@ -126,6 +126,8 @@ def formatted(turns: DataFrame) -> DataFrame:
     """
     # a role stands before a line break and a bracket, so it must not hold the like
     role = F.regexp_replace(escaped(F.col("role")), "([\\]\\n])", "\\\\:$1\\\\:")
+    # nor make a control string together with the brackets around it
+    role = F.when(F.concat(F.lit("["), role, F.lit("]")).isin(*CONTROL), F.concat(F.lit("\\:"), role)).otherwise(role)
     head = F.concat(F.lit(BEGIN), role, F.lit(ROLE_END))
     text = escaped(F.col("text"))
     said = F.col("role") == ASSISTANT

@@ -28,15 +28,13 @@ _WIDE = 21  # bits of a code point
 
 
 def _folding() -> np.ndarray:
-    """Lower case of every letter of the basic plane; any other character is a blank."""
+    """Lower case of every letter; any other character is a blank."""
     fold = np.full(0x110000, BLANK, np.int64)
-    for c in range(0x10000):
+    for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()
             fold[c] = ord(low) if len(low) == 1 else c
-    fold[0x10000:] = np.arange(0x10000, 0x110000)
-    fold[0x1F000:0x20000] = BLANK  # pictures
     return fold
 
 
@@ -117,7 +115,9 @@ def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", si
     rows = rows.select(F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__text"))
     total = rows.mapInArrow(counted, "__lang string, gram long, n long").groupBy("__lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("__lang").orderBy(F.desc("n"), "gram"))
-    return total.withColumn("place", place - 1).where(F.col("place") < size).select(F.col("__lang").alias("lang"), "gram", "place")
+    # a limit on the row number itself lets every task keep its own first rows only
+    first = total.withColumn("place", place).where(F.col("place") <= size)
+    return first.select(F.col("__lang").alias("lang"), "gram", (F.col("place") - 1).alias("place"))
 
 
 class Profiles:

@@ -126,25 +126,26 @@ def thresholds(df: DataFrame, groups: list[str], accuracy: int = 1000) -> DataFr
 
 
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
-    """Columns of docs (all, or those in `carry`) with counts, base_failed and kept; needs no unique id.
+    """Columns of docs (all, or those in `carry`) as one column `row`, with counts, base_failed and kept; needs no unique id.
 
     base_failed: fewer than 50 words, or over half of the words in repeated windows.
     kept: not base_failed, and no measure above its limit for the language and
     source. Texts that fail the base rules have no part in the limits. A null language or source is a group like any other. A null or
-    empty text fails. Equal rows get equal verdicts; an empty table gives no rows.
+    empty text fails. Equal rows get equal verdicts; an empty table gives no rows. Columns
+    of docs may have any names, those of the counts too: they stay within `row`.
 
     The counts are written once, since the limits and the verdicts both read them.
     """
-    rows = shares(measured(docs, text_col)).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    own = docs.columns if carry is None else carry
-    rows = rows.select(F.col(lang_col).alias("__l"), F.col(source_col).alias("__s"), *own, *COUNTS, *MARGINS, "base_failed")
-    rows = scratch.written(rows)
+    own = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
+    apart = docs.select(own.alias("row"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__l"), F.col(source_col).alias("__s"))
+    rows = shares(measured(apart, "__text")).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    rows = scratch.written(rows.select("__l", "__s", "row", *COUNTS, *MARGINS, "base_failed"))
     learned = rows.select("__l", "__s", *[F.when(~F.col("base_failed"), F.col(m)).alias(m) for m in MARGINS])
     limits = thresholds(learned, ["__l", "__s"]).withColumnsRenamed({"__l": "__lang", "__s": "__source"})
     same = F.col("__l").eqNullSafe(F.col("__lang")) & F.col("__s").eqNullSafe(F.col("__source"))
     over = F.greatest(*[F.coalesce(F.col(m) > F.col(f"max_{m}"), F.lit(False)) for m in MARGINS])
     out = rows.join(limits, same, "left").withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~over))
-    return out.select(*own, *COUNTS, *MARGINS, "base_failed", "kept")
+    return out.select("row", *COUNTS, *MARGINS, "base_failed", "kept")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -152,6 +153,5 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Columns of docs other than these four are ignored; a null id stays null.
     """
-    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"), F.col(source_col).alias("__source"))
-    out = judged(own, "__text", "__lang", "__source", ["__id"])
-    return out.select(F.col("__id").alias(id_col), *COUNTS, "base_failed", "kept", *MARGINS)
+    out = judged(docs, text_col, lang_col, source_col, [id_col])
+    return out.select(F.col("row")[id_col].alias(id_col), *COUNTS, "base_failed", "kept", *MARGINS)

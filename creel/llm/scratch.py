@@ -13,6 +13,9 @@ def folder(spark: SparkSession) -> str:
     It is removed when the application ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    local = base.startswith("file:") or "://" not in base
+    if local and not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir; the warehouse is on this machine only")
     path = f"{base.rstrip('/')}/llm-{uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)

@@ -332,3 +332,76 @@ def test_url_rules_by_brute_force(spark):
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
         assert got[i]["verdict"] == url_filter.RULES[rule] if rule else got[i]["verdict"] in ("allow", "block")
     assert url_filter.url_filter(rows.where("false")).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named as the counts, verdicts and keys of the operators are; null, empty, repeated and long rows."""
+    r = random.Random(4)
+    words = [f"{a}{b}" for a in ("ra", "lo", "mi", "te", "su", "ve") for b in ("ne", "do", "kal", "pir", "sta")]
+    say = lambda n: " ".join(r.choice(words) + (f"{r.randrange(50)}" if r.random() < 0.3 else "") for _ in range(n)) + "."
+    texts = [say(120) for _ in range(30)] + [None, "", " ", "few words", say(30000)]
+    # ids without labels: nothing is learned, so nothing is toxic
+    rows = [(i, t, r.choice(["en", None]), r.choice(["a", "b", None]), f"n{i}", i % 2 == 0, f"l{i}", [str(i)], i * 7, 0.5 + i, f"r{i}") for i, t in enumerate(texts, 10**6)]
+    rows += [rows[3], rows[3], (None, texts[0] + " end", "en", "a", "x", None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_words string, kept boolean, __l string, __lines array<string>, __row long, symbol_share double, row string"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    given = {repr(tuple(x)) for x in docs.collect()}
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.scratch.written(stage(spark, now, SF))
+        assert now.columns == docs.columns, name
+        assert {repr(tuple(x)) for x in now.collect()} <= given, name
+        none = stage(spark, docs.limit(0), SF)
+        assert none.columns == docs.columns and none.count() == 0, name
+    kept = now.select("doc_id", "__row", "kept").collect()
+    assert 25 <= len(kept) <= 31 and all(x["__row"] == x["doc_id"] * 7 and x["kept"] == (x["doc_id"] % 2 == 0) for x in kept)
+    pieces = corpus_pipeline.packed(spark, now, SF)
+    assert {x["doc_id"] for x in pieces.collect()} == {x["doc_id"] for x in kept}
+    assert corpus_pipeline.packed(spark, docs.limit(0), SF).count() == 0
+
+
+def test_texts_without_a_letter_have_no_language(spark):
+    signs = ["\U0001d7d8\U0001d7d9", "\U00010100", "\U000e0041", "12 34", "😀", "", None]
+    rows = [(i, "the cat sat on the mat and the dog " * 3, "en") for i in range(20)] + [(100 + i, t, None) for i, t in enumerate(signs)]
+    rows += [(200, "\U00010428\U00010429 the dog", None)]
+    got = {x["doc_id"]: x["lang_pred"] for x in language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[100 + i] for i in range(len(signs))] == ["und"] * len(signs) and got[200] == "en"
+
+
+def test_out_of_place_distance_by_hand():
+    """Ties by the smaller number; an n-gram outside the profile counts as the profile's length."""
+    one, two, three, _ = language_id.grams(pa.array(["aab"]))
+    found, n = language_id.counted_grams([one, two, three])
+    order = sorted(zip((-n).tolist(), found.tolist(), strict=True))
+    ranked = [g for _, g in order]
+    model = language_id.Profiles(["x"] * 2 + ["y"] * 2, np.array([ranked[0], ranked[2], ranked[1], 7]), np.array([0, 1, 0, 1]), 5)
+    top = ranked[:5]
+    far = {}
+    for lang, profile in {"x": [ranked[0], ranked[2]], "y": [ranked[1], 7]}.items():
+        far[lang] = sum(abs(profile.index(g) - i) if g in profile else 5 for i, g in enumerate(top))
+    langs, scores = model.nearest(pa.array(["aab"]))
+    best = min(far, key=lambda k: (far[k], k))
+    assert langs == [best] and scores[0] == pytest.approx(1 - far[best] / (5 * len(top)))
+
+
+def test_profiles_are_cut_before_the_shuffle(spark, capsys):
+    docs = spark.createDataFrame([(1, "some words", "en")], "doc_id long, text string, lang string")
+    language_id.profiles(docs).explain()
+    assert "WindowGroupLimit" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("role", ["/INST", "INST", "user", "a]\nb", "\\/INST", "\\:INST"])
+def test_role_and_template_make_no_control_string(spark, role):
+    df = spark.createDataFrame([(1, 0, role, "hi"), (1, 1, "assistant", "yo")], "conv_id long, turn long, role string, text string")
+    parts = sorted(chat_format.chat_format(df).collect(), key=lambda x: x["turn"])
+    inner = parts[0]["formatted"]
+    assert chat_format.read_back(inner + parts[1]["formatted"]) == [(role, "hi"), ("assistant", "yo")]
+    assert not any(c in inner[1:-1] for c in ("[INST]", "[/INST]"))
+
+
+def test_labels_of_ids_that_are_not_numbers(spark):
+    rows = [(f"d{i}", "awful bad insult" if i % 2 else "lovely good praise") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(60)], "doc_id string, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 60 and all(0 <= x["score"] <= 1 for x in got)
