@@ -314,8 +314,8 @@ _LAST_PT = """dern AS (SELECT o_orderkey AS ope_id, o_custkey AS code_station, C
 
 
 def latest_indices(spark, sf):
-    ind = D.indices(lots(spark, sf), "ope_id", "code_espece", "effectif")
-    return D.latest_per_point(ind, operations(spark, sf, basin=False), "ope_id", "code_station", "date_peche")
+    ops = operations(spark, sf, basin=False)
+    return D.latest_per_point(lots(spark, sf), ops, "ope_id", "code_station", "date_peche", "code_espece", "effectif")
 
 
 @query(

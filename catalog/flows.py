@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.diversity import _LAST_OPS, _MEAN_KNOWN, _MISSING_BELOW, _pool_sql, vocabulary
-from catalog.models import _cells, _ols_ctes
+from catalog.models import _LM_OUT, _cells, _ols_ctes, _p_value, lm_out
 from catalog.places import _BOX, _PT, basin_polygons
 from catalog.standins import CAP, INVENTORY, SERIES, captures, level_series, lots, operations, point_x, point_y, r, table
 from creel.plans import atlas as A, levels as L, macroecology as M
@@ -105,6 +105,61 @@ def flow_index_models(spark, sf):
     return M.index_models(points, env, "code_station", "pop_id", ["x", "z"], ["richesse", "shannon"])
 
 
+def _ols3_sql(source: str) -> str:
+    """Least squares of y on a, b and c by the inverse of their 3 x 3 sums of squares; CTE ``coef`` has one row per term."""
+    pairs = ["aa", "ab", "ac", "bb", "bc", "cc", "ay", "by", "cy", "yy"]
+    sums = ", ".join(f"covar_pop({p}, {q}) * count(*) AS s{p}{q}" for p, q in pairs)
+    inverse = {
+        "aa": "sbb * scc - sbc * sbc", "ab": "sac * sbc - sab * scc", "ac": "sab * sbc - sac * sbb",
+        "bb": "saa * scc - sac * sac", "bc": "sab * sac - saa * sbc", "cc": "saa * sbb - sab * sab",
+    }
+    cells = ", ".join(f"({e}) / det AS i{k}" for k, e in inverse.items())
+    return f"""sm AS (SELECT count(*)::DOUBLE AS n, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my, {sums} FROM {source}),
+      dt AS (SELECT *, saa * (sbb * scc - sbc * sbc) - sab * (sab * scc - sbc * sac) + sac * (sab * sbc - sbb * sac) AS det FROM sm),
+      iv AS (SELECT *, {cells} FROM dt),
+      bt AS (SELECT *, iaa * say + iab * sby + iac * scy AS ba, iab * say + ibb * sby + ibc * scy AS bb, iac * say + ibc * sby + icc * scy AS bc FROM iv),
+      vr AS (SELECT *, (syy - ba * say - bb * sby - bc * scy) / (n - 4) AS s2, 1 - (syy - ba * say - bb * sby - bc * scy) / syy AS r2 FROM bt),
+      cf AS (SELECT n, r2, 'a' AS term, ba AS est, sqrt(s2 * iaa) AS se FROM vr UNION ALL SELECT n, r2, 'b', bb, sqrt(s2 * ibb) FROM vr
+        UNION ALL SELECT n, r2, 'c', bc, sqrt(s2 * icc) FROM vr
+        UNION ALL SELECT n, r2, '(Intercept)', my - ba * ma - bb * mb - bc * mc, sqrt(s2 * (1 / n + ma * ma * iaa + mb * mb * ibb + mc * mc * icc
+          + 2 * (ma * mb * iab + ma * mc * iac + mb * mc * ibc))) FROM vr),
+      coef AS (SELECT *, {_p_value('(est / se)', '(n - 4)')} AS p FROM cf)"""
+
+
+@query(
+    "flow_density_model_points",
+    f"""WITH o AS (SELECT * FROM orders QUALIFY rank() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate) DESC) = 1),
+        t AS (SELECT l_orderkey, sum(l_quantity) AS e FROM lineitem GROUP BY 1),
+        d AS (SELECT ln(e / (o_totalprice / 1e5)) AS y, ((o_custkey * 37) % 1009) / 100.0 AS a, ((o_custkey * 53) % 997) / 90.0 AS b, o_totalprice / 1e5 AS c
+              FROM o JOIN t ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 0 AND e > 0), {_ols3_sql('d')}
+        SELECT 'log_densite' AS response, CASE term WHEN 'a' THEN 'x_wgs84' WHEN 'b' THEN 'y_wgs84' WHEN 'c' THEN 'surface' ELSE term END AS term, round(est, 5) AS estimate,
+               round(se, 6) AS std_error, round(est / se, 3) AS t_value, round(p, 6) AS p_value, CAST(n AS BIGINT) AS n, round(r2, 6) AS r2,
+               round(1 - (1 - r2) * (n - 1) / (n - 4), 6) AS adj_r2 FROM coef""",
+)
+def flow_density_model_points(spark, sf):
+    k = F.col("c_custkey")
+    ops = operations(spark, sf, basin=False).withColumn("surface", F.col("surface") / F.lit(1e5))
+    coords = table(spark, sf, "customer").select(k.alias("code_station"), point_x(k).alias("x_wgs84"), point_y(k).alias("y_wgs84"))
+    caught = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("ope_id"), F.col("l_quantity").alias("effectif"))
+    return lm_out(M.point_density_model(ops, caught, coords, "code_station", "ope_id", "annee", "surface", "effectif", "x_wgs84", "y_wgs84"), "response")
+
+
+@query(
+    "flow_density_model_basins",
+    f"""WITH o AS (SELECT c_nationkey AS bv, o_totalprice / 1e6 AS e FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> 3
+                   QUALIFY rank() OVER (PARTITION BY c_nationkey ORDER BY year(o_orderdate) DESC) = 1),
+        t AS (SELECT bv, sum(e) AS e, count(*) AS k FROM o GROUP BY 1), h AS (SELECT c_nationkey AS bv, max(c_acctbal) / 1000 AS alt FROM customer GROUP BY 1),
+        q AS (SELECT t.e / (o.bv / 10.0 + 0.5) AS y, o.bv / 10.0 + 0.5 AS x, alt AS z FROM o JOIN t ON o.bv = t.bv JOIN h ON o.bv = h.bv), {_ols_ctes('q', [])}
+        SELECT 'densite_bassin' AS response, CASE term WHEN 'x' THEN 'surf_m2' WHEN 'z' THEN 'alt_max' ELSE term END AS term, {_LM_OUT} FROM co""",
+)
+def flow_density_model_basins(spark, sf):
+    rows = operations(spark, sf).select("code_exutoire", "annee", (F.col("surface") / F.lit(1e6)).alias("effectif"))
+    k = F.col("c_nationkey")
+    basins = table(spark, sf, "customer").groupBy(k.alias("code_exutoire")).agg((F.max("c_acctbal") / 1000).alias("alt_max"))
+    basins = basins.withColumn("surf_m2", F.col("code_exutoire") / F.lit(10.0) + 0.5)
+    return lm_out(M.basin_density_model(rows, basins, "code_exutoire", "annee", "effectif", "surf_m2", "alt_max", [3]), "response")
+
+
 @query(
     "flow_local_and_basin_richness",
     f"""WITH {CAP}, {_pool_sql('cap', 'code_station')},

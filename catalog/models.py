@@ -341,6 +341,25 @@ def lm_step_aic(spark, sf):
     return fits.groupBy("bv").agg(F.array_join(kept, "+").alias("termes"), r(F.max("aic"), 4, "aic"))
 
 
+@query(
+    "lm_table_step",
+    f"""WITH {MR}, sw AS (SELECT bv, w AS y, x, z FROM mr), {_ols_ctes('sw', ['bv'])}, {_STEP},
+        one AS (SELECT s.*, termes, CASE termes WHEN 'x' THEN sxx ELSE szz END AS s1, CASE termes WHEN 'x' THEN sxy ELSE szy END AS c1,
+                  CASE termes WHEN 'x' THEN mx ELSE mz END AS m1 FROM su s JOIN ch ON s.bv = ch.bv WHERE termes IN ('x', 'z')),
+        single AS (SELECT *, c1 / s1 AS b1, (syy - c1 * c1 / s1) / (n - 2) AS s2, 1 - (syy - c1 * c1 / s1) / syy * (n - 1) / (n - 2) AS adj FROM one),
+        none AS (SELECT s.* FROM su s JOIN ch ON s.bv = ch.bv WHERE termes = ''),
+        co_step AS (SELECT bv, o, term, b, p FROM co WHERE bv IN (SELECT bv FROM ch WHERE termes = 'x+z')
+            UNION ALL SELECT bv, o, term, b, {_p_value('(b / se)', 'nu')} FROM (
+                SELECT bv, CASE termes WHEN 'x' THEN 1 ELSE 2 END AS o, termes AS term, b1 AS b, sqrt(s2 / s1) AS se, n - 2 AS nu FROM single
+                UNION ALL SELECT bv, 0, '(Intercept)', my - b1 * m1, sqrt(s2 * (1 / n + m1 * m1 / s1)), n - 2 FROM single
+                UNION ALL SELECT bv, 0, '(Intercept)', my, sqrt(syy / (n - 1) / n), n - 1 FROM none)),
+        fi_step AS (SELECT bv, adj FROM fi WHERE bv IN (SELECT bv FROM ch WHERE termes = 'x+z') UNION ALL SELECT bv, adj FROM single UNION ALL SELECT bv, 0.0 FROM none)
+        SELECT bv, 'w' AS response, * EXCLUDE (bv) FROM ({_cells(['bv'], '_step')})""",
+)
+def lm_table_step(spark, sf):
+    return R.model_table(model_rows(spark, sf), ["w"], ["x", "z"], by=["bv"], step=True)
+
+
 @query("lm_aic", f"WITH {MR}, {_ols_ctes('mr', ['bv'])} SELECT bv, round(n * (ln(2 * pi()) + ln(rss / n) + 1) + 8, 4) AS aic FROM rs")
 def lm_aic(spark, sf):
     fits = R.linear_models(model_rows(spark, sf), ["y"], ["x", "z"], by=["bv"])

@@ -79,6 +79,36 @@ def geo_centroid(spark, sf):
     return SP.with_centroid(layer, "rings").select("code_exutoire", r("x_centroid"), r("y_centroid"))
 
 
+def _great_circle_sql(corners: dict[str, tuple[str, str]]) -> str:
+    """Centroid on the sphere of a counter-clockwise polygon, from its corners' longitudes and latitudes."""
+    names = list(corners)
+    unit = ", ".join(
+        f"cos(radians({y})) * cos(radians({x})) AS {n}x, cos(radians({y})) * sin(radians({x})) AS {n}y, sin(radians({y})) AS {n}z"
+        for n, (x, y) in corners.items()
+    )
+    edges = " UNION ALL ".join(
+        f"SELECT k, {a}y * {b}z - {a}z * {b}y AS nx, {a}z * {b}x - {a}x * {b}z AS ny, {a}x * {b}y - {a}y * {b}x AS nz, {a}x * {b}x + {a}y * {b}y + {a}z * {b}z AS d FROM u"
+        for a, b in zip(names, names[1:] + names[:1])
+    )
+    return f"""u AS (SELECT c_custkey AS k, {unit} FROM p), e AS ({edges}), s AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS s FROM e),
+        m AS (SELECT k, sum(nx * atan2(s, d) / s) AS x, sum(ny * atan2(s, d) / s) AS y, sum(nz * atan2(s, d) / s) AS z FROM s GROUP BY 1)
+        SELECT k AS code_exutoire, round(degrees(atan2(y, x)), 6) AS x_centroid, round(degrees(atan2(z, sqrt(x * x + y * y))), 6) AS y_centroid FROM m"""
+
+
+@query(
+    "geo_centroid_sphere",
+    f"WITH p AS ({_PT}), " + _great_circle_sql({"u": ("x", "y"), "v": ("x + 30", "y"), "w": ("x", "y + 20")}),
+)
+def geo_centroid_sphere(spark, sf):
+    def corner(x, y):
+        return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+    x, y = F.col("x"), F.col("y")
+    clockwise = F.array(F.array(corner(x, y), corner(x, y + 20), corner(x + 30, y)))
+    layer = station_points(spark, sf).select(F.col("code_station").alias("code_exutoire"), clockwise.alias("rings"))
+    return SP.with_spherical_centroid(layer, "rings").select("code_exutoire", r("x_centroid"), r("y_centroid"))
+
+
 @query(
     "geo_points_distinct",
     f"""SELECT DISTINCT o_custkey AS code_station, round(((o_custkey * 37) % 1009) / 100.0, 6) AS x_wgs84, round(((o_custkey * 53) % 997) / 90.0, 6) AS y_wgs84 FROM orders""",

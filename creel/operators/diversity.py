@@ -73,14 +73,22 @@ def indices_presence(df: DataFrame, site: str | Sequence[str], species: str) ->
     return indices(once, sites, species, "__one")
 
 
-def latest_per_point(ope_indices: DataFrame, bridge: DataFrame, op: str, point: str, when: str, **skew: int) -> DataFrame:
+def latest_per_point(
+    captures: DataFrame, bridge: DataFrame, op: str, point: str, when: str, species: str, count: str, **skew: int
+) -> DataFrame:
     """Indices of the latest operation of each point, ties kept.
 
-    The indices are read twice (to find the date, to keep the rows), so they are
-    written out once instead of being computed twice.
+    Only an operation with individuals of some species can be the latest; a species
+    with a missing count has no total. The dates are compared on one row per operation,
+    and only the captures of the kept operations are summed up by species.
     """
-    dated = materialise(ope_indices.join(bridge.select(op, point, when).distinct(), op))
-    return latest_with_ties(dated, [point], when, strict_dates=True, **skew)
+    holes = captures.where(F.col(count).isNull()).select(op, species).distinct()
+    same = F.col(op).eqNullSafe(F.col("__op")) & F.col(species).eqNullSafe(F.col("__sp"))
+    held = captures.where(F.col(count) > 0).join(holes.toDF("__op", "__sp"), same, "left_anti").select(op).distinct()
+    dated = bridge.select(op, point, when).distinct().join(held, op, "left_semi")
+    last = materialise(latest_with_ties(dated, [point], when, strict_dates=True, **skew))
+    found = indices(captures.join(last.select(op), op, "left_semi"), op, species, count)
+    return last.join(found, op)
 
 
 def indices_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str] = INDICES) -> DataFrame:

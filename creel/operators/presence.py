@@ -364,7 +364,14 @@ def occurrence_rates(
     df: DataFrame, units: Mapping[str, Sequence[str]], species: str, code: str, digits: int = 2, unit: str = "unite"
 ) -> DataFrame:
     """For each named unit (a combination of keys): how many hold the species, how many
-    there are, and the share. All units are counted in one pass."""
+    there are, and the share.
+
+    The rows are reduced to one per combination of all keys first; only those are
+    repeated, once for each unit.
+    """
+    every = list(dict.fromkeys(k for keys in units.values() for k in keys))
+    hit = F.when(F.col(species) == code, 1).otherwise(0)
+    df = df.groupBy(*every).agg(F.max(hit).alias("__hit"))
     keyed = F.explode(
         F.array(
             *[
@@ -373,8 +380,7 @@ def occurrence_rates(
             ]
         )
     )
-    hit = F.when(F.col(species) == code, 1).otherwise(0).alias("__hit")
-    per_key = df.select(keyed.alias("__x"), hit).groupBy("__x").agg(F.max("__hit").alias("__hit"))
+    per_key = df.select(keyed.alias("__x"), "__hit").groupBy("__x").agg(F.max("__hit").alias("__hit"))
     totals = per_key.groupBy(F.col("__x.u").alias(unit)).agg(
         F.sum("__hit").cast("bigint").alias("n_presence"), F.count(F.lit(1)).alias("n_total")
     )

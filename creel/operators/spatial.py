@@ -164,6 +164,69 @@ def with_centroid(polygons: DataFrame, rings: str, x: str = "x_centroid", y: str
     return polygons.withColumns({x: cx, y: cy})
 
 
+def spherical_centroid(rings: Column) -> Column:
+    """Centroid on the sphere as ``struct<x, y>`` of degrees, edges being parts of great circles.
+
+    The sum of the positions of a region is half the sum, over its edges, of the edge's
+    angle times the unit normal of its plane. Rings may turn either way: what lies within
+    an odd number of the other rings is a hole. Each ring must lie well within half the
+    sphere; a polygon without area has no centroid. Rounding is about 1e-16 over the
+    area in square radians, so a metre for a polygon of 200 m.
+    """
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in "xyz"])
+
+    def vector(p: Column) -> Column:
+        lon, lat = F.radians(p["x"]), F.radians(p["y"])
+        return F.struct((F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"))
+
+    def dot(a: Column, b: Column) -> Column:
+        return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
+
+    def scaled(a: Column, by: Column) -> Column:
+        return F.struct(*[(a[c] * by).alias(c) for c in "xyz"])
+
+    def total(vectors: Column) -> Column:
+        return F.aggregate(vectors, zero, lambda acc, v: F.struct(*[(acc[c] + v[c]).alias(c) for c in "xyz"]))
+
+    def edge(a: Column, b: Column) -> Column:
+        normal = [(a[p] * b[q] - a[q] * b[p]).alias(c) for c, p, q in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))]
+        return F.struct(F.struct(*normal).alias("n"), dot(a, b).alias("d"))
+
+    def weighed(e: Column) -> Column:
+        length = F.sqrt(dot(e["n"], e["n"]))
+        return scaled(e["n"], F.when(length > 0, F.atan2(length, e["d"]) / length).otherwise(0.0))
+
+    def around(vectors: Column) -> Column:
+        following = F.concat(F.slice(vectors, 2, F.size(vectors)), F.slice(vectors, 1, 1))
+        return total(F.transform(F.zip_with(vectors, following, edge), weighed))
+
+    def is_hole(ring: Column, i: Column) -> Column:
+        start = F.get(ring, F.lit(0))
+        outside = F.filter(rings, lambda other, j: (i != j) & covers(ring_edges(F.array(other)), start["x"], start["y"]))
+        return F.size(outside) % 2 == 1
+
+    corners = F.transform(rings, lambda ring, i: F.struct(F.transform(ring, vector).alias("v"), is_hole(ring, i).alias("hole")))
+    sums = F.transform(corners, lambda r: F.struct(around(r["v"]).alias("m"), total(r["v"]).alias("c"), r["hole"].alias("hole")))
+    whole = total(F.transform(sums, lambda s: scaled(s["m"], F.when((dot(s["m"], s["c"]) < 0) != s["hole"], -1.0).otherwise(1.0))))
+    # a place of its own, so that the sum is found once
+    place = F.transform(
+        F.array(whole),
+        lambda m: F.when(
+            dot(m, m) > 0,
+            F.struct(
+                F.degrees(F.atan2(m["y"], m["x"])).alias("x"),
+                F.degrees(F.atan2(m["z"], F.sqrt(m["x"] * m["x"] + m["y"] * m["y"]))).alias("y"),
+            ),
+        ),
+    )
+    return F.get(place, F.lit(0))
+
+
+def with_spherical_centroid(polygons: DataFrame, rings: str, x: str = "x_centroid", y: str = "y_centroid") -> DataFrame:
+    place = spherical_centroid(F.col(rings))
+    return polygons.withColumns({x: place["x"], y: place["y"]})
+
+
 @dataclass(frozen=True)
 class ConicProjection:
     """Lambert conformal conic constants: exponent, radius scale, pole offset, meridian, eccentricity."""

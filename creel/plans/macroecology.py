@@ -27,11 +27,10 @@ def point_diversity(
     ``ops`` holds one row per operation; only the columns named here are read from it.
     """
     kept = ops if inventory is None else ops.where(inventory)
-    bridge = kept.select(op, point, when)
-    rows = lots.where(F.col(count) > 0).join(bridge.select(op), op, "left_semi")
+    rows = lots.where(F.col(count) > 0)
     if recode:
         rows = rows.withColumn(species, S.recode(species, recode))
-    return D.latest_per_point(D.indices(rows, op, species, count), bridge, op, point, when)
+    return D.latest_per_point(rows, kept.select(op, point, when), op, point, when, species, count)
 
 
 def index_models(
@@ -43,6 +42,30 @@ def index_models(
     return R.model_table(table, list(indices), list(predictors))
 
 
+def point_density_model(
+    ops: DataFrame, lots: DataFrame, coords: DataFrame, point: str, op: str, year: str, surface: str, count: str, x: str, y: str
+) -> DataFrame:
+    """Log density at the latest year of each point on its two coordinates and the sampled surface.
+
+    ``coords`` holds one row per point. Operations without individuals have no logarithm
+    and take no part, nor do points without coordinates.
+    """
+    rows = D.density_by_point(ops, lots, point, op, year, surface, count).join(coords.select(point, x, y), point)
+    return R.linear_models(rows, ["log_densite"], [x, y, surface])
+
+
+def basin_density_model(
+    rows: DataFrame, basins: DataFrame, basin: str, year: str, count: str, area: str, altitude: str, exclude: Sequence[object] = ()
+) -> DataFrame:
+    """Density of each basin at its latest year on its area and greatest altitude.
+
+    ``rows`` holds captures with their basin, ``basins`` one row per basin with area and
+    altitude. A basin counts once for each of its rows of the latest year.
+    """
+    dense = D.density_by_basin(rows.join(basins.select(basin, area, altitude), basin), basin, year, count, area, exclude)
+    return R.linear_models(dense, ["densite_bassin"], [area, altitude])
+
+
 def local_and_basin_richness(
     lots: DataFrame, ops: DataFrame, op: str, point: str, basin: str, when: str, species: str
 ) -> DataFrame:

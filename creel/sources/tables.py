@@ -57,22 +57,25 @@ def read_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[
 def latest_snapshot(spark: SparkSession, folder: str, pattern: str, by: str = "name") -> str:
     """Path of the newest entry of a folder whose name matches the pattern.
 
-    Newest by name (dated names sort) or by modification time. Only the listing
-    is read, not the files.
+    Newest by name (dated names sort) or by modification time; a folder is as new as
+    the newest entry directly in it. The folder's own entries are listed, not what lies
+    below them, and no file is read. Equal times are decided by name; hidden entries
+    (with a leading dot or underscore) do not count.
     """
     if by not in ("name", "modified"):
         raise ValueError(f"unknown order {by!r}")
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    inside = re.escape(re.sub(r"^[a-z0-9]+:/+", "/", folder).rstrip("/"))
-    entry = F.regexp_extract(F.col("path"), inside + r"/+([^/]+)", 1)
-    rows = listing.select(entry.alias("entry"), "modificationTime").where(
-        (F.col("entry") != "") & F.col("entry").rlike(pattern)
-    )
-    newest = rows.groupBy("entry").agg(F.max("modificationTime").alias("t"))
-    order = F.struct("entry") if by == "name" else F.struct("t", "entry")
-    found = newest.agg(F.max_by("entry", order).alias("entry")).first()["entry"]
-    if found is None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def newest(entry) -> int:
+        inside = store.listStatus(entry.getPath()) if entry.isDirectory() else []
+        return max([entry.getModificationTime(), *[e.getModificationTime() for e in inside]])
+
+    entries = [(e.getPath().getName(), e) for e in store.listStatus(place)]
+    fitting = [(n, e) for n, e in entries if n[0] not in "._" and re.search(pattern, n)]
+    if not fitting:
         raise FileNotFoundError(f"nothing in {folder} matches {pattern!r}")
+    found = max((0 if by == "name" else newest(e), n) for n, e in fitting)[1]
     return f"{folder.rstrip('/')}/{found}"
 
 

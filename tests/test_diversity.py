@@ -45,9 +45,14 @@ def test_presence_indices(spark):
 
 def test_latest_model_table_and_positive(spark):
     ind = spark.createDataFrame([(1, 2, 0.5, 0.4, 0.7), (2, 1, 0.0, 0.0, None), (3, 3, 1.0, 0.6, 0.9)], "op int, richesse int, shannon double, simpson double, pielou double")
-    bridge = spark.createDataFrame([(1, "p", 5), (1, "p", 5), (2, "p", 5), (3, "p", 4)], "op int, pt string, d int")
-    last = D.latest_per_point(ind, bridge, "op", "pt", "d", **HOT)
-    assert rows(last.select("op")) == [(1,), (2,)]
+    # 4 and 5 are later, but hold no individuals, or only of a species with a missing count
+    caught = [(1, "a", 2.0), (1, "b", 2.0), (2, "a", 3.0), (3, "a", 1.0), (3, "b", 1.0), (3, "c", 1.0), (4, "a", 0.0), (5, "a", 4.0), (5, "a", None), (6, "a", 1.0)]
+    caught = spark.createDataFrame(caught, "op int, sp string, n double")
+    ops = [(1, "p", 5), (1, "p", 5), (2, "p", 5), (3, "p", 4), (4, "p", 6), (5, "p", 7), (6, "q", 1), (3, "q", None)]
+    bridge = spark.createDataFrame(ops, "op int, pt string, d int")
+    last = D.latest_per_point(caught, bridge, "op", "pt", "d", "sp", "n", **HOT)
+    got = {r["op"]: r for r in last.collect()}
+    assert set(got) == {1, 2} and got[1]["shannon"] == pytest.approx(log(2)) and got[2]["richesse"] == 1  # q has an unknown date
     assert D.indices_long(last, ["op"]).count() == 8
     env = spark.createDataFrame([("p", None, 1.0)], "pop string, alt double, x double")
     assert D.model_table(last, "pt", [(env, {"pt": "pop"})], {"op": "op", "x": "x"}, ["x"]).count() == 2

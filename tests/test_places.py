@@ -1,6 +1,7 @@
 import random
-from math import cos, degrees, pi, sin
+from math import asin, atan2, cos, degrees, hypot, pi, radians, sin, sqrt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,28 @@ def test_centroid_with_hole(spark):
     assert tuple(got[0]) == pytest.approx(((16 * 2 - 4 * 3) / 12, 2.0)) and tuple(got[1]) == (None, None)
 
 
+def test_centroid_on_the_sphere(spark):
+    octant, back = [(0.0, 0.0), (90.0, 0.0), (0.0, 90.0)], [(0.0, 90.0), (90.0, 0.0), (0.0, 0.0)]
+    hole = [(10.0, 10.0), (40.0, 10.0), (10.0, 40.0)]  # turns as its ring does
+    over = [(170.0, 0.0), (-170.0, 0.0), (-170.0, 1.0), (170.0, 1.0)]
+    shapes = [[octant], [back], [octant, hole], [back, hole], [over], [[(1.0, 1.0)]], []]
+    df = spark.createDataFrame([(i, [[{"x": a, "y": b} for a, b in ring] for ring in s]) for i, s in enumerate(shapes)], f"i int, rings {POLY}")
+    got = [tuple(r) for r in SP.with_spherical_centroid(df, "rings").orderBy("i").select("x_centroid", "y_centroid").collect()]
+    middle = (45.0, degrees(asin(1 / sqrt(3))))
+    assert got[0] == pytest.approx(middle) and got[1] == pytest.approx(middle)
+    # points dealt evenly over the sphere
+    n = 400_000
+    z = 1 - (2 * np.arange(n) + 1) / n
+    turn = np.arange(n) * np.pi * (3 - sqrt(5))
+    p = np.stack([np.sqrt(1 - z * z) * np.cos(turn), np.sqrt(1 - z * z) * np.sin(turn), z], 1)
+    corner = [np.array([cos(radians(b)) * cos(radians(a)), cos(radians(b)) * sin(radians(a)), sin(radians(b))]) for a, b in hole]
+    within = np.all([p @ np.cross(corner[i], corner[(i + 1) % 3]) > 0 for i in range(3)], axis=0)
+    x, y, h = p[(p > 0).all(axis=1) & ~within].sum(axis=0)
+    want = (degrees(atan2(y, x)), degrees(atan2(h, hypot(x, y))))
+    assert got[2] == pytest.approx(want, abs=0.05) and got[3] == pytest.approx(got[2])
+    assert abs(got[4][0]) == pytest.approx(180.0) and 0 < got[4][1] < 1 and got[5] == got[6] == (None, None)
+
+
 def test_conic_published_example(spark):
     # the projection authority's worked example of the inverse formula (Clarke 1880)
     p = SP.ConicProjection(n=0.760405966, c=11603796.9767, xs=600000.0, ys=5657616.674, lon0=0.04079234433, e=0.0824832568)
