@@ -2,10 +2,14 @@
 
 The counts of trusted texts are a table of (context, character): four-grams as they
 are, shorter ones by the number of different characters before them. Discounts,
-context weights and probabilities are aggregations and joins of that table. The
-finished probabilities are dealt into shards by the last character of the
-context, which all look-ups of one place in a text share, so a shard of bounded
-size answers whole places and the logarithms of the shards add up.
+context weights and probabilities are aggregations and joins of that table.
+
+Texts are scored by joins too. They are packed, where they are read, into compressed
+blocks of bounded size, and each block lists the different (context, character) pairs
+in it, a few for a thousand characters. The pairs of all blocks are looked up in the
+probabilities by key, backing off order by order, and the answers meet their block by
+its number. No model, shard or text passes through the driver, the model may have any
+size, and each text is moved once.
 """
 
 from __future__ import annotations
@@ -14,15 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from creel.llm import arrow, scratch
 
 ORDER = 4
-SHARD_ROWS = 1 << 21
-QUANTILE, SLACK = 0.999, 0.15
+QUANTILE = 0.99
+HELD_OUT = 10
 PRIOR = 200
-SLICE = 1 << 20
+SLICE, BLOCK = 1 << 20, 1 << 25
+UNKNOWN = -20.0
 START, BREAK = 2, 0x20
 
 _WIDE = 21
@@ -50,10 +56,23 @@ def places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (back(3) << 2 * _WIDE) | (back(2) << _WIDE) | back(1), c, text
 
 
-def key_of(context: np.ndarray, char: np.ndarray, order: int) -> np.ndarray:
-    """One number for a context and a character, and for a context alone with character -1."""
-    h = arrow.mix(context.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * order & (1 << 64) - 1))
-    return arrow.mix(h ^ (char.astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+def pairs(context: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of context and character, sorted, where each place has its pair, and how often each occurs."""
+    alphabet = np.unique(np.append(char, START))
+    bits = int(len(alphabet) - 1).bit_length()
+    if 4 * bits <= 64:  # few characters: a pair is one number, which sorts as the pair does
+        parts = [np.searchsorted(alphabet, (context >> _WIDE * k) & _MASK[1]) for k in (2, 1, 0)] + [np.searchsorted(alphabet, char)]
+        number = np.zeros(len(char), np.uint64)
+        for part in parts:
+            number = (number << np.uint64(bits)) | part.astype(np.uint64)
+        _, first, which, often = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
+        return context[first], char[first], which, often
+    order = np.lexsort((char, context))
+    c, w = context[order], char[order]
+    new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]) if len(c) else np.zeros(0, bool)
+    which = np.empty(len(c), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return c[new], w[new], which, np.diff(np.append(np.flatnonzero(new), len(c)))
 
 
 def counts(texts: DataFrame) -> DataFrame:
@@ -62,10 +81,8 @@ def counts(texts: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow.slices(batches, "__text", SLICE):
             context, char, _ = places(batch.column("__text"))
-            order = np.lexsort((char, context))
-            context, char = context[order], char[order]
-            new = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (char[1:] != char[:-1])])) if len(char) else np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(context[new]), pa.array(char[new]), pa.array(np.diff(np.append(new, len(char))))], names=["h", "w", "c"])
+            context, char, _, often = pairs(context, char)
+            yield pa.record_batch([pa.array(context), pa.array(char), pa.array(often)], names=["h", "w", "c"])
 
     return texts.mapInArrow(counted, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
 
@@ -110,109 +127,124 @@ def model(texts: DataFrame) -> DataFrame:
     return scratch.written(out)
 
 
-class Shard:
-    """The part of a model for contexts whose last character falls to one shard."""
-
-    def __init__(self, n: np.ndarray, h: np.ndarray, w: np.ndarray, value: np.ndarray, shard: int, shards: int):
-        self.shard, self.shards, self.slots = shard, shards, arrow.Slots()
-        self.keys, self.values = np.zeros(len(n), np.uint64), np.log(np.maximum(value, 1e-300)).astype(np.float32)
-        for k in range(ORDER):
-            self.keys[n == k] = key_of(h[n == k], w[n == k], k)
-        self.ready = False
-
-    def find(self, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-        if not self.ready:
-            self.slots.add(self.keys)
-            self.ready = True
-        return self.slots.find(key_of(h, w, n))
-
-    def logs(self, context: np.ndarray, char: np.ndarray) -> np.ndarray:
-        """Natural logarithm of the probability at every place."""
-        out = np.zeros(len(char))
-        open_ = np.arange(len(char))
-        for k in range(ORDER - 1, -1, -1):
-            h = context[open_] & _MASK[k]
-            at = self.find(h, char[open_], k)
-            known = at >= 0
-            out[open_[known]] += self.values[at[known]]
-            open_, h = open_[~known], h[~known]
-            weight = self.find(h, np.full(len(h), -1), k)
-            out[open_] += np.where(weight >= 0, self.values[np.maximum(weight, 0)], 0 if k else -20.0)
-        return out
-
+def resolved(asked: DataFrame, table: DataFrame) -> DataFrame:
+    """Logarithm of the probability of each of the different pairs h, w asked for: h, w, log.
 
-def shard_of(context: np.ndarray, shards: int) -> np.ndarray:
-    return (arrow.mix((context & _MASK[1]).astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    A pair that a model's order has not seen has the weight of its context, if that was
+    seen, times the probability after the context without its first character.
+    """
+    log = F.ln(F.greatest(F.col("value"), F.lit(1e-300)))
+    levels = [asked.select("h", "w")]
+    for k in range(ORDER - 2, -1, -1):
+        levels.insert(0, levels[0].select(F.col("h").bitwiseAND(F.lit(_MASK[k])).alias("h"), "w").distinct())
+    lower = None
+    for k, level in enumerate(levels):
+        own = table.where(F.col("n") == k)
+        seen = own.where("w >= 0").select("h", "w", log.alias("seen"))
+        weight = own.where("w < 0").select("h", log.alias("weight"))
+        out = level.join(seen, ["h", "w"], "left").join(weight, "h", "left")
+        if k == 0:
+            rest = F.coalesce("weight", F.lit(UNKNOWN))
+        else:
+            short = F.col("h").bitwiseAND(F.lit(_MASK[k - 1]))
+            out = out.join(lower, (short == F.col("__h")) & (F.col("w") == F.col("__w")), "left")
+            rest = F.coalesce("weight", F.lit(0.0)) + F.col("__log")
+        out = out.select("h", "w", F.coalesce("seen", rest).alias("log"))
+        lower = out.toDF("__h", "__w", "__log")
+    return out
 
 
-def scores(docs: DataFrame, table: DataFrame, most: int = SHARD_ROWS) -> DataFrame:
-    """Sum of logarithms and number of characters of each distinct text: key, logs, chars.
+def packed(docs: DataFrame, most: int = BLOCK) -> DataFrame:
+    """Texts in compressed pieces of blocks of about `most` bytes, and each block's different pairs.
 
-    One pass over the texts for each shard; a pass ships one shard.
+    A row is either a piece (block, rows) or a block's pairs (block, h, w).
+    A text above the size is a block of its own.
     """
-    spark = docs.sparkSession
-    shards = max(1, -(-table.count() // most))
-    last = F.col("h").bitwiseAND(F.lit(_MASK[1]))
-    out = None
-    for k in range(shards):
-        # single characters have no context: every shard holds them, and so does each context's last character
-        if shards == 1:
-            rows = table.toPandas()
-        else:
-            rows = table.where((F.col("n") == 0) | (_mixed(last, shards) == k)).toPandas()
-        shard = Shard(*(rows[c].to_numpy() for c in ("n", "h", "w", "value")), k, shards)
-        shipped = spark.sparkContext.broadcast(shard)
 
-        def scored(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            held = shipped.value
-            for batch in arrow.slices(batches, "__text", SLICE):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        size, found = 0, []
+
+        def listed() -> pa.RecordBatch:
+            h, w, _, _ = pairs(*(np.concatenate(c) for c in zip(*found)))
+            return row(None, h, w)
+
+        def row(rows, h=None, w=None) -> pa.RecordBatch:
+            cells = [pa.array([block], pa.int64()), pa.array([rows], pa.binary()), pa.array([h], pa.list_(pa.int64())), pa.array([w], pa.list_(pa.int64()))]
+            return pa.record_batch(cells, names=["block", "rows", "h", "w"])
+
+        for piece in arrow.slices(batches, "__text", SLICE):
+            own = len(arrow.buffers(piece.column("__text"))[0])
+            if found and size + own > most:
+                yield listed()
+                block, size, found = block + 1, 0, []
+            size += own
+            context, char, _ = places(piece.column("__text"))
+            found.append(pairs(context, char)[:2])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(piece)
+            yield row(sink.getvalue().to_pybytes())
+        if found:
+            yield listed()
+
+    return docs.mapInArrow(pack, "block long, rows binary, h array<long>, w array<long>")
+
+
+def scores(docs: DataFrame, table: DataFrame, most: int = BLOCK) -> DataFrame:
+    """The rows of docs without their `__text`, with the sum of logarithms, logs, and the number of places, chars."""
+    kept = [f for f in docs.schema.fields if f.name != "__text"]
+    blocks = scratch.written(packed(docs, most))
+    asked = blocks.where("h IS NOT NULL").select("block", F.inline(F.arrays_zip("h", "w")))
+    answers = asked.join(resolved(scratch.written(asked.select("h", "w").distinct()), table), ["h", "w"]).select(F.col("block").alias("of"), "h", "w", "log")
+
+    def scored(pieces: pa.Table, known: pa.Table) -> pa.Table:
+        h, w, log = (known.column(c).to_numpy() for c in ("h", "w", "log"))
+        contexts = np.unique(h)
+        key = (np.searchsorted(contexts, h) << _WIDE) | w
+        order = np.argsort(key)
+        key, log = key[order], log[order]
+        out = []
+        for blob in pieces.column("rows"):
+            for batch in pa.ipc.open_stream(blob.as_buffer()):
                 context, char, text = places(batch.column("__text"))
-                if held.shards > 1:
-                    mine = shard_of(context, held.shards) == held.shard
-                    context, char, text = context[mine], char[mine], text[mine]
+                context, char, which, _ = pairs(context, char)
+                at = np.searchsorted(key, (np.searchsorted(contexts, context) << _WIDE) | char)
                 n = batch.num_rows
-                yield pa.record_batch([batch.column("key"), pa.array(np.bincount(text, held.logs(context, char), n).astype(np.float64)), pa.array(np.bincount(text, minlength=n))], names=["key", "logs", "chars"])
-
-        part = docs.select("key", "__text").mapInArrow(scored, "key long, logs double, chars long").groupBy("key").agg(F.first("logs").alias("logs"), F.first("chars").alias("chars"))
-        out = part if out is None else out.union(part)
-    return out.groupBy("key").agg(F.sum("logs").alias("logs"), F.sum("chars").alias("chars"))
-
-
-def _mixed(last, shards: int):
-    """shard_of, in SQL: the same mixing of 64-bit numbers, without signs."""
-
-    @F.arrow_udf("long")
-    def dealt(h: pa.Array) -> pa.Array:
-        return pa.array(shard_of(h.to_numpy(zero_copy_only=False).astype(np.int64), shards))
+                logs = np.bincount(text, log[at][which], n).astype(np.float64)
+                cells = [batch.column(f.name) for f in kept] + [pa.array(logs), pa.array(np.bincount(text, minlength=n))]
+                out.append(pa.record_batch(cells, names=[*(f.name for f in kept), "logs", "chars"]))
+        return pa.Table.from_batches(out)
 
-    return dealt(last)
+    schema = T.StructType([*kept, T.StructField("logs", T.DoubleType()), T.StructField("chars", T.LongType())])
+    pieces = blocks.where("rows IS NOT NULL").select("block", "rows")
+    return pieces.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(scored, schema)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """Perplexity and verdict of every whole text.
 
-    Trusted are the texts that a label of 1 marks. Returns one row for each row of
-    docs: the id, n_places, perplexity (per character) and kept. A text is kept unless its
-    mean logarithm, drawn to the language's usual value if the text is short, lies
-    beyond the language's quantile over trusted texts by more than SLACK. A language
-    without trusted texts, and every language if nothing is trusted, keeps its texts. A null or empty text has no
-    place, a null perplexity and is kept. A null language is a language; a null id
-    is never trusted; repeated rows are judged each; an empty table gives no rows.
+    Trusted are the texts that a label of 1 marks. A tenth of them, told by the text,
+    is left out of the counts; what is usual in a language is learned from that tenth.
+    Returns one row for each row of docs: the id, n_places, perplexity (per character)
+    and kept. A text is kept unless its mean logarithm, drawn to the language's usual
+    value if the text is short, lies beyond the language's quantile over the texts left
+    out. A language without such texts, and every language if nothing is trusted, keeps
+    its texts. A null or empty text has no place, a null perplexity and is kept. A null
+    language is a language; a null id is never trusted; repeated rows are judged each;
+    an empty table gives no rows.
     """
     own = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.col(lang_col).alias("__lang"))
+    own = own.withColumn("__out", F.pmod(F.xxhash64("__text"), F.lit(HELD_OUT)) == 0)
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("__id")).distinct()
-    # the same plan for labels of any size: each text is moved once
-    table = model(own.select("__id", "__text").join(trusted.hint("merge"), "__id", "left_semi").select("__text"))
-    keyed = own.withColumn("key", F.xxhash64("__text"))
-    found = scores(keyed, table)
-    rows = keyed.select("__id", "__lang", "key").join(found, "key", "left")
-    rows = rows.join(trusted.withColumn("__trusted", F.lit(True)), "__id", "left")
-    rows = scratch.written(rows.select("__id", "__lang", "logs", "chars", F.coalesce("__trusted", F.lit(False)).alias("__trusted")))
-    usual = rows.where("__trusted and chars > 0").groupBy(F.col("__lang").alias("__l")).agg((-F.sum("logs") / F.sum("chars")).alias("__mean"))
+    table = model(own.where("NOT __out").select("__id", "__text").join(trusted, "__id", "left_semi").select("__text"))
+    rows = scores(own, table).join(trusted.withColumn("__trusted", F.lit(True)), "__id", "left")
+    rows = scratch.written(rows.select("__id", "__lang", "logs", "chars", (F.coalesce("__trusted", F.lit(False)) & F.col("__out") & (F.col("chars") > 0)).alias("__usual")))
+    usual = rows.where("__usual").groupBy(F.col("__lang").alias("__l")).agg((-F.sum("logs") / F.sum("chars")).alias("__mean"))
     both = rows.join(usual, F.col("__lang").eqNullSafe(F.col("__l")), "left").drop("__l")
     loss = (-F.col("logs") + PRIOR * F.col("__mean")) / (F.col("chars") + PRIOR)
     both = both.withColumn("__loss", loss)
-    limit = both.where("__trusted and chars > 0").groupBy(F.col("__lang").alias("__l")).agg((F.percentile_approx("__loss", quantile, 10000) + SLACK).alias("__limit"))
+    limit = both.where("__usual").groupBy(F.col("__lang").alias("__l")).agg(F.percentile_approx("__loss", quantile, 10000).alias("__limit"))
     out = both.join(limit, F.col("__lang").eqNullSafe(F.col("__l")), "left")
     perplexity = F.when(F.col("chars") > 0, F.exp(-F.col("logs") / F.col("chars")))
-    return out.select(F.col("__id").alias(id_col), F.coalesce("chars", F.lit(0)).cast("long").alias("n_places"), perplexity.alias("perplexity"), F.coalesce(F.col("__loss") <= F.col("__limit"), F.lit(True)).alias("kept"))
+    return out.select(F.col("__id").alias(id_col), F.col("chars").alias("n_places"), perplexity.alias("perplexity"), F.coalesce((F.col("chars") == 0) | (F.col("__loss") <= F.col("__limit")), F.lit(True)).alias("kept"))

@@ -5,6 +5,8 @@ import random
 import re
 import tracemalloc
 import zlib
+from collections import Counter
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -273,14 +275,64 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 31)} | {50: 50, 51: 50}
 
 
-def test_kneser_ney_sums_to_one(spark):
-    table = kneser_ney.model(spark.createDataFrame([("abracadabra abra",), ("cadabra",)], "__text string")).toPandas()
-    shard = kneser_ney.Shard(*(table[c].to_numpy() for c in ("n", "h", "w", "value")), 0, 1)
-    chars = sorted({int(w) for w in table[table.n == 0].w if w >= 0})
-    context = kneser_ney.places(pa.array(["abrx"]))[0]
-    for h in context:
-        logs = shard.logs(np.full(len(chars) + 1, h), np.array([*chars, 0x10FFFE]))
-        assert np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-4)
+def kneser_ney_by_hand(train, text):
+    """Sum of logarithms of a text's characters, from the definition."""
+
+    def cut(t):
+        t = re.sub("[ \\t-\\r]+", " ", t)
+        return [(("\x02" * 3 + t)[i : i + 3], t[i]) for i in range(len(t))]
+
+    tables = {3: Counter(g for t in train for g in cut(t))}
+    for k in (2, 1, 0):
+        tables[k] = Counter((h[1:], w) for h, w in tables[k + 1])
+    cuts = {}
+    for k, table in tables.items():
+        n = Counter(table.values())
+        n1, n2, n3, n4 = (max(n[i], 1) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        cuts[k] = [min(max(d, 0.05), i) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+
+    def chance(h, w, k):
+        if k < 0:
+            return 1 / (len(tables[0]) + 1)
+        after = {x: c for (g, x), c in tables[k].items() if g == h}
+        if not after:
+            return chance(h[1:], w, k - 1)
+        total, off = sum(after.values()), [cuts[k][min(c, 3) - 1] for c in after.values()]
+        own = after[w] - cuts[k][min(after[w], 3) - 1] if w in after else 0
+        return own / total + sum(off) / total * chance(h[1:], w, k - 1)
+
+    return sum(log(chance(h, w, 3)) for h, w in cut(text))
+
+
+def test_kneser_ney_by_the_definition(spark):
+    train = ["abracadabra abra", "cadabra  \tdabra", "abra abra", "a cab", ""]
+    texts = [*train, "zebra", "ab" * 30, "中文 abra", "\n", "x", "a" * 70]
+    table = kneser_ney.model(spark.createDataFrame([(t,) for t in train], "__text string"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, __text string")
+    for most in (20, 1 << 25):  # many blocks, one for each task
+        got = {r["i"]: r for r in kneser_ney.scores(docs, table, most).collect()}
+        assert set(got) == set(range(len(texts)))
+        for i, text in enumerate(texts):
+            assert got[i]["logs"] == pytest.approx(kneser_ney_by_hand(train, text), abs=1e-9)
+    assert got[4]["chars"] == 0 and got[8]["chars"] == 1
+    assert kneser_ney.scores(docs.limit(0), table).count() == 0
+    # what follows a context sums up to one, a character never seen included
+    chars = [*{c for t in train for c in t.replace("\t", " ")}, "中"]
+    for context in ("abr", "zzz", "ra "):
+        asked = spark.createDataFrame([(sum(ord(c) << 21 * k for k, c in enumerate(reversed(context))), ord(c)) for c in chars], "h long, w long")
+        assert sum(np.exp(r["log"]) for r in kneser_ney.resolved(asked, table).collect()) == pytest.approx(1)
+
+
+def test_pairs_of_few_and_of_many_characters():
+    for alphabet in (5, 1 << 20):
+        r = np.random.default_rng(2)
+        c = r.integers(3, 3 + alphabet, 200_000)
+        text = pa.array(["".join(map(chr, np.where((c >= 0xD800) & (c < 0xE000), 65, c)))])
+        context, char, _ = kneser_ney.places(text)
+        h, w, which, often = kneser_ney.pairs(context, char)
+        assert (h[which] == context).all() and (w[which] == char).all() and often.sum() == len(char)
+        assert (np.lexsort((w, h)) == np.arange(len(h))).all() and len(set(zip(h, w))) == len(h)
 
 
 def test_quality_classifier_rows(spark):
@@ -288,7 +340,11 @@ def test_quality_classifier_rows(spark):
     got = kneser_ney.quality_classifier(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()
     assert len(got) == docs.count() and sum(r["kept"] for r in got) > 0.8 * len(got)
     got = kneser_ney.quality_classifier(odd(spark), spark.createDataFrame([(4, 1)], "doc_id long, quality int")).collect()
-    assert len(got) == len(ROWS)
+    assert len(got) == len(ROWS) and all(r["kept"] for r in got)
+    named = odd(spark).withColumn("doc_id", F.col("doc_id").cast("string"))
+    none = spark.createDataFrame([], "doc_id string, quality int")
+    assert kneser_ney.quality_classifier(named, none).where("kept").count() == len(ROWS)
+    assert kneser_ney.quality_classifier(odd(spark, empty=True), none).count() == 0
 
 
 def test_decontamination_finds_edited_passages(spark):
