@@ -27,7 +27,7 @@ ORDER = 4
 QUANTILE = 0.99
 HELD_OUT = 10
 PRIOR = 200
-SLICE, BLOCK = 1 << 20, 1 << 25
+SLICE, BLOCK, LEVEL = 1 << 20, 1 << 25, 6
 UNKNOWN = -20.0
 START, BREAK = 2, 0x20
 
@@ -56,23 +56,32 @@ def places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (back(3) << 2 * _WIDE) | (back(2) << _WIDE) | back(1), c, text
 
 
-def pairs(context: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The different pairs of context and character, sorted, where each place has its pair, and how often each occurs."""
-    alphabet = np.unique(np.append(char, START))
+def pairs(context: np.ndarray, char: np.ndarray, often: bool = False) -> tuple[np.ndarray, ...]:
+    """The different pairs of context and character, sorted; and the pair of each place, or how often each pair occurs."""
+    known = np.zeros(0x110000, bool)
+    known[char], known[START] = True, True
+    alphabet = np.flatnonzero(known)
     bits = int(len(alphabet) - 1).bit_length()
     if 4 * bits <= 64:  # few characters: a pair is one number, which sorts as the pair does
-        parts = [np.searchsorted(alphabet, (context >> _WIDE * k) & _MASK[1]) for k in (2, 1, 0)] + [np.searchsorted(alphabet, char)]
-        number = np.zeros(len(char), np.uint64)
-        for part in parts:
-            number = (number << np.uint64(bits)) | part.astype(np.uint64)
-        _, first, which, often = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
-        return context[first], char[first], which, often
+        rank = np.zeros(0x110000, np.uint64)
+        rank[alphabet] = np.arange(len(alphabet))
+        number = rank[char]
+        for k in (1, 2, 3):
+            number |= rank[(context >> _WIDE * (k - 1)) & _MASK[1]] << np.uint64(bits * k)
+        order = np.sort(number)
+        new = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else np.zeros(0, np.int64)
+        found = order[new]
+        part = [alphabet[((found >> np.uint64(bits * k)) & np.uint64((1 << bits) - 1)).astype(np.int64)] for k in range(4)]
+        c, w = (part[3] << 2 * _WIDE) | (part[2] << _WIDE) | part[1], part[0]
+        return (c, w, np.diff(np.append(new, len(order)))) if often else (c, w, np.searchsorted(found, number))
     order = np.lexsort((char, context))
     c, w = context[order], char[order]
     new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]) if len(c) else np.zeros(0, bool)
+    if often:
+        return c[new], w[new], np.diff(np.append(np.flatnonzero(new), len(c)))
     which = np.empty(len(c), np.int64)
     which[order] = np.cumsum(new) - 1
-    return c[new], w[new], which, np.diff(np.append(np.flatnonzero(new), len(c)))
+    return c[new], w[new], which
 
 
 def counts(texts: DataFrame) -> DataFrame:
@@ -81,7 +90,7 @@ def counts(texts: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow.slices(batches, "__text", SLICE):
             context, char, _ = places(batch.column("__text"))
-            context, char, _, often = pairs(context, char)
+            context, char, often = pairs(context, char, often=True)
             yield pa.record_batch([pa.array(context), pa.array(char), pa.array(often)], names=["h", "w", "c"])
 
     return texts.mapInArrow(counted, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
@@ -166,7 +175,7 @@ def packed(docs: DataFrame, most: int = BLOCK) -> DataFrame:
         size, found = 0, []
 
         def listed() -> pa.RecordBatch:
-            h, w, _, _ = pairs(*(np.concatenate(c) for c in zip(*found)))
+            h, w, _ = pairs(*(np.concatenate(c) for c in zip(*found)), often=True)
             return row(None, h, w)
 
         def row(rows, h=None, w=None) -> pa.RecordBatch:
@@ -180,9 +189,9 @@ def packed(docs: DataFrame, most: int = BLOCK) -> DataFrame:
                 block, size, found = block + 1, 0, []
             size += own
             context, char, _ = places(piece.column("__text"))
-            found.append(pairs(context, char)[:2])
+            found.append(pairs(context, char, often=True)[:2])
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as stream:
                 stream.write_batch(piece)
             yield row(sink.getvalue().to_pybytes())
         if found:
@@ -208,7 +217,7 @@ def scores(docs: DataFrame, table: DataFrame, most: int = BLOCK) -> DataFrame:
         for blob in pieces.column("rows"):
             for batch in pa.ipc.open_stream(blob.as_buffer()):
                 context, char, text = places(batch.column("__text"))
-                context, char, which, _ = pairs(context, char)
+                context, char, which = pairs(context, char)
                 at = np.searchsorted(key, (np.searchsorted(contexts, context) << _WIDE) | char)
                 n = batch.num_rows
                 logs = np.bincount(text, log[at][which], n).astype(np.float64)

@@ -330,7 +330,9 @@ def test_pairs_of_few_and_of_many_characters():
         c = r.integers(3, 3 + alphabet, 200_000)
         text = pa.array(["".join(map(chr, np.where((c >= 0xD800) & (c < 0xE000), 65, c)))])
         context, char, _ = kneser_ney.places(text)
-        h, w, which, often = kneser_ney.pairs(context, char)
+        h, w, which = kneser_ney.pairs(context, char)
+        again, _, often = kneser_ney.pairs(context, char, often=True)
+        assert (again == h).all() and (often == np.bincount(which)).all()
         assert (h[which] == context).all() and (w[which] == char).all() and often.sum() == len(char)
         assert (np.lexsort((w, h)) == np.arange(len(h))).all() and len(set(zip(h, w))) == len(h)
 
