@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from creel.operators.grouping import TASK_ROWS, dealt
 from creel.sources.tables import materialise
 
 
@@ -38,16 +39,19 @@ def lots(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def captures(spark: SparkSession, sf: str, basin: bool = True, by_operation: bool = False) -> DataFrame:
+def captures(spark: SparkSession, sf: str, basin: bool = True, by_operation: bool = False, *, most: int = TASK_ROWS) -> DataFrame:
     """Catches with their operation's attributes.
 
     ``by_operation`` sums the catches of an operation and species before the
-    operations are joined, which shrinks what that join shuffles.
+    operations are joined, which shrinks what that join shuffles. Both sides of the join
+    are dealt by operation to tasks of about ``most`` catches; what is then grouped by
+    operation stays in these tasks. The catches are counted from the files' footers.
     """
     rows = lots(spark, sf)
     if by_operation:
         rows = rows.groupBy("ope_id", "code_espece").agg(F.sum("effectif").alias("effectif"))
-    return rows.join(operations(spark, sf, basin), "ope_id")
+    n = table(spark, sf, "lineitem").count()
+    return dealt(rows, ["ope_id"], n, most=most).join(dealt(operations(spark, sf, basin), ["ope_id"], n, most=most), "ope_id")
 
 
 CAP = """cap AS (

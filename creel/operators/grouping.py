@@ -19,6 +19,8 @@ HOT_SHARE = 1024
 # Groups smaller than this fit a task whatever their share.
 HOT_MIN_ROWS = 1_000_000
 SALTS = 64
+# Rows that a task sorts and groups at once when a large table is dealt by key.
+TASK_ROWS = 1 << 19
 
 
 def _null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -34,6 +36,16 @@ def spread_salt(df: DataFrame, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in df.columns]), F.lit(salts)).cast("int")
 
 
+def dealt(df: DataFrame, keys: Sequence[str], rows: int, *, most: int = TASK_ROWS) -> DataFrame:
+    """The rows dealt by key to as many tasks as ``rows`` need at ``most`` each.
+
+    Joins and groupings by these keys then stay in those tasks, whose memory does not
+    grow with the table. A table that the cores at hand take in one round is left to Spark.
+    """
+    tasks = -(-rows // most)
+    return df.repartition(tasks, *keys) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def hot_keys(
     df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE, min_rows: int = HOT_MIN_ROWS
 ) -> DataFrame:

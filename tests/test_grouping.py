@@ -108,3 +108,15 @@ def test_stack_and_difference(spark):
     d = spark.createDataFrame([(1,), (1,), (2,)], "k int")
     assert rows(P.set_difference(d, d.where("k = 2"))) == [(1,)]
     assert rows(P.null_counts(a.unionByName(b, True)), "column") == [("k", 0), ("t", 1), ("v", 1)]
+
+
+def test_dealt_bounds_the_rows_of_a_task(spark):
+    df = spark.range(4000).select((F.col("id") % 1000).alias("k"), "id")
+    out = G.dealt(df, ["k"], 4000, most=200)
+    assert out.rdd.getNumPartitions() == 20
+    place = out.select("k", F.spark_partition_id().alias("p"))
+    assert place.groupBy("k").agg(F.count_distinct("p").alias("n")).where("n > 1").count() == 0
+    assert place.groupBy("p").count().agg(F.max("count")).first()[0] < 2 * 200
+    assert rows(out) == rows(df)
+    # as many tasks as there are cores, and an empty table, are left to Spark
+    assert G.dealt(df, ["k"], 4000, most=1000) is df and G.dealt(df.limit(0), ["k"], 0).count() == 0
