@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from catalog import standins
 from tools.check import TABLES, canon
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +47,17 @@ def test_result_does_not_depend_on_partitions(spark, key):
         frames.append(canon(entry.queries()[key](spark, SF).toPandas()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert frames[0].equals(frames[1])
+
+
+def test_captures_are_dealt_by_operation(spark, tmp_path):
+    """What queries group by operation lies in tasks whose size does not grow with the table."""
+    n = 3000
+    spark.range(n).selectExpr("id div 3 AS l_orderkey", "id % 7 AS l_partkey", "double(id % 50) AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(7).selectExpr("id AS p_partkey", "concat('Brand#', id) AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    order = ["id AS o_orderkey", "id % 10 AS o_custkey", "timestamp'1997-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority", "1.0D AS o_totalprice"]
+    spark.range(n // 3).selectExpr(*order).write.parquet(f"{tmp_path}/orders.parquet")
+    whole, dealt = (standins.captures(spark, str(tmp_path), basin=False, **kw) for kw in ({}, {"most": 100}))
+    sizes = dealt.groupBy("ope_id", F.spark_partition_id().alias("p")).count()
+    assert sizes.count() == n // 3
+    assert sizes.groupBy("p").agg(F.sum("count").alias("n")).agg(F.max("n"), F.count("*")).first()[0] < 2 * 100
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))
