@@ -8,8 +8,10 @@ Texts are scored by joins too. They are packed, where they are read, into compre
 blocks of bounded size, and each block lists the different (context, character) pairs
 in it, a few for a thousand characters. The pairs of all blocks are looked up in the
 probabilities by key, backing off order by order, and the answers meet their block by
-its number. No model, shard or text passes through the driver, the model may have any
-size, and each text is moved once.
+its number. Which texts are trusted is told by joining the ids listed with each piece;
+the pieces are counted where they lie. No model, shard or text passes through the driver,
+the model may have any size, and each text is moved once, compressed, or twice where
+the marks of the trusted are too many for Spark to broadcast.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from creel.llm import arrow, scratch
 
@@ -96,6 +100,28 @@ def counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(counted, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
 
 
+def counts_in(pieces: DataFrame, trusted: DataFrame, key: str, out: str) -> DataFrame:
+    """The same counts of the texts in packed pieces that a row of `trusted` names by `key` and that are not `out`.
+
+    Only keys are joined: they give each piece the places of its trusted rows. A
+    repeated key marks all its rows, once each, a null key none.
+    """
+    listed = pieces.select("block", "piece", F.posexplode("keys").alias("at", key))
+    marks = scratch.written(listed.join(trusted, key, "left_semi").groupBy("block", "piece").agg(F.collect_list("at").alias("marks")))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, at in zip(batch.column("rows"), batch.column("marks")):
+                for rows in pa.ipc.open_stream(blob.as_buffer()):
+                    rows = rows.take(at.values)
+                    context, char, _ = places(rows.column("__text").filter(pc.invert(rows.column(out))))
+                    context, char, often = pairs(context, char, often=True)
+                    yield pa.record_batch([pa.array(context), pa.array(char), pa.array(often)], names=["h", "w", "c"])
+
+    marked = pieces.select("block", "piece", "rows").join(marks, ["block", "piece"]).select("rows", "marks")
+    return marked.mapInArrow(counted, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
+
+
 def discounts(table: DataFrame) -> list[float]:
     """D1, D2 and D3+ from the numbers of n-grams that occur once to four times."""
     r = table.where("c <= 4").groupBy("c").count().collect()
@@ -106,13 +132,18 @@ def discounts(table: DataFrame) -> list[float]:
 
 
 def model(texts: DataFrame) -> DataFrame:
-    """Probabilities and context weights of all orders: n, h, w (-1 for a context's weight), value.
+    """Probabilities and context weights of all orders, from the counts of texts."""
+    return probabilities(counts(texts))
+
+
+def probabilities(four: DataFrame) -> DataFrame:
+    """Probabilities and context weights of all orders: n, h, w (-1 for a context's weight), value, from the counts of four-grams.
 
     n is the length of the context. Order 0 has the single characters, and with
     w = -1 the probability of a character never seen.
     """
     tables = [None] * ORDER
-    tables[ORDER - 1] = scratch.written(counts(texts))
+    tables[ORDER - 1] = scratch.written(four)
     for k in range(ORDER - 2, -1, -1):
         tables[k] = tables[k + 1].groupBy(F.col("h").bitwiseAND(F.lit(_MASK[k])).alias("h"), "w").agg(F.count("*").alias("c"))
     out, lower = None, None
@@ -163,24 +194,26 @@ def resolved(asked: DataFrame, table: DataFrame) -> DataFrame:
     return out
 
 
-def packed(docs: DataFrame, most: int = BLOCK) -> DataFrame:
+def packed(docs: DataFrame, most: int = BLOCK, key: str | None = None) -> DataFrame:
     """Texts in compressed pieces of blocks of about `most` bytes, and each block's different pairs.
 
-    A row is either a piece (block, rows) or a block's pairs (block, h, w).
-    A text above the size is a block of its own.
+    A row is either a piece (block, piece, rows, and with `key` that column's values as
+    keys) or a block's pairs (block, h, w). A text above the size is a block of its own.
     """
+    kind = T.ArrayType(docs.schema[key].dataType if key else T.LongType())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        size, found = 0, []
+        size, found, number = 0, [], 0
 
         def listed() -> pa.RecordBatch:
             h, w, _ = pairs(*(np.concatenate(c) for c in zip(*found)), often=True)
             return row(None, h, w)
 
-        def row(rows, h=None, w=None) -> pa.RecordBatch:
-            cells = [pa.array([block], pa.int64()), pa.array([rows], pa.binary()), pa.array([h], pa.list_(pa.int64())), pa.array([w], pa.list_(pa.int64()))]
-            return pa.record_batch(cells, names=["block", "rows", "h", "w"])
+        def row(rows, h=None, w=None, keys=None) -> pa.RecordBatch:
+            own = pa.array([None], to_arrow_type(kind)) if keys is None else pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+            cells = [pa.array([block], pa.int64()), pa.array([number], pa.int32()), pa.array([rows], pa.binary()), own, pa.array([h], pa.list_(pa.int64())), pa.array([w], pa.list_(pa.int64()))]
+            return pa.record_batch(cells, names=["block", "piece", "rows", "keys", "h", "w"])
 
         for piece in arrow.slices(batches, "__text", SLICE):
             own = len(arrow.buffers(piece.column("__text"))[0])
@@ -193,17 +226,23 @@ def packed(docs: DataFrame, most: int = BLOCK) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as stream:
                 stream.write_batch(piece)
-            yield row(sink.getvalue().to_pybytes())
+            yield row(sink.getvalue().to_pybytes(), keys=piece.column(key) if key else None)
+            number += 1
         if found:
             yield listed()
 
-    return docs.mapInArrow(pack, "block long, rows binary, h array<long>, w array<long>")
+    cells = [("block", T.LongType()), ("piece", T.IntegerType()), ("rows", T.BinaryType()), ("keys", kind), ("h", T.ArrayType(T.LongType())), ("w", T.ArrayType(T.LongType()))]
+    return docs.mapInArrow(pack, T.StructType([T.StructField(*c) for c in cells]))
 
 
 def scores(docs: DataFrame, table: DataFrame, most: int = BLOCK) -> DataFrame:
     """The rows of docs without their `__text`, with the sum of logarithms, logs, and the number of places, chars."""
-    kept = [f for f in docs.schema.fields if f.name != "__text"]
-    blocks = scratch.written(packed(docs, most))
+    return block_scores(scratch.written(packed(docs, most)), docs.schema, table)
+
+
+def block_scores(blocks: DataFrame, packed_as: T.StructType, table: DataFrame) -> DataFrame:
+    """The scores of the rows in packed blocks; `packed_as` is the schema of the rows."""
+    kept = [f for f in packed_as.fields if f.name != "__text"]
     asked = blocks.where("h IS NOT NULL").select("block", F.inline(F.arrays_zip("h", "w")))
     answers = asked.join(resolved(scratch.written(asked.select("h", "w").distinct()), table), ["h", "w"]).select(F.col("block").alias("of"), "h", "w", "log")
 
@@ -246,8 +285,9 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "qua
     own = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.col(lang_col).alias("__lang"))
     own = own.withColumn("__out", F.pmod(F.xxhash64("__text"), F.lit(HELD_OUT)) == 0)
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("__id")).distinct()
-    table = model(own.where("NOT __out").select("__id", "__text").join(trusted, "__id", "left_semi").select("__text"))
-    rows = scores(own, table).join(trusted.withColumn("__trusted", F.lit(True)), "__id", "left")
+    blocks = scratch.written(packed(own, key="__id"))
+    table = probabilities(counts_in(blocks.where("rows IS NOT NULL"), trusted, "__id", "__out"))
+    rows = block_scores(blocks, own.schema, table).join(trusted.withColumn("__trusted", F.lit(True)), "__id", "left")
     rows = scratch.written(rows.select("__id", "__lang", "logs", "chars", (F.coalesce("__trusted", F.lit(False)) & F.col("__out") & (F.col("chars") > 0)).alias("__usual")))
     usual = rows.where("__usual").groupBy(F.col("__lang").alias("__l")).agg((-F.sum("logs") / F.sum("chars")).alias("__mean"))
     both = rows.join(usual, F.col("__lang").eqNullSafe(F.col("__l")), "left").drop("__l")

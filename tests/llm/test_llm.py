@@ -324,6 +324,23 @@ def test_kneser_ney_by_the_definition(spark):
         assert sum(np.exp(r["log"]) for r in kneser_ney.resolved(asked, table).collect()) == pytest.approx(1)
 
 
+def test_trusted_pieces_are_counted_where_they_lie(spark):
+    """The texts are not shuffled to find the trusted; repeated, null and unknown ids as in a join of the texts."""
+    texts = [(i % 40 if i % 9 else None, f"text {i} " + "abc" * (i % 5) + "é" * (i % 2), i % 4 == 0) for i in range(120)]
+    docs = spark.createDataFrame(texts, "__id long, __text string, __out boolean").repartition(3)
+    trusted = spark.createDataFrame([(i,) for i in (*range(0, 40, 3), None, 999)], "__id int")
+    joined = docs.where("NOT __out").join(trusted, "__id", "left_semi").select("__text")
+    want = sorted(map(tuple, kneser_ney.counts(joined).collect()))
+    assert len(want) > 100
+    for most in (50, 1 << 25):
+        blocks = kneser_ney.packed(docs, most, "__id").localCheckpoint()
+        pieces = blocks.where("rows IS NOT NULL")
+        got = kneser_ney.counts_in(pieces, trusted, "__id", "__out")
+        assert sorted(map(tuple, got.collect())) == want
+        assert sorted(k for r in pieces.select("keys").collect() for k in r["keys"] if k is not None) == sorted(i for i, _, _ in texts if i is not None)
+    assert kneser_ney.counts_in(pieces, trusted.limit(0), "__id", "__out").count() == 0
+
+
 def test_pairs_of_few_and_of_many_characters():
     for alphabet in (5, 1 << 20):
         r = np.random.default_rng(2)
