@@ -177,11 +177,15 @@ def point_table(
     named = [name_col] if name_col is not None else []
     words = dictionary(vocabulary, species, names, named, width=width)
     known = merged.join(words.codes, species)
-    caught = F.map_from_entries(F.collect_list(F.when(F.col(count) > 0, F.struct("__bit", F.col(count).alias("n")))))
-    blocks = known.groupBy(op, "__block").agg(caught.alias("__caught"), F.max("__of").alias("__of"))
-    per_op = by_block(blocks, [op], "__caught", F.max("__of").alias("__of"))
-    each = F.transform("__species", lambda e: F.struct(e["sp"].alias("sp"), *[e[c].alias(c) for c in named], F.col("__held")[e["__bit"]].alias("n")))
-    both = expand(per_op, words).select(op, "__of", F.inline(each))
+    number = F.col("__block") * width + F.col("__bit")
+    caught = F.map_from_entries(F.collect_list(F.when(F.col(count) > 0, F.struct(number.alias("no"), F.col(count).alias("n")))))
+    per_op = known.groupBy(op).agg(caught.alias("__caught"), F.max("__of").alias("__of"))
+    every = per_op.withColumn("__block", F.explode(F.sequence(F.lit(0), words.last)))
+    # of an operation's species only those of the block, so that a look-up does not grow with the vocabulary
+    first = F.col("__block") * width
+    every = every.withColumn("__held", F.map_filter("__caught", lambda no, n: (no >= first) & (no < first + width)))
+    each = words.blocks.select("__block", F.inline("__species"))
+    both = every.join(each, "__block").select(op, "__of", "sp", *named, F.col("__held")[first + F.col("__bit")].alias("n"))
     rank = F.when(F.col("n").isNotNull(), 3).otherwise(F.col("__of.__rank"))
     out = both.select(
         op, *[F.col("__of")[c].alias(c) for c in attrs], F.col("sp").alias(species), F.coalesce("n", F.lit(0.0)).alias(count), rank.alias("rang"), *named

@@ -150,3 +150,24 @@ def test_rates_shares_and_lists(spark):
     trends = spark.createDataFrame([("Sh", 1.23456, "k"), ("?", 0.5, "k"), ("B", 0.1, None)], "t string, r double, k string")
     labelled = PR.trend_labels(trends, "t", "r", "k").select("t", "r", "rang")
     assert sorted(map(str, map(tuple, labelled.collect()))) == sorted(map(str, [("Stable / hausse", 1.235, 2), (None, 0.5, None)]))
+
+
+def test_point_table_gathers_an_operation_once(spark):
+    """One list for each operation besides the dictionary's, and its rows come from a join, not from arrays."""
+    data = [(o, "complète" if o % 4 else "autre", f"s{(o * k) % 10:02}", float((o + k) % 3)) for o in range(30) for k in range(1, 5)]
+    df = spark.createDataFrame(data, "op int, proto string, sp string, n double")
+    vocab = spark.createDataFrame([(f"s{i:02}",) for i in range(10)], "sp string")
+    out = PR.point_table(df, "op", "sp", "n", "proto", "complète", vocabulary=vocab, width=4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 2 and "transform(" not in plan
+    total = {}
+    for op, _, sp, n in data:
+        total[op, sp] = total.get((op, sp), 0.0) + n
+    proto = {op: p for op, p, _, _ in data}
+    want = []
+    for op in range(30):
+        for i in range(10):
+            n = total.get((op, f"s{i:02}"), 0.0)
+            rank = 3 if n > 0 else 2 if proto[op] == "complète" else 1
+            want.append((op, f"s{i:02}", n, rank, PR.STATUS_LEVELS[rank - 1]))
+    assert rows(out.select("op", "sp", "n", "rang", "statut")) == want
