@@ -12,6 +12,7 @@ from creel.functions.nulls import n_distinct, n_distinct_if
 from creel.operators import presence as PR, spatial as SP
 from creel.operators.grouping import merge_all_but
 from creel.operators.prepare import period, recode_and_filter, stack_sources
+from creel.sources.tables import materialise
 
 
 @dataclass(frozen=True)
@@ -75,8 +76,9 @@ def placed_statuses(
     A species counts if it was ever caught, anywhere and in any year. Operations outside
     all basins and before the first year, or of an unknown year, are then left out; they
     are told from the places, before the species are expanded. A place in two basins
-    gives its rows to both.
+    gives its rows to both. The captures are read three times, so they are written once.
     """
+    captures = materialise(captures)
     places = captures.select(c.place, c.x, c.y).distinct()
     inside = SP.point_in_polygon(places, basins, c.x, c.y, rings, basin_cols)
     of_place = inside.groupBy(c.place).agg(F.sort_array(F.collect_set(F.struct(*basin_cols))).alias("__basins"))

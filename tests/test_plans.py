@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from creel.functions import scalars as S
+from creel.operators import spatial as SP
 from creel.plans import atlas as A, macroecology as M, values as V
 
 RULES = A.Rules(2014, V.ATLAS_PATTERN, V.DROPPED_SPECIES, V.TROUT_RECODE)
@@ -65,3 +66,14 @@ def test_macroecology_composition(spark):
     assert table.count() == 8
     both = M.local_and_basin_richness(lots, ops, "op", "pt", "bv", "y", "sp").collect()
     assert {r["bv"] for r in both} == {0, 1, 2} and all(r["rsr_abs"] >= r["rsr_obs"] for r in both)
+
+
+def test_placed_statuses_read_the_captures_once(spark, captures, tmp_path):
+    """The places, the species and the statuses come from one written copy of the captures."""
+    captures.write.parquet(f"{tmp_path}/captures.parquet")
+    source = spark.read.parquet(f"{tmp_path}/captures.parquet")
+    box = SP.rectangle(F.lit(-1e9), F.lit(-1e9), F.lit(1e9), F.lit(1e9))
+    basins = spark.range(1).select(F.lit("b").alias("bassin"), box.alias("rings"))
+    out = A.placed_statuses(source, basins, ["bassin"], "rings", RULES)
+    assert out.count() > 0 and out.select("bassin").distinct().collect() == [("b",)]
+    assert out.inputFiles() and not [f for f in out.inputFiles() if "captures.parquet" in f]
