@@ -30,10 +30,16 @@ def operations(spark: SparkSession, sf: str, basin: bool = True) -> DataFrame:
     return ops.join(places, "code_station")
 
 
-def lots(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per catch: operation, species, count. No operation attributes."""
+def lots(spark: SparkSession, sf: str, n: int | None = None, *, most: int = TASK_ROWS) -> DataFrame:
+    """One row per catch: operation, species, count. No operation attributes.
+
+    The parts are dealt by key to tasks for about ``most`` catches. Where Spark does not
+    broadcast them, the catches meet them in as many tasks. ``n`` is the number of
+    catches, by default counted from the files' footers.
+    """
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    parts = table(spark, sf, "part").select("p_partkey", "p_brand")
+    n = table(spark, sf, "lineitem").count() if n is None else n
+    parts = dealt(table(spark, sf, "part").select("p_partkey", "p_brand"), ["p_partkey"], n, most=most)
     return items.join(parts, items.l_partkey == parts.p_partkey).select(
         F.col("l_orderkey").alias("ope_id"), F.col("p_brand").alias("code_espece"), F.col("l_quantity").alias("effectif")
     )
@@ -47,10 +53,10 @@ def captures(spark: SparkSession, sf: str, basin: bool = True, by_operation: boo
     are dealt by operation to tasks of about ``most`` catches; what is then grouped by
     operation stays in these tasks. The catches are counted from the files' footers.
     """
-    rows = lots(spark, sf)
+    n = table(spark, sf, "lineitem").count()
+    rows = lots(spark, sf, n, most=most)
     if by_operation:
         rows = rows.groupBy("ope_id", "code_espece").agg(F.sum("effectif").alias("effectif"))
-    n = table(spark, sf, "lineitem").count()
     return dealt(rows, ["ope_id"], n, most=most).join(dealt(operations(spark, sf, basin), ["ope_id"], n, most=most), "ope_id")
 
 

@@ -61,3 +61,23 @@ def test_captures_are_dealt_by_operation(spark, tmp_path):
     assert sizes.count() == n // 3
     assert sizes.groupBy("p").agg(F.sum("count").alias("n")).agg(F.max("n"), F.count("*")).first()[0] < 2 * 100
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_catches_meet_their_parts_in_dealt_tasks(spark, tmp_path):
+    """Parts too many to broadcast are joined in tasks whose size does not grow with the table."""
+    n = 3000
+    spark.range(n).selectExpr("id div 3 AS l_orderkey", "if(id % 50 = 0, NULL, id % 1000) AS l_partkey", "double(id % 50) AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    # a key twice, a null key, and keys that no catch has
+    spark.range(1200).selectExpr("if(id = 1100, NULL, if(id = 1150, 7, id)) AS p_partkey", "concat('Brand#', id % 9) AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    want = sorted(map(tuple, standins.lots(spark, str(tmp_path)).collect()))
+    assert len(want) == n - n // 50 + 3
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = standins.lots(spark, str(tmp_path), most=100)
+        sizes = dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(sizes) > 20 and max(r["count"] for r in sizes) < 2 * 100
+        assert sorted(map(tuple, dealt.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert sorted(map(tuple, standins.lots(spark, str(tmp_path), most=100).collect())) == want
