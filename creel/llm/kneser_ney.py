@@ -31,7 +31,7 @@ ORDER = 4
 QUANTILE = 0.99
 HELD_OUT = 10
 PRIOR = 200
-SLICE, BLOCK, LEVEL = 1 << 20, 1 << 25, 6
+SLICE, PIECE, BLOCK, LEVEL = 1 << 20, 1 << 23, 1 << 25, 6
 UNKNOWN = -20.0
 START, BREAK = 2, 0x20
 
@@ -112,8 +112,8 @@ def counts_in(pieces: DataFrame, trusted: DataFrame, key: str, out: str) -> Data
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, at in zip(batch.column("rows"), batch.column("marks")):
-                for rows in pa.ipc.open_stream(blob.as_buffer()):
-                    rows = rows.take(at.values)
+                own = (rows.take(at.values) for rows in pa.ipc.open_stream(blob.as_buffer()))
+                for rows in arrow.slices(own, "__text", SLICE):
                     context, char, _ = places(rows.column("__text").filter(pc.invert(rows.column(out))))
                     context, char, often = pairs(context, char, often=True)
                     yield pa.record_batch([pa.array(context), pa.array(char), pa.array(often)], names=["h", "w", "c"])
@@ -194,11 +194,13 @@ def resolved(asked: DataFrame, table: DataFrame) -> DataFrame:
     return out
 
 
-def packed(docs: DataFrame, most: int = BLOCK, key: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, most: int = BLOCK, key: str | None = None, alike: str | None = None) -> DataFrame:
     """Texts in compressed pieces of blocks of about `most` bytes, and each block's different pairs.
 
     A row is either a piece (block, piece, rows, and with `key` that column's values as
     keys) or a block's pairs (block, h, w). A text above the size is a block of its own.
+    Pieces are compressed whole and gone through by slices; texts alike in the column
+    `alike`, like their language, lie side by side in a piece, where they compress better.
     """
     kind = T.ArrayType(docs.schema[key].dataType if key else T.LongType())
 
@@ -215,14 +217,17 @@ def packed(docs: DataFrame, most: int = BLOCK, key: str | None = None) -> DataFr
             cells = [pa.array([block], pa.int64()), pa.array([number], pa.int32()), pa.array([rows], pa.binary()), own, pa.array([h], pa.list_(pa.int64())), pa.array([w], pa.list_(pa.int64()))]
             return pa.record_batch(cells, names=["block", "piece", "rows", "keys", "h", "w"])
 
-        for piece in arrow.slices(batches, "__text", SLICE):
+        for piece in arrow.slices(batches, "__text", min(PIECE, most)):
             own = len(arrow.buffers(piece.column("__text"))[0])
             if found and size + own > most:
                 yield listed()
                 block, size, found = block + 1, 0, []
             size += own
-            context, char, _ = places(piece.column("__text"))
-            found.append(pairs(context, char, often=True)[:2])
+            if alike:
+                piece = piece.take(pc.sort_indices(piece, sort_keys=[(alike, "ascending")]))
+            for part in arrow.slices([piece], "__text", SLICE):
+                context, char, _ = places(part.column("__text"))
+                found.append(pairs(context, char, often=True)[:2])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as stream:
                 stream.write_batch(piece)
@@ -254,7 +259,7 @@ def block_scores(blocks: DataFrame, packed_as: T.StructType, table: DataFrame) -
         key, log = key[order], log[order]
         out = []
         for blob in pieces.column("rows"):
-            for batch in pa.ipc.open_stream(blob.as_buffer()):
+            for batch in arrow.slices(pa.ipc.open_stream(blob.as_buffer()), "__text", SLICE):
                 context, char, text = places(batch.column("__text"))
                 context, char, which = pairs(context, char)
                 at = np.searchsorted(key, (np.searchsorted(contexts, context) << _WIDE) | char)
@@ -285,7 +290,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "qua
     own = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.col(lang_col).alias("__lang"))
     own = own.withColumn("__out", F.pmod(F.xxhash64("__text"), F.lit(HELD_OUT)) == 0)
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("__id")).distinct()
-    blocks = scratch.written(packed(own, key="__id"))
+    blocks = scratch.written(packed(own, key="__id", alike="__lang"))
     table = probabilities(counts_in(blocks.where("rows IS NOT NULL"), trusted, "__id", "__out"))
     rows = block_scores(blocks, own.schema, table).join(trusted.withColumn("__trusted", F.lit(True)), "__id", "left")
     rows = scratch.written(rows.select("__id", "__lang", "logs", "chars", (F.coalesce("__trusted", F.lit(False)) & F.col("__out") & (F.col("chars") > 0)).alias("__usual")))

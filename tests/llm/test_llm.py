@@ -341,6 +341,35 @@ def test_trusted_pieces_are_counted_where_they_lie(spark):
     assert kneser_ney.counts_in(pieces, trusted.limit(0), "__id", "__out").count() == 0
 
 
+def test_texts_of_a_language_lie_together_in_large_pieces(spark, monkeypatch):
+    """What is written and shuffled is compressed over more than a slice, and the slices of a piece give the same scores."""
+    rng = np.random.default_rng(3)
+    words = {lang: ["".join(rng.choice(list(letters), 6)) for _ in range(200)] for lang, letters in (("a", "abcdefgh"), ("b", "éèàùôïñç"), (None, "12345678"))}
+    texts = [(i, [*words][i % 3], " ".join(rng.choice(words[[*words][i % 3]], 300))) for i in range(900)] + [(900, "b", ""), (901, None, "a"), (902, "a", " \n ")]
+    docs = spark.createDataFrame(texts, "__id long, __lang string, __text string").coalesce(1)
+
+    def pieces(alike):
+        return kneser_ney.packed(docs, key="__id", alike=alike).where("rows IS NOT NULL").collect()
+
+    apart, together = pieces(None), pieces("__lang")
+    assert len(apart) == len(together) == 1
+    assert sorted(together[0]["keys"]) == sorted(apart[0]["keys"]) == list(range(903))
+    langs = [texts[k][1] for k in together[0]["keys"]]
+    assert langs == sorted(langs, key=lambda x: (x is None, x or ""))
+    assert len(together[0]["rows"]) < len(apart[0]["rows"])
+
+    table = kneser_ney.model(docs.limit(100).select("__text"))
+    trusted = docs.select("__id").where("__id % 2 = 0")
+    found = []
+    for size, alike in ((1 << 20, None), (5000, "__lang")):
+        monkeypatch.setattr(kneser_ney, "SLICE", size)
+        blocks = kneser_ney.packed(docs.withColumn("__out", docs["__id"] % 3 == 0), 1 << 20, "__id", alike).localCheckpoint()
+        got = kneser_ney.block_scores(blocks, docs.schema, table).collect()
+        counted = kneser_ney.counts_in(blocks.where("rows IS NOT NULL"), trusted, "__id", "__out").collect()
+        found.append((sorted((r["__id"], r["__lang"] or "", r["logs"], r["chars"]) for r in got), sorted(map(tuple, counted))))
+    assert len(found[0][0]) == 903 and found[0] == found[1]
+
+
 def test_pairs_of_few_and_of_many_characters():
     for alphabet in (5, 1 << 20):
         r = np.random.default_rng(2)
