@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from creel.operators.grouping import TASK_ROWS, dealt
+from creel.operators.grouping import TASK_ROWS, dealt, looked_up, many
 from creel.sources.tables import materialise
 
 
@@ -33,13 +33,15 @@ def operations(spark: SparkSession, sf: str, basin: bool = True) -> DataFrame:
 def lots(spark: SparkSession, sf: str, n: int | None = None, *, most: int = TASK_ROWS) -> DataFrame:
     """One row per catch: operation, species, count. No operation attributes.
 
-    The parts are dealt by key to tasks for about ``most`` catches. Where Spark does not
-    broadcast them, the catches meet them in as many tasks. ``n`` is the number of
-    catches, by default counted from the files' footers.
+    The parts are dealt by key to tasks for about ``most`` catches. Parts for more than four
+    such tasks are looked up there; fewer are left for Spark to broadcast. ``n`` is the
+    number of catches, by default counted from the files' footers.
     """
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     n = table(spark, sf, "lineitem").count() if n is None else n
-    parts = dealt(table(spark, sf, "part").select("p_partkey", "p_brand"), ["p_partkey"], n, most=most)
+    parts = table(spark, sf, "part").select("p_partkey", "p_brand")
+    held = table(spark, sf, "part").count() if many(parts, n, most=most) else 0
+    parts = (looked_up if held > 4 * most else dealt)(parts, ["p_partkey"], max(n, held), most=most)
     return items.join(parts, items.l_partkey == parts.p_partkey).select(
         F.col("l_orderkey").alias("ope_id"), F.col("p_brand").alias("code_espece"), F.col("l_quantity").alias("effectif")
     )
@@ -50,14 +52,17 @@ def captures(spark: SparkSession, sf: str, basin: bool = True, by_operation: boo
 
     ``by_operation`` sums the catches of an operation and species before the
     operations are joined, which shrinks what that join shuffles. Both sides of the join
-    are dealt by operation to tasks of about ``most`` catches; what is then grouped by
-    operation stays in these tasks. The catches are counted from the files' footers.
+    are dealt by operation to tasks of about ``most`` catches, where the operations are
+    looked up; what is then grouped by operation stays in these tasks. The rows are
+    counted from the files' footers.
     """
     n = table(spark, sf, "lineitem").count()
     rows = lots(spark, sf, n, most=most)
     if by_operation:
         rows = rows.groupBy("ope_id", "code_espece").agg(F.sum("effectif").alias("effectif"))
-    return dealt(rows, ["ope_id"], n, most=most).join(dealt(operations(spark, sf, basin), ["ope_id"], n, most=most), "ope_id")
+    if many(rows, n, most=most):
+        n = max(n, table(spark, sf, "orders").count())
+    return dealt(rows, ["ope_id"], n, most=most).join(looked_up(operations(spark, sf, basin), ["ope_id"], n, most=most), "ope_id")
 
 
 CAP = """cap AS (

@@ -36,14 +36,27 @@ def spread_salt(df: DataFrame, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in df.columns]), F.lit(salts)).cast("int")
 
 
+def many(df: DataFrame, rows: int, *, most: int = TASK_ROWS) -> bool:
+    """Whether ``rows`` need more tasks of ``most`` rows than the cores at hand take in one round."""
+    return -(-rows // most) > df.sparkSession.sparkContext.defaultParallelism
+
+
 def dealt(df: DataFrame, keys: Sequence[str], rows: int, *, most: int = TASK_ROWS) -> DataFrame:
     """The rows dealt by key to as many tasks as ``rows`` need at ``most`` each.
 
     Joins and groupings by these keys then stay in those tasks, whose memory does not
     grow with the table. A table that the cores at hand take in one round is left to Spark.
     """
-    tasks = -(-rows // most)
-    return df.repartition(tasks, *keys) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+    return df.repartition(-(-rows // most), *keys) if many(df, rows, most=most) else df
+
+
+def looked_up(df: DataFrame, keys: Sequence[str], rows: int, *, most: int = TASK_ROWS) -> DataFrame:
+    """A table with few rows for one key, dealt, that a join then holds in hash tables.
+
+    The other side passes them unsorted, so a task's memory follows ``most`` however many
+    rows of that side share a key. ``rows`` counts the larger side.
+    """
+    return dealt(df, keys, rows, most=most).hint("shuffle_hash") if many(df, rows, most=most) else df
 
 
 def hot_keys(

@@ -81,3 +81,30 @@ def test_catches_meet_their_parts_in_dealt_tasks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     assert sorted(map(tuple, standins.lots(spark, str(tmp_path), most=100).collect())) == want
+
+
+def test_tasks_do_not_sort_the_catches_of_one_part_or_operation(spark, tmp_path, capsys):
+    """Half of the catches have one part, half one operation; a sorted join would hold them in one task."""
+    n = 3000
+    catch = ["if(id % 4 < 2, 7, id div 3) AS l_orderkey", "if(id % 50 = 0, NULL, if(id % 4 IN (1, 2), 7, id % 1000)) AS l_partkey", "double(id % 50) AS l_quantity"]
+    spark.range(n).selectExpr(*catch).write.parquet(f"{tmp_path}/lineitem.parquet")
+    # keys twice, null keys, and keys that no catch has
+    spark.range(1200).selectExpr("if(id = 1100, NULL, if(id = 1150, 7, id)) AS p_partkey", "concat('Brand#', id % 9) AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    order = ["if(id = 1, NULL, if(id = 2, 9, id)) AS o_orderkey", "id % 10 AS o_custkey", "timestamp'1997-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority", "1.0D AS o_totalprice"]
+    # more operations than catches: these decide how many tasks there are
+    spark.range(2 * n).selectExpr(*order).write.parquet(f"{tmp_path}/orders.parquet")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole, dealt = (standins.captures(spark, str(tmp_path), basin=False, **kw) for kw in ({}, {"most": 100}))
+        dealt.explain()
+        plan = capsys.readouterr().out
+        assert plan.count("ShuffledHashJoin") == 2 and "Sort" not in plan
+        assert f", {2 * n // 100})" in plan
+        assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))
+        few = standins.lots(spark, str(tmp_path), most=500)  # parts for less than four tasks
+        few.explain()
+        assert "ShuffledHashJoin" not in capsys.readouterr().out
+        assert few.count() == standins.lots(spark, str(tmp_path)).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
